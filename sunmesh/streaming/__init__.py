@@ -1,0 +1 @@
+"""Intentionally empty: the inputs are closed yearly archives, there is no stream to process."""
