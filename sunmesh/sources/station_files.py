@@ -13,13 +13,13 @@ from sunmesh.functions.text import decimal_comma, file_name_field, observation_t
 
 # Patterns of a data row's date and of a file name inside a path.
 DATE_PATTERN = r"^\s*\d{4}[-/]\d{2}[-/]\d{2}\s*$"
-FILE_PATTERN = r"([^/=_]+_[^/_]+_[^/_]+_[^/_]+_[^/]+)"
+FILE_PATTERN = r"^(?:.*[/=])?([^/=_]+_[^/=_]+_[^/=_]+_[^/=_]+_[^/=]+)(?:/.*)?$"
 
 _RAW_SCHEMA = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schemas.RAW_COLUMNS))])
 
 
 def file_name_in(path: Column) -> Column:
-    """Station file name in a path; the directory name if Spark wrote the file's parts below it."""
+    """Last path segment that looks like a station file name; a directory if Spark wrote the file's parts below it."""
     return F.url_decode(F.regexp_extract(path, FILE_PATTERN, 1))
 
 
@@ -68,7 +68,7 @@ def headers(cells: DataFrame) -> DataFrame:
     """``(file_name, latitude, longitude, altitude)`` from the key/value lines of each file."""
     keyed = cells.where(F.col("c0").endswith(":")).select(
         "file_name",
-        strip_accents(F.upper(F.rtrim(F.lit(":"), F.col("c0")))).alias("key"),
+        strip_accents(F.upper(F.rtrim(F.col("c0"), F.lit(":")))).alias("key"),
         decimal_comma(F.col("c1")).alias("number"),
     )
     wanted = {"latitude": "LATITUDE", "longitude": "LONGITUDE", "altitude": "ALTITUDE"}
@@ -83,7 +83,7 @@ def header_pairs(cells: DataFrame) -> DataFrame:
     """All header entries as ``(file_name, key, value)``, keys in plain upper case, decimal points."""
     return cells.where(F.col("c0").endswith(":")).select(
         "file_name",
-        strip_accents(F.upper(F.rtrim(F.lit(":"), F.col("c0")))).alias("key"),
+        strip_accents(F.upper(F.rtrim(F.col("c0"), F.lit(":")))).alias("key"),
         F.replace(F.coalesce("c1", F.lit("")), F.lit(","), F.lit(".")).alias("value"),
     )
 

@@ -35,12 +35,10 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), digits
             result = function(spark, sf_dir)
             return result.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in doubles}) if doubles else result
 
-        checked = sql
+        checked = None
         if sql is not None:
-            if doubles:
-                replaced = ", ".join(f"round({c}, {digits}) + 0e0 as {c}" for c in doubles)
-                checked = f"select * replace ({replaced}) from (\n{sql.strip()}\n) q"
-            checked = with_views(checked)
+            replaced = ", ".join(f"round({c}, {digits}) + 0e0 as {c}" for c in doubles)
+            checked = with_views(f"select *{f' replace ({replaced})' if doubles else ''} from (\n{sql.strip()}\n) q")
         REGISTERED[name] = Query(name, run, checked)
         return function
 
