@@ -13,6 +13,7 @@ from sunmesh.functions.text import decimal_comma, file_name_field, observation_t
 
 # Patterns of a data row's date and of a file name inside a path.
 DATE_PATTERN = r"^\s*\d{4}[-/]\d{2}[-/]\d{2}\s*$"
+CSV_PATTERN = r"(?i)\.csv"
 FILE_PATTERN = r"^(?:.*[/=])?([^/=_]+_[^/=_]+_[^/=_]+_[^/=_]+_[^/=]+)(?:/.*)?$"
 
 _RAW_SCHEMA = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schemas.RAW_COLUMNS))])
@@ -44,6 +45,7 @@ def scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .options(sep=";", encoding="ISO-8859-1", recursiveFileLookup="true", mode="PERMISSIVE")
         .csv(paths if isinstance(paths, str) else list(paths))
         .withColumn("file_name", file_name_in(F.col("_metadata.file_path")))
+        .where(F.col("file_name").rlike(CSV_PATTERN))
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sunmesh.session import scratch_path
+
 # Published table of samples per station.
 SAMPLES_SCHEMA = T.StructType(
     [T.StructField("station", T.StringType()), T.StructField("train", T.LongType()), T.StructField("test", T.LongType())]
@@ -30,6 +32,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialise(df: DataFrame, name: str, cluster_by: Sequence[str] = ()) -> DataFrame:
+    """Store an intermediate result in the shared folder and read it back.
+
+    Steps that pass over their input several times then read a pruned column
+    scan instead of repeating all earlier steps, and a lost executor costs only
+    the step under way.
+    """
+    spark = df.sparkSession
+    return spark.read.parquet(write_table(df, scratch_path(spark, name), cluster_by=cluster_by))
+
+
 def export_csv(df: DataFrame, path: str) -> str:
     df.write.mode("errorifexists").option("header", True).csv(path)
     return path
