@@ -15,14 +15,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_DAYS = 30
+SLICE_HOURS = 720
 SLICE = "__slice"
 _FIRST_SLICE = -(2**31)
 
 
-def time_slice(ts: Column, days: int = SLICE_DAYS) -> Column:
-    """Slice number of a date or timestamp; rises with time, nulls come first as in an ascending sort."""
-    return F.coalesce(F.floor(F.unix_date(F.to_date(ts)) / days).cast("int"), F.lit(_FIRST_SLICE))
+def time_slice(ts: Column, hours: int = SLICE_HOURS) -> Column:
+    """Slice number of a timestamp; rises with time, nulls come first as in an ascending sort."""
+    elapsed = F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
+    return F.coalesce(F.floor(elapsed / hours).cast("int"), F.lit(_FIRST_SLICE))
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], time_col: str, hours: int | None) -> DataFrame:
+    """Default width: a month of one key, or an hour of everything if there is no key."""
+    return df.withColumn(SLICE, time_slice(F.col(time_col), hours or (SLICE_HOURS if keys else 1)))
 
 
 def with_row_numbers(
@@ -31,14 +37,14 @@ def with_row_numbers(
     order: Sequence[str],
     name: str = "row_number",
     total: str | None = None,
-    days: int = SLICE_DAYS,
+    slice_hours: int | None = None,
 ) -> DataFrame:
     """1-based position of each row inside its key; ``order[0]`` is the time column.
 
     ``total`` names an optional column with the number of rows of the key.
     """
     keys = list(keys)
-    sliced = df.withColumn(SLICE, time_slice(F.col(order[0]), days))
+    sliced = _sliced(df, keys, order[0], slice_hours)
     per_key = Window.partitionBy(*keys).orderBy(SLICE)
     offsets = (
         sliced.groupBy(*keys, SLICE)
@@ -74,15 +80,13 @@ def with_lead(
     order: Sequence[str],
     columns: Mapping[str, str],
     rows: int = 1,
-    days: int = SLICE_DAYS,
+    slice_hours: int | None = None,
 ) -> DataFrame:
     """Values found ``rows`` rows later in the key; ``columns`` maps new names to source columns."""
     keys = list(keys)
     payload = F.struct(*[F.col(source).alias(new) for new, source in columns.items()])
     in_slice = Window.partitionBy(*keys, SLICE)
-    ranked = df.withColumn(SLICE, time_slice(F.col(order[0]), days)).withColumn(
-        "__rank", F.row_number().over(in_slice.orderBy(*order))
-    )
+    ranked = _sliced(df, keys, order[0], slice_hours).withColumn("__rank", F.row_number().over(in_slice.orderBy(*order)))
     heads = _border_rows(ranked, keys, "__rank", payload, rows)
     per_key = Window.partitionBy(*keys).orderBy(SLICE)
     no_rows = F.filter(F.col("__border"), lambda _: F.lit(False))
@@ -109,12 +113,12 @@ def forward_fill(
     order: Sequence[str],
     columns: Sequence[str],
     limit: int = 2,
-    days: int = SLICE_DAYS,
+    slice_hours: int | None = None,
 ) -> DataFrame:
     """Fill nulls by the nearest earlier value that is at most ``limit`` rows away."""
     keys, columns = list(keys), list(columns)
     in_slice = Window.partitionBy(*keys, SLICE)
-    sliced = df.withColumn(SLICE, time_slice(F.col(order[0]), days))
+    sliced = _sliced(df, keys, order[0], slice_hours)
     backwards = sliced.withColumn("__back", F.row_number().over(in_slice.orderBy(*[F.col(c).desc() for c in order])))
     tails = _border_rows(backwards, keys, "__back", F.struct(*columns), limit)
     per_key = Window.partitionBy(*keys).orderBy(SLICE)
@@ -147,14 +151,14 @@ def next_hour_target(
     strict_time: bool = False,
     key: str = "station_id",
     time_col: str = "ts",
-    days: int = SLICE_DAYS,
+    slice_hours: int | None = None,
 ) -> DataFrame:
     """Target = ``value`` found ``rows`` rows later in the station.
 
     Apply it after the daylight filter: the last daylight row then gets the first
     one of the next day. ``strict_time`` keeps only targets exactly ``rows`` hours ahead.
     """
-    led = with_lead(df, [key], [time_col], {target: value, "__next_ts": time_col}, rows, days)
+    led = with_lead(df, [key], [time_col], {target: value, "__next_ts": time_col}, rows, slice_hours)
     if strict_time:
         due = F.col(time_col) + F.make_interval(hours=F.lit(rows))
         led = led.withColumn(target, F.when(F.col("__next_ts") == due, F.col(target)))
@@ -162,19 +166,19 @@ def next_hour_target(
 
 
 def every_nth_split(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 5, days: int = SLICE_DAYS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 5, slice_hours: int | None = None
 ) -> DataFrame:
     """``split`` = ``test`` for the first and then every n-th row of a key, ``train`` for the others."""
-    numbered = with_row_numbers(df, keys, order, "__number", days=days)
+    numbered = with_row_numbers(df, keys, order, "__number", slice_hours=slice_hours)
     split = F.when((F.col("__number") - 1) % n == 0, F.lit("test")).otherwise(F.lit("train"))
     return numbered.withColumn("split", split).drop("__number")
 
 
 def contiguous_folds(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 5, name: str = "fold", days: int = SLICE_DAYS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 5, name: str = "fold", slice_hours: int | None = None
 ) -> DataFrame:
     """Unshuffled fold number 0..k-1 per key; the first ``rows % k`` folds get one row more."""
-    numbered = with_row_numbers(df, keys, order, "__number", "__total", days)
+    numbered = with_row_numbers(df, keys, order, "__number", "__total", slice_hours)
     index, total = F.col("__number") - 1, F.col("__total")
     size = F.floor(total / k)
     longer = total % k

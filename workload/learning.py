@@ -121,7 +121,7 @@ def second_level_model(spark, sf_dir):
     inputs = ["doy", "hour", "lat", "lon", *slot_columns()]
     ready = tr.assemble(scaled, inputs, "target").persist()
     train, test = ready.where(F.col("split") == "train"), ready.where(F.col("split") == "test")
-    model = tr.stacked(train, {"linear": {"alpha": 0.01}, "xgb": BOOSTED}, KEYS, ORDER, k=2)
+    model = tr.stacked(train, {"linear": {"alpha": 0.01}, "xgb": BOOSTED}, [], ["ts", "station_id"], k=2)
     predicted = invert_scaler(model.transform(test), params, {"pred": "target", "label": "target"}, by=())
     names = ("rmse", "mae", "mbe", "r2")
     return regression_metrics(predicted, ["station_id"], real="label", names=names, extra=[F.count(F.lit(1)).alias("n_samples")])
