@@ -21,7 +21,13 @@ def canonical_coordinates(df: DataFrame, key: str = "station_id", columns: Seque
 
 def with_canonical_coordinates(df: DataFrame, key: str = "station_id", columns: Sequence[str] = tuple(schemas.COORDINATES)) -> DataFrame:
     """Overwrite the coordinates of every row by the station's canonical ones."""
-    return df.drop(*columns).join(small_side(canonical_coordinates(df, key, columns)), key, "left")
+    return overwrite_coordinates(df, canonical_coordinates(df, key, columns), key, columns)
+
+
+def overwrite_coordinates(
+    df: DataFrame, canonical: DataFrame, key: str = "station_id", columns: Sequence[str] = tuple(schemas.COORDINATES)
+) -> DataFrame:
+    return df.drop(*columns).join(small_side(canonical), key, "left").select(*df.columns)
 
 
 def parse_time(df: DataFrame, date_col: str = "data", hour_col: str = "hour") -> DataFrame:
@@ -42,11 +48,15 @@ def cast_measurements(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def drop_duplicate_times(df: DataFrame, keys: Sequence[str] = ("station_id", "ts")) -> DataFrame:
     """One row per station and time: the smallest by all other columns, so the choice is repeatable.
 
-    The minimum of a struct combines on the map side; no group is ever held in one place.
+    Duplicates are rare, so only the keys are shuffled to find them; all other
+    rows pass through unshuffled. Rows with a null key are kept as they are.
     """
+    keys = list(keys)
+    repeated = small_side(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*keys))
     others = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("kept"))
-    return kept.select(*keys, *[F.col(f"kept.{c}").alias(c) for c in others]).select(*df.columns)
+    kept = df.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*others)).alias("kept"))
+    resolved = kept.select(*keys, *[F.col(f"kept.{c}").alias(c) for c in others])
+    return df.join(repeated, keys, "left_anti").select(*df.columns).unionByName(resolved.select(*df.columns))
 
 
 def daylight(df: DataFrame, hours: tuple[int, int] = schemas.DAYLIGHT_HOURS, time_col: str = "ts") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sunmesh.operators.ordered import with_row_numbers
 from sunmesh.operators.quantiles import exact_quantiles
+from sunmesh.operators.sizing import small_side
 
 
 def monthly_totals_mean(df: DataFrame, value: str, key: str = "station_id", time_col: str = "ts") -> DataFrame:
@@ -37,18 +38,14 @@ def station_daily_means(df: DataFrame, value: str, key: str = "station_id", time
 def drop_minimum(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Rows above the minimum of their group."""
     lowest = df.groupBy(*by).agg(F.min(value).alias("__lowest"))
-    return df.join(lowest, list(by)).where(F.col(value) > F.col("__lowest")).select(*df.columns)
+    return df.join(small_side(lowest), list(by)).where(F.col(value) > F.col("__lowest")).select(*df.columns)
 
 
 def box_statistics(df: DataFrame, value: str, by: Sequence[str], whisker: float = 1.5) -> DataFrame:
     """Quartiles and whisker ends (outermost values within ``whisker`` quartile ranges) per group."""
     q = exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
-    box = q.select(
-        *by,
-        F.get("quantiles", F.lit(0)).alias("q1"),
-        F.get("quantiles", F.lit(1)).alias("median"),
-        F.get("quantiles", F.lit(2)).alias("q3"),
-    )
+    names = ["q1", "median", "q3"]
+    box = small_side(q.select(*by, *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)]))
     reach = (F.col("q3") - F.col("q1")) * whisker
     inside = df.join(box, list(by)).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     ends = inside.groupBy(*by).agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
@@ -70,5 +67,5 @@ def residual_histogram(
 
     x_bin = bin_of((F.col("__number") - 1).cast("double"), F.lit(0.0), (F.col("__total") - 1).cast("double"), bins[0])
     y_bin = bin_of(F.col(value), F.col("__low"), F.col("__high"), bins[1])
-    binned = placed.join(ranges, keys).select(*keys, x_bin.alias("x_bin"), y_bin.alias("y_bin"))
+    binned = placed.join(small_side(ranges), keys).select(*keys, x_bin.alias("x_bin"), y_bin.alias("y_bin"))
     return binned.groupBy(*keys, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))

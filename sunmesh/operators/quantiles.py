@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunmesh.operators.sizing import small_side
+
 SKETCH_ACCURACY = 5_000
 
 
@@ -32,11 +34,13 @@ def exact_quantiles(
     """One row per key with ``name``: array of linearly interpolated quantiles, in the order asked for.
 
     Nulls are ignored; keys without a value are left out. Key columns must not be null.
+    The input is read three times (sketch, counts, brackets), each time without
+    shuffling its values, so pass a stored table if it is costly to derive.
     """
     keys = list(keys)
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     probes = F.array(*[F.lit(p) for p in _rank_probes(probabilities, accuracy)])
-    edges = values.groupBy(*keys).agg(F.percentile_approx("__v", probes, accuracy).alias("__edges"))
+    edges = small_side(values.groupBy(*keys).agg(F.percentile_approx("__v", probes, accuracy).alias("__edges")))
 
     # Bin number = how many edges lie below the value; it rises with the value.
     n_probes = len(_rank_probes(probabilities, accuracy))
@@ -68,7 +72,9 @@ def exact_quantiles(
             (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__local"),
         )
     )
-    hits = ranks.groupBy(*keys, "__bin").agg(F.collect_set(F.struct("__local", "__slot", "__fraction")).alias("__wanted"))
+    # At most two ranks per asked quantile fall into a bin, so the lists are short.
+    wanted_ranks = F.collect_set(F.struct("__local", "__slot", "__fraction")).alias("__wanted")
+    hits = small_side(ranks.groupBy(*keys, "__bin").agg(wanted_ranks))
 
     # Equal values are counted before the shuffle, so a constant column stays one row.
     per_bin = Window.partitionBy(*keys, "__bin").orderBy("__v")
@@ -144,5 +150,5 @@ def mask_outliers(
         outside = (F.col(name) <= F.col(f"__{name}.low")) | (F.col(name) >= F.col(f"__{name}.high"))
         return F.when(F.coalesce(outside, F.lit(False)), F.lit(None)).otherwise(F.col(name))
 
-    joined = df.withColumn("__hour", F.hour(time_col)).join(limits, [key, "__hour"], "left")
+    joined = df.withColumn("__hour", F.hour(time_col)).join(small_side(limits), [key, "__hour"], "left")
     return joined.withColumns({c: masked(c) for c in columns}).select(*df.columns)

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sunmesh.sources.tables import materialise
+
 BROADCAST_ROWS = 500_000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` has at most ``max_rows`` rows; otherwise leave the join to the optimizer.
+    """Store ``df``, count it, and hint a broadcast if it has at most ``max_rows`` rows.
 
-    The count stops at ``max_rows + 1`` rows. Meant for station-sized tables of
-    a few narrow columns; beyond the bound the join is a shuffled one, whose hot
-    keys adaptive execution splits.
+    Meant for tables of a few narrow columns per station or group. Storing them
+    means that the aggregation behind them runs once, and that the join starts
+    with a known size: without it the planner would shuffle the large side by a
+    possibly very frequent key. Beyond the bound the optimizer chooses, and
+    adaptive execution splits the frequent keys of a shuffled join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    stored = materialise(df, "small-side")
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunmesh.functions.radiation import hourly_radiation
@@ -46,8 +46,11 @@ def empirical_predictions(
 ) -> DataFrame:
     """``station_id, ts, emp_pred, real`` for every daylight hour of a complete day."""
     settings = VARIANTS[variant]
-    complete = df.dropna("any", subset=[value])
-    hours = with_site(with_daily_totals(complete, daily_totals(complete, value, rows_per_day)), sites)
+    # A day has few rows, so a window gives each hour its total with a single shuffle.
+    day = Window.partitionBy("station_id", F.to_date("ts"))
+    totals = {"daily_total": F.sum(value).over(day), "__n": F.count(F.lit(1)).over(day)}
+    complete = df.dropna("any", subset=[value]).withColumns(totals).where(F.col("__n") == rows_per_day)
+    hours = with_site(complete, sites)
     predicted = hourly_radiation(
         F.col("lat"),
         F.col("lon"),

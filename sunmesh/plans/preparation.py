@@ -53,10 +53,10 @@ class Prepared:
 
 def clean(readings: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Unique, valid daylight readings with canonical coordinates and the target, outliers removed."""
-    unique = cl.drop_duplicate_times(readings)
-    located = cl.with_canonical_coordinates(unique)
-    day = cl.daylight(located, settings.daylight_hours)
+    day = cl.drop_duplicate_times(cl.daylight(readings, settings.daylight_hours))
     valid = cl.mask_ranges(day, upper_exclusive={"radiacao_global": settings.max_radiation})
+    located = cl.overwrite_coordinates(valid, cl.canonical_coordinates(readings))
+    valid = materialise(located, "daylight", ["station_id", "ts"])
     # The target is taken after the daylight filter and before the range rules, like the readings it copies.
     led = next_hour_target(valid, "radiacao_global", schemas.TARGET, settings.hours_ahead, settings.strict_time)
     ranged = cl.mask_sentinel(cl.mask_ranges(led, settings.lower_limits), [*schemas.MEASUREMENTS, schemas.TARGET])

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sunmesh.operators.sizing import small_side
+
 REGISTRY_SCHEMA = T.StructType(
     [
         T.StructField("dataset", T.StringType()),
@@ -82,7 +84,7 @@ def parse_params(text: Column) -> Column:
 
 def winners_only(rows: DataFrame, winners: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (predictions, registry entries) of the winning models: the signature is an equi-join key."""
-    return rows.join(winners.select(*keys).distinct(), keys, "left_semi")
+    return rows.join(small_side(winners.select(*keys).distinct()), keys, "left_semi")
 
 
 def parameter_report(winners: DataFrame, parameters: list[str], key: str = "station_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sunmesh import schemas
 from sunmesh.functions.text import decimal_comma, file_name_field, observation_time, strip_accents, title_case
+from sunmesh.operators.sizing import small_side
 
 # Patterns of a data row's date and of a file name inside a path.
 DATE_PATTERN = r"^\s*\d{4}[-/]\d{2}[-/]\d{2}\s*$"
@@ -99,7 +100,7 @@ def observations(cells: DataFrame) -> DataFrame:
         observation_time(F.col("c0"), F.col("c1")).alias("ts"),
         *[decimal_comma(F.col(f"c{i}")).alias(c) for i, c in enumerate(schemas.RAW_COLUMNS) if i >= 2],
     )
-    return typed.join(headers(cells), "file_name", "left").select(*schemas.READING_SCHEMA.names)
+    return typed.join(small_side(headers(cells)), "file_name", "left").select(*schemas.READING_SCHEMA.names)
 
 
 def read_station_files(spark: SparkSession, paths: str | Sequence[str], select_files: bool = True) -> DataFrame:
