@@ -13,6 +13,7 @@ from sunmesh.operators.ordered import every_nth_split
 from sunmesh.operators.scaling import apply_scaler, fit_scaler
 from sunmesh.operators.sizing import small_side
 from sunmesh.operators.slots import SLOTS, neighbour_slots, slot_columns
+from sunmesh.sources.tables import materialise
 
 
 def estimator_errors(best: DataFrame, key: str = "station_id") -> DataFrame:
@@ -83,7 +84,7 @@ def second_level_set(rows: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, Da
     Returns the scaled rows and the parameter table needed to undo the scaling.
     """
     columns = ["target", "doy", "hour", "lat", "lon", *slot_columns(slots)]
-    typed = rows.withColumns({c: F.col(c).cast("double") for c in ("doy", "hour")})
+    typed = materialise(rows.withColumns({c: F.col(c).cast("double") for c in ("doy", "hour")}), "second-level", ["station_id", "ts"])
     params = fit_scaler(typed, columns, "mM", by=())
     split = every_nth_split(typed, ["station_id"], ["ts"], 5)
     return apply_scaler(split, params, columns, by=()), params

@@ -10,6 +10,7 @@ from sunmesh.operators.metrics import rounded
 from sunmesh.operators.ordered import contiguous_folds, every_nth_split, forward_fill, next_hour_target, with_row_numbers
 from sunmesh.operators.quantiles import exact_quantiles, mask_outliers, quartiles_by_hour
 from sunmesh.sources.registry import STATION_PATTERN
+from sunmesh.sources.tables import materialise
 from workload import fixtures as fx
 from workload.core import query
 
@@ -366,7 +367,7 @@ def station_quantiles(spark, sf_dir):
     ["v", "target"],
 )
 def outliers(spark, sf_dir):
-    day = next_hour_target(_daylight_hourly(spark, sf_dir), "v", "target")
+    day = materialise(next_hour_target(_daylight_hourly(spark, sf_dir), "v", "target"), "daylight")
     return mask_outliers(day, ["v", "target"], 0.0)
 
 
