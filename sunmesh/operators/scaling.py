@@ -45,10 +45,13 @@ def _wide(params: DataFrame, columns: Sequence[str], by: list[str]) -> DataFrame
 
 
 def _with_params(df: DataFrame, params: DataFrame, columns: Sequence[str], by: list[str]) -> DataFrame:
-    wide = _wide(params, columns, by)
-    return df.join(small_side(wide), by, "left") if by else df.withColumn("__one", F.lit(1)).join(
-        F.broadcast(wide.withColumn("__one", F.lit(1))), "__one", "left"
-    )
+    if by:
+        return df.join(small_side(_wide(params, columns, by)), by, "left")
+    # A single set has one row per named column: its numbers go into the expressions themselves.
+    fitted = {r.feature: r for r in params.where(F.col("feature").isin(*columns)).collect()}
+    pair = lambda r: F.struct(F.lit(r.center).alias("center"), F.lit(r.scale).alias("scale"))
+    missing = F.struct(F.lit(None).cast("double").alias("center"), F.lit(None).cast("double").alias("scale"))
+    return df.withColumns({f"__{c}": pair(fitted[c]) if c in fitted else missing for c in columns})
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, columns: Sequence[str], by: Sequence[str] = ("station_id",)) -> DataFrame:

@@ -216,7 +216,7 @@ def fill_nulls(spark, sf_dir):
     return shown.fillna(0.0, ["radiation", "temperature"]).fillna("--", ["pressure"])
 
 
-@query("b18_rename", "select station_id as station, ts as datetime, pred as estimado, real as valor_real from site_preds", ["estimado", "valor_real"])
+@query("b18_rename", "select station_id as station, ts as datetime, pred as estimado, real as valor_real from site_preds", ["estimado", "valor_real"], 8)
 def rename(spark, sf_dir):
     names = {"station_id": "station", "ts": "datetime", "pred": "estimado", "real": "valor_real"}
     return fx.site_preds(spark, sf_dir).withColumnsRenamed(names)
@@ -334,6 +334,7 @@ def fill_forward(spark, sf_dir):
     select station_id, cast(hour(ts) as int) as hour, 'v' as feature, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3
     from hourly group by station_id, hour(ts)""",
     QUARTERS,
+    9,
 )
 def station_hour_quartiles(spark, sf_dir):
     return quartiles_by_hour(fx.hourly(spark, sf_dir), ["v"])
@@ -377,6 +378,7 @@ def outliers(spark, sf_dir):
     select station_id, ts, pred, case when (row_number() over (partition by station_id order by ts) - 1) % 5 = 0
            then 'test' else 'train' end as split from site_preds""",
     ["pred"],
+    8,
 )
 def every_fifth_row(spark, sf_dir):
     return every_nth_split(fx.site_preds(spark, sf_dir).drop("real"), ["station_id"], ["ts"], 5)

@@ -49,6 +49,7 @@ def robust_scaler(spark, sf_dir):
     "i5_inverse_scaling",
     "select station_id, ts, pred, real from site_preds",
     ["pred", "real"],
+    8,
 )
 def inverse_scaling(spark, sf_dir):
     preds = fx.site_preds(spark, sf_dir)
@@ -126,12 +127,18 @@ def apply_principal_component(spark, sf_dir):
     return apply_pca(source, fit_pca(source, PCA_INPUTS, 1), PCA_INPUTS, ["pca"])
 
 
-@query("i1_two_components")
+@query(
+    "i1_two_components",
+    PCA_SQL
+    + """ select station_id, 0e0 as first_mean, ev as first_variance, 0e0 as second_mean,
+                 3e0 * m - ev - (m + 2e0 * p * cos(acos(greatest(-1e0, least(1e0, h))) / 3e0 + 2e0 * pi() / 3e0)) as second_variance from u""",
+    ["first_mean", "first_variance", "second_mean", "second_variance"],
+)
 def two_components(spark, sf_dir):
     source = _pca_source(spark, sf_dir)
     scores = apply_pca(source, fit_pca(source, PCA_INPUTS, 2), PCA_INPUTS, ["first", "second"])
     return scores.groupBy("station_id").agg(
-        *[F.round(f(c), 6).alias(f"{c}_{n}") for c in ("first", "second") for f, n in ((F.avg, "mean"), (F.var_samp, "variance"))]
+        *[f(c).alias(f"{c}_{n}") for c in ("first", "second") for f, n in ((F.avg, "mean"), (F.var_samp, "variance"))]
     )
 
 
@@ -181,8 +188,23 @@ def site_cross_validation(spark, sf_dir):
     return best.select("station_id", "mse", "intercept", F.get("coefficients", F.lit(0)).alias("slope"))
 
 
-@query("i9_site_penalty_search")
+@query(
+    "i9_site_penalty_search",
+    """
+    with f as (select station_id, ts, pred, pred * 2e0 + (day(ts) % 7) * 9e0 as real, ntile(5) over (partition by station_id order by ts) - 1 as fold
+               from site_preds),
+    k as (select unnest(range(5)) as fold), p as (select unnest([0e0, 10e0, 1000e0, 10000e0]) as alpha),
+    s as (select f.station_id, k.fold, count(*) as n, avg(pred) as mx, avg(real) as my, var_pop(pred) as vx, covar_pop(pred, real) as cxy
+          from f join k on f.fold <> k.fold group by f.station_id, k.fold),
+    e as (select f.station_id, p.alpha, f.fold, avg(pow(f.real - s.my - s.n * s.cxy / (s.n * s.vx + p.alpha) * (f.pred - s.mx), 2)) as mse
+          from f cross join p join s on s.station_id = f.station_id and s.fold = f.fold group by f.station_id, p.alpha, f.fold),
+    m as (select station_id, alpha, avg(mse) as mse from e group by station_id, alpha having count(*) > 1),
+    b as (select station_id, arg_min(alpha, mse) as alpha, min(mse) as mse from m group by station_id),
+    a as (select station_id, count(*) as n, avg(pred) as mx, avg(real) as my, var_pop(pred) as vx, covar_pop(pred, real) as cxy from f group by station_id)
+    select b.station_id, b.alpha, b.mse, a.n * a.cxy / (a.n * a.vx + b.alpha) as slope from b join a on a.station_id = b.station_id""",
+    ["mse", "slope"],
+)
 def site_penalty_search(spark, sf_dir):
-    rows = fx.site_preds(spark, sf_dir).withColumns({"hour": F.hour("ts"), "doy": F.dayofyear("ts")})
-    best = cross_validated_linear(rows, ["pred", "hour", "doy"], "real", ["ts"], alphas=[0.0, 1.0, 10.0, 100.0])
-    return best.select("station_id", "alpha", F.round("mse", 6).alias("mse"))
+    rows = fx.site_preds(spark, sf_dir).withColumn("real", F.col("pred") * 2.0 + F.day("ts") % 7 * 9.0)
+    best = cross_validated_linear(rows, ["pred"], "real", ["ts"], alphas=[0.0, 10.0, 1000.0, 10000.0])
+    return best.select("station_id", "alpha", "mse", F.get("coefficients", F.lit(0)).alias("slope"))

@@ -118,7 +118,7 @@ def parquet_round_trip(spark, sf_dir):
     return tb.read_table(spark, path)
 
 
-@query("a7_csv_round_trip", "select station_id, ts, pred, real from site_preds", ["pred", "real"])
+@query("a7_csv_round_trip", "select station_id, ts, pred, real from site_preds", ["pred", "real"], 8)
 def csv_round_trip(spark, sf_dir):
     preds = fx.site_preds(spark, sf_dir)
     return tb.import_csv(spark, tb.export_csv(preds, scratch_path(spark, "predictions")), preds.schema)
@@ -241,6 +241,7 @@ def flipped_dates(spark, sf_dir):
     """select station_id, pred, strftime(ts, '%Y') as year, strftime(ts, '%m') as month, strftime(ts, '%d') as day, strftime(ts, '%H') as hour
        from site_preds""",
     ["pred"],
+    8,
 )
 def time_text_parts(spark, sf_dir):
     return tb.time_columns(fx.site_preds(spark, sf_dir).drop("real"))
@@ -280,7 +281,7 @@ def decimal_comma(spark, sf_dir):
     "h9_error_terms",
     "select l_orderkey, l_linenumber, ts, abs(pred - real) as absolute, pow(pred - real, 2) as squared, sqrt(abs(pred - real)) as root from forecasts",
     ["absolute", "squared", "root"],
-    9,
+    7,
 )
 def error_terms(spark, sf_dir):
     miss = F.col("pred") - F.col("real")

@@ -102,14 +102,23 @@ def random_search(spark, sf_dir):
     return regression_metrics(predicted, ["station_id"], real="label")
 
 
-@query("i14_batch_inference")
+@query(
+    "i14_batch_inference",
+    POOLED_SQL
+    + """, p as (select station_id, avg(target) as center, case when stddev_pop(target) = 0 then 1e0 else stddev_pop(target) end as scale
+                 from r where day(ts) < 24 group by station_id),
+    m as (select regr_intercept((target - center) / scale, v) as a, regr_slope((target - center) / scale, v) as b
+          from r join p on p.station_id = r.station_id where day(ts) < 24)
+    select d.station_id, d.ts, (m.a + m.b * d.v) * p.scale + p.center as pred, s.lat, s.lon
+    from d cross join m join stations s on s.station_id = d.station_id left join p on p.station_id = d.station_id where day(d.ts) >= 24""",
+    ["pred", "lat", "lon"],
+)
 def batch_inference(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = _rows(spark, sf_dir).drop("lat", "lon")
     train = rows.where(F.day("ts") < 24)
     params = fit_scaler(train, ["target"], "std")
-    scaled = tr.assemble(apply_scaler(train, params, ["target"]), INPUTS, "target")
-    model = tr.estimator("rf", FOREST).fit(scaled)
-    return tr.batch_inference(model, rows.where(F.day("ts") >= 24), INPUTS, fx.stations(spark, sf_dir), params)
+    model = tr.estimator("linear").fit(tr.assemble(apply_scaler(train, params, ["target"]), ["v"], "target"))
+    return tr.batch_inference(model, rows.where(F.day("ts") >= 24), ["v"], fx.stations(spark, sf_dir), params)
 
 
 @query("i18_second_level_model")

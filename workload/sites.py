@@ -31,12 +31,12 @@ SLOTS_SQL = (
 )
 
 
-@query("e7_neighbour_slots", SLOTS_SQL.format(order=""), SLOT_COLUMNS)
+@query("e7_neighbour_slots", SLOTS_SQL.format(order=""), SLOT_COLUMNS, 8)
 def slots_by_station(spark, sf_dir):
     return neighbour_slots(comp.neighbour_predictions(fx.site_preds(spark, sf_dir), fx.error_pairs(spark, sf_dir)))
 
 
-@query("e7_neighbour_slots_by_error", SLOTS_SQL.format(order="error, "), SLOT_COLUMNS)
+@query("e7_neighbour_slots_by_error", SLOTS_SQL.format(order="error, "), SLOT_COLUMNS, 8)
 def slots_by_error(spark, sf_dir):
     near = comp.neighbour_predictions(fx.site_preds(spark, sf_dir), fx.error_pairs(spark, sf_dir))
     return neighbour_slots(near, slot_order="error")
@@ -267,6 +267,7 @@ def monthly_box_statistics(spark, sf_dir):
     """select station_id, ts, pred, case when (row_number() over (partition by station_id order by ts) - 1) % 4 = 3 then 'valid' else 'train' end as part
        from site_preds""",
     ["pred"],
+    8,
 )
 def three_quarter_split(spark, sf_dir):
     numbered = with_row_numbers(fx.site_preds(spark, sf_dir), ["station_id"], ["ts"], "n")
@@ -284,6 +285,7 @@ def random_split(spark, sf_dir):
     "g1_union_of_station_sets",
     "select station_id, ts, v, cast(null as double) as pred from hourly where day(ts) >= 24 union all select station_id, ts, real as v, pred from site_preds",
     ["v", "pred"],
+    8,
 )
 def union_of_station_sets(spark, sf_dir):
     late = fx.hourly(spark, sf_dir).where(F.day("ts") >= 24)

@@ -51,6 +51,7 @@ def same_time_neighbours(spark, sf_dir):
     + ", ".join(f"max(case when p.neighbour_id = {i} then f.pred end) as n_{i}" for i in range(fx.N_STATIONS))
     + " from train_pairs p join site_preds f on f.station_id = p.neighbour_id group by p.station_id, f.ts",
     [f"n_{i}" for i in range(fx.N_STATIONS)],
+    8,
 )
 def wide_neighbour_predictions(spark, sf_dir):
     preds = fx.site_preds(spark, sf_dir).select(F.col("station_id").alias("neighbour_id"), "ts", "pred")
