@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmesh.operators.ordered import with_row_numbers
+from sunmesh.operators.ordered import RANGE, with_row_numbers
 from sunmesh.operators.quantiles import exact_quantiles
 from sunmesh.operators.sizing import small_side
 
@@ -57,7 +57,7 @@ def residual_histogram(
 ) -> DataFrame:
     """Counts over row position x residual; equal-width bins with a closed last one, empty bins left out."""
     keys = list(keys)
-    placed = with_row_numbers(residuals.where(F.col(value).isNotNull()), keys, order, "__number", "__total")
+    placed = with_row_numbers(residuals.where(F.col(value).isNotNull()), keys, order, "__number", "__total", RANGE)
     ranges = residuals.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
 
     def bin_of(x, low, high, n):

@@ -6,6 +6,12 @@ is cut into time slices. The windows run inside ``(key, slice)``, and the few
 values that cross a slice border (counts, first or last rows) come from a
 summary with one row per slice, joined back on the same ``(key, slice)`` that
 the window is already partitioned by.
+
+The argument ``slices`` is the slice width in hours. Where a key has one row per
+hour, as a station has, such slices are small whatever the number of rows. If
+times repeat, so that even one hour of one key may be huge, pass ``RANGE``: the
+rows are then range-partitioned by the full order, tie-breaks included, and
+stored, and a slice is the part of a key inside one partition.
 """
 
 from __future__ import annotations
@@ -15,7 +21,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunmesh.sources.tables import materialise
+
 SLICE_HOURS = 720
+RANGE = "range"
 SLICE = "__slice"
 _FIRST_SLICE = -(2**31)
 
@@ -26,9 +35,13 @@ def time_slice(ts: Column, hours: int = SLICE_HOURS) -> Column:
     return F.coalesce(F.floor(elapsed / hours).cast("int"), F.lit(_FIRST_SLICE))
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], time_col: str, hours: int | None) -> DataFrame:
-    """Default width: a month of one key, or an hour of everything if there is no key."""
-    return df.withColumn(SLICE, time_slice(F.col(time_col), hours or (SLICE_HOURS if keys else 1)))
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | str | None) -> DataFrame:
+    """Add the slice number; default width is a month of one key, or an hour of everything if there is no key."""
+    if slices == RANGE:
+        # The partition number is stored with the rows, so that every later reader sees the same one.
+        ranged = df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
+        return materialise(ranged, "ranged")
+    return df.withColumn(SLICE, time_slice(F.col(order[0]), slices or (SLICE_HOURS if keys else 1)))
 
 
 def with_row_numbers(
@@ -37,14 +50,14 @@ def with_row_numbers(
     order: Sequence[str],
     name: str = "row_number",
     total: str | None = None,
-    slice_hours: int | None = None,
+    slices: int | str | None = None,
 ) -> DataFrame:
     """1-based position of each row inside its key; ``order[0]`` is the time column.
 
     ``total`` names an optional column with the number of rows of the key.
     """
     keys = list(keys)
-    sliced = _sliced(df, keys, order[0], slice_hours)
+    sliced = _sliced(df, keys, order, slices)
     per_key = Window.partitionBy(*keys).orderBy(SLICE)
     offsets = (
         sliced.groupBy(*keys, SLICE)
@@ -80,13 +93,13 @@ def with_lead(
     order: Sequence[str],
     columns: Mapping[str, str],
     rows: int = 1,
-    slice_hours: int | None = None,
+    slices: int | str | None = None,
 ) -> DataFrame:
     """Values found ``rows`` rows later in the key; ``columns`` maps new names to source columns."""
     keys = list(keys)
     payload = F.struct(*[F.col(source).alias(new) for new, source in columns.items()])
     in_slice = Window.partitionBy(*keys, SLICE)
-    ranked = _sliced(df, keys, order[0], slice_hours).withColumn("__rank", F.row_number().over(in_slice.orderBy(*order)))
+    ranked = _sliced(df, keys, order, slices).withColumn("__rank", F.row_number().over(in_slice.orderBy(*order)))
     heads = _border_rows(ranked, keys, "__rank", payload, rows)
     per_key = Window.partitionBy(*keys).orderBy(SLICE)
     no_rows = F.filter(F.col("__border"), lambda _: F.lit(False))
@@ -113,12 +126,12 @@ def forward_fill(
     order: Sequence[str],
     columns: Sequence[str],
     limit: int = 2,
-    slice_hours: int | None = None,
+    slices: int | str | None = None,
 ) -> DataFrame:
     """Fill nulls by the nearest earlier value that is at most ``limit`` rows away."""
     keys, columns = list(keys), list(columns)
     in_slice = Window.partitionBy(*keys, SLICE)
-    sliced = _sliced(df, keys, order[0], slice_hours)
+    sliced = _sliced(df, keys, order, slices)
     backwards = sliced.withColumn("__back", F.row_number().over(in_slice.orderBy(*[F.col(c).desc() for c in order])))
     tails = _border_rows(backwards, keys, "__back", F.struct(*columns), limit)
     per_key = Window.partitionBy(*keys).orderBy(SLICE)
@@ -151,14 +164,14 @@ def next_hour_target(
     strict_time: bool = False,
     key: str = "station_id",
     time_col: str = "ts",
-    slice_hours: int | None = None,
+    slices: int | str | None = None,
 ) -> DataFrame:
     """Target = ``value`` found ``rows`` rows later in the station.
 
     Apply it after the daylight filter: the last daylight row then gets the first
     one of the next day. ``strict_time`` keeps only targets exactly ``rows`` hours ahead.
     """
-    led = with_lead(df, [key], [time_col], {target: value, "__next_ts": time_col}, rows, slice_hours)
+    led = with_lead(df, [key], [time_col], {target: value, "__next_ts": time_col}, rows, slices)
     if strict_time:
         due = F.col(time_col) + F.make_interval(hours=F.lit(rows))
         led = led.withColumn(target, F.when(F.col("__next_ts") == due, F.col(target)))
@@ -166,19 +179,19 @@ def next_hour_target(
 
 
 def every_nth_split(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 5, slice_hours: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 5, slices: int | str | None = None
 ) -> DataFrame:
     """``split`` = ``test`` for the first and then every n-th row of a key, ``train`` for the others."""
-    numbered = with_row_numbers(df, keys, order, "__number", slice_hours=slice_hours)
+    numbered = with_row_numbers(df, keys, order, "__number", slices=slices)
     split = F.when((F.col("__number") - 1) % n == 0, F.lit("test")).otherwise(F.lit("train"))
     return numbered.withColumn("split", split).drop("__number")
 
 
 def contiguous_folds(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 5, name: str = "fold", slice_hours: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 5, name: str = "fold", slices: int | str | None = None
 ) -> DataFrame:
     """Unshuffled fold number 0..k-1 per key; the first ``rows % k`` folds get one row more."""
-    numbered = with_row_numbers(df, keys, order, "__number", "__total", slice_hours)
+    numbered = with_row_numbers(df, keys, order, "__number", "__total", slices)
     index, total = F.col("__number") - 1, F.col("__total")
     size = F.floor(total / k)
     longer = total % k

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from sunmesh.operators.ordered import contiguous_folds
 from sunmesh.operators.scaling import invert_scaler
 from sunmesh.operators.sizing import small_side
+from sunmesh.schemas import MODEL_NAMES
 from sunmesh.session import shared_folder
+from sunmesh.sources.registry import parse_params
 
 # Names of the tuned parameters and their Spark counterparts.
 PARAMETERS = {
@@ -97,6 +99,15 @@ def _number(value):
     return float(value) if "." in value or "e" in value else int(value)
 
 
+def best_estimator(winners: DataFrame, station_id, algorithm: str, key: str = "station_id") -> Estimator:
+    """Estimator with the parameters of a station's best run of ``algorithm``; ``winners`` holds one run per pair."""
+    model = MODEL_NAMES.get(algorithm, algorithm)
+    row = winners.where((F.col(key) == station_id) & (F.col("model") == model)).select(parse_params(F.col("params"))).first()
+    if row is None:
+        raise ValueError(f"station {station_id} has no result of {model}")
+    return estimator(algorithm, row[0])
+
+
 def assemble(df: DataFrame, features: Sequence[str], label: str | None = None) -> DataFrame:
     """Add the vector column ``features`` and, if given, ``label``; rows with a null in them are left out."""
     used = [*features, *([label] if label else [])]

@@ -30,7 +30,7 @@ def _expected(frame, column):
     return [None if pd.isna(v) else v for v in frame.sort_values(["key", "ts"])[column]]
 
 
-@pytest.mark.parametrize("hours", [1, 24, 168, 720, 24000])
+@pytest.mark.parametrize("hours", [1, 24, 168, 720, 24000, "range"])
 @pytest.mark.parametrize("rows", [1, 3])
 def test_lead_equals_shift(spark, hours, rows):
     frame, df = _series(spark)
@@ -38,7 +38,7 @@ def test_lead_equals_shift(spark, hours, rows):
     assert _values(od.with_lead(df, ["key"], ["ts"], {"next": "v"}, rows, hours), "next") == _expected(frame, "next")
 
 
-@pytest.mark.parametrize("hours", [1, 24, 168, 24000])
+@pytest.mark.parametrize("hours", [1, 24, 168, 24000, "range"])
 @pytest.mark.parametrize("limit", [1, 2, 4])
 def test_forward_fill_equals_pandas(spark, hours, limit):
     frame, df = _series(spark)
@@ -49,17 +49,17 @@ def test_forward_fill_equals_pandas(spark, hours, limit):
 def test_forward_fill_hand_case(spark):
     values = [1.0, None, None, None, None, 2.0, None]
     df = spark.createDataFrame([("a", dt.datetime(2020, 1, 1 + i), v) for i, v in enumerate(values)], "key string, ts timestamp_ntz, v double")
-    assert _values(od.forward_fill(df, ["key"], ["ts"], ["v"], 2, slice_hours=24), "v") == [1.0, 1.0, 1.0, None, None, 2.0, 2.0]
+    assert _values(od.forward_fill(df, ["key"], ["ts"], ["v"], 2, slices=24), "v") == [1.0, 1.0, 1.0, None, None, 2.0, 2.0]
 
 
-@pytest.mark.parametrize("hours", [1, 24, 720])
+@pytest.mark.parametrize("hours", [1, 24, 720, "range"])
 def test_row_numbers_and_folds(spark, hours):
     frame, df = _series(spark)
     numbered = od.with_row_numbers(df, ["key"], ["ts"], "n", "total", hours)
     frame["n"] = frame.sort_values("ts").groupby("key").cumcount() + 1
     assert _values(numbered, "n") == _expected(frame, "n")
     assert {r[0] for r in numbered.where("key = 'cold'").select("total").collect()} == {23}
-    folds = od.contiguous_folds(df.where("key = 'cold'"), ["key"], ["ts"], 5, slice_hours=hours)
+    folds = od.contiguous_folds(df.where("key = 'cold'"), ["key"], ["ts"], 5, slices=hours)
     sizes = [r[1] for r in folds.groupBy("fold").count().orderBy("fold").collect()]
     assert sizes == [5, 5, 5, 4, 4]
 
@@ -69,6 +69,20 @@ def test_fewer_rows_than_folds(spark):
     assert sorted(r.fold for r in od.contiguous_folds(df, ["key"], ["ts"], 5).collect()) == [0, 1, 2]
 
 
+def test_one_time_holding_most_rows_is_split(spark):
+    hot = dt.datetime(2020, 1, 1)
+    rows = [("a", hot, i) for i in range(5000)] + [("a", hot + dt.timedelta(days=i), i) for i in range(1, 50)] + [("b", hot, 1)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, i int").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    numbered = od.with_row_numbers(df, ["key"], ["ts", "i"], "n", slices=od.RANGE).collect()
+    parts = od._sliced(df, ["key"], ["ts", "i"], od.RANGE).groupBy("key", od.SLICE).count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(p["count"] for p in parts) < 2000
+    expected = {r: i + 1 for i, r in enumerate(sorted(r for r in rows if r[0] == "a"))} | {("b", hot, 1): 1}
+    assert {(r.key, r.ts, r.i): r.n for r in numbered} == expected
+
+
 def test_numbers_without_a_key(spark):
     frame, df = _series(spark)
     numbered = od.with_row_numbers(df, [], ["ts", "key"], "n").orderBy("n").collect()
@@ -92,7 +106,7 @@ def test_target_runs_over_night_and_strict_time(spark):
 
 def test_every_fifth_row(spark):
     df = spark.createDataFrame([("a", dt.datetime(2020, 1, 1) + dt.timedelta(days=i)) for i in range(12)], "key string, ts timestamp_ntz")
-    split = od.every_nth_split(df, ["key"], ["ts"], 5, slice_hours=72).orderBy("ts").collect()
+    split = od.every_nth_split(df, ["key"], ["ts"], 5, slices=72).orderBy("ts").collect()
     assert [i for i, r in enumerate(split) if r.split == "test"] == [0, 5, 10]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sunmesh.functions.text import normalise_name
 from sunmesh.operators import cleaning as cl
 from sunmesh.operators.metrics import rounded
-from sunmesh.operators.ordered import contiguous_folds, every_nth_split, forward_fill, next_hour_target, with_row_numbers
+from sunmesh.operators.ordered import RANGE, contiguous_folds, every_nth_split, forward_fill, next_hour_target, with_row_numbers
 from sunmesh.operators.quantiles import exact_quantiles, mask_outliers, quartiles_by_hour
 from sunmesh.sources.registry import STATION_PATTERN
 from sunmesh.sources.tables import materialise
@@ -402,5 +402,5 @@ def folds(spark, sf_dir):
 )
 def modulo_of_row_number(spark, sf_dir):
     order = ["ts", "l_orderkey", "l_linenumber", "pred"]
-    numbered = with_row_numbers(fx.forecasts(spark, sf_dir), ["station_id"], order, "n")
+    numbered = with_row_numbers(fx.forecasts(spark, sf_dir), ["station_id"], order, "n", slices=RANGE)
     return numbered.select("station_id", "l_orderkey", "l_linenumber", "ts", "pred", (F.col("n") % 7).alias("position"))

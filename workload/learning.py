@@ -148,5 +148,6 @@ def model_store(spark, sf_dir):
     root = scratch_path(spark, "models")
     row = rg.save_model(tr.estimator("linear").fit(rows), root, "original", "pooled", "LinearRegression", "2024-01-31-00-00-00", {"alpha": 0.0})
     stored = rg.registry_table(spark, [row]).select("algorithm", "path")
-    loaded = rg.load_model(row["path"]).transform(rows).withColumn("path", F.lit(row["path"]))
-    return loaded.join(stored, "path").select("station_id", "ts", "pred", "algorithm")
+    found = stored.first()
+    loaded = rg.load_model(found.path).transform(rows)
+    return loaded.select("station_id", "ts", "pred", F.lit(found.algorithm).alias("algorithm"))
