@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,22 +21,21 @@ from sunmesh.operators.sizing import small_side
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
+def _moments(columns: Sequence[str]) -> list[Column]:
+    """Aggregates ``n``, ``mean`` and population ``cov`` (row by row) over rows complete in ``columns``."""
+    complete = F.lit(True)
+    for name in columns:
+        complete = complete & F.col(name).isNotNull()
+    values = [F.when(complete, F.col(c)) for c in columns]
+    # The covariance is symmetric: each pair is named once, and equal aggregates are computed once.
+    pairs = [(min(a, b), max(a, b)) for a in range(len(columns)) for b in range(len(columns))]
+    cov = F.array(*[F.covar_pop(values[a], values[b]) for a, b in pairs])
+    return [F.count_if(complete).alias("n"), F.array(*[F.avg(v) for v in values]).alias("mean"), cov.alias("cov")]
+
+
 def grouped_moments(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``(by.., n, mean, cov)`` over rows without nulls; ``cov`` is the population covariance, row by row."""
-    columns = list(columns)
-    # Each pair is aggregated once, the symmetric half is read back.
-    upper = {
-        (a, b): F.covar_pop(F.col(columns[a]), F.col(columns[b])).alias(f"__c{a}_{b}")
-        for a in range(len(columns))
-        for b in range(a, len(columns))
-    }
-    summed = (
-        df.dropna("any", subset=columns)
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("mean"), *upper.values())
-    )
-    full = [F.col(f"__c{min(a, b)}_{max(a, b)}") for a in range(len(columns)) for b in range(len(columns))]
-    return summed.select(*by, "n", "mean", F.array(*full).alias("cov"))
+    """``(by.., n, mean, cov)`` over rows without nulls."""
+    return df.groupBy(*by).agg(*_moments(columns)).where(F.col("n") > 0)
 
 
 def _signed(vector: np.ndarray) -> np.ndarray:
@@ -44,76 +43,94 @@ def _signed(vector: np.ndarray) -> np.ndarray:
     return vector if vector[np.argmax(np.abs(vector))] > 0 else -vector
 
 
-def fit_pca(df: DataFrame, columns: Sequence[str], n_components: int, by: Sequence[str] = ("station_id",)) -> DataFrame:
-    """``(by.., component, mean, loadings, variance)``, centred, strongest component (0) first.
+def fit_pca_groups(
+    df: DataFrame, groups: Mapping[str, tuple[Sequence[str], Sequence[str]]], by: Sequence[str] = ("station_id",)
+) -> DataFrame:
+    """``(by.., group, component, mean, loadings, variance)``, centred, strongest component (0) first.
 
-    ``variance`` is the sample variance of the component's scores.
+    ``groups`` maps a group name to its input columns and the names of its
+    components. All groups come from one pass over the data. ``variance`` is the
+    sample variance of the component's scores.
     """
-    moments = grouped_moments(df, by, columns).where(F.col("n") > 1)
-    fields = [moments.schema[c] for c in by]
+    keys = list(by)
+    counts = {name: len(new_columns) for name, (_, new_columns) in groups.items()}
+    parts = [F.struct(F.lit(name).alias("group"), *_moments(columns)) for name, (columns, _) in groups.items()]
+    moments = (
+        df.groupBy(*keys)
+        .agg(F.array(*parts).alias("__parts"))
+        .select(*keys, F.inline("__parts"))
+        .where(F.col("n") > 1)
+    )
     schema = T.StructType(
-        fields
+        [moments.schema[c] for c in keys]
         + [
+            T.StructField("group", T.StringType()),
             T.StructField("component", T.IntegerType()),
             T.StructField("mean", DOUBLES),
             T.StructField("loadings", DOUBLES),
             T.StructField("variance", T.DoubleType()),
         ]
     )
-    keys, width = list(by), len(columns)
 
     def solve(batches):
         for rows in batches:
-            if rows.empty:
-                continue
-            cov = np.stack(rows["cov"].to_numpy()).reshape(-1, width, width)
-            values, vectors = np.linalg.eigh(cov)
-            sample = (rows["n"] / (rows["n"] - 1)).to_numpy()
-            for component in range(n_components):
-                out = rows[keys].copy()
-                out["component"] = np.int32(component)
-                out["mean"] = rows["mean"]
-                out["loadings"] = [_signed(v) for v in vectors[:, :, width - 1 - component]]
-                out["variance"] = values[:, width - 1 - component] * sample
-                yield out
+            for name, part in rows.groupby("group"):
+                width = len(part["mean"].iloc[0])
+                values, vectors = np.linalg.eigh(np.stack(part["cov"].to_numpy()).reshape(-1, width, width))
+                sample = (part["n"] / (part["n"] - 1)).to_numpy()
+                for component in range(counts[name]):
+                    out = part[[*keys, "group"]].copy()
+                    out["component"] = np.int32(component)
+                    out["mean"] = part["mean"]
+                    out["loadings"] = [_signed(v) for v in vectors[:, :, width - 1 - component]]
+                    out["variance"] = values[:, width - 1 - component] * sample
+                    yield out
 
     return moments.mapInPandas(solve, schema)
 
 
-def apply_pca(
+def apply_pca_groups(
     df: DataFrame,
     params: DataFrame,
-    columns: Sequence[str],
-    new_columns: Sequence[str],
+    groups: Mapping[str, tuple[Sequence[str], Sequence[str]]],
     by: Sequence[str] = ("station_id",),
     drop_inputs: bool = True,
 ) -> DataFrame:
-    """Scores of each row under its group's components; null where an input is null."""
+    """Scores of each row under its key's components; null where an input is null."""
     by = list(by)
-    wide = params.groupBy(*by).agg(
-        *[F.max(F.when(F.col("component") == i, F.struct("mean", "loadings"))).alias(f"__p{i}") for i in range(len(new_columns))]
-    )
+    fitted = {
+        new: F.max(F.when((F.col("group") == name) & (F.col("component") == i), F.struct("mean", "loadings"))).alias(f"__{new}")
+        for name, (_, new_columns) in groups.items()
+        for i, new in enumerate(new_columns)
+    }
+    wide = params.groupBy(*by).agg(*fitted.values())
 
-    def score(i: int):
-        terms = [
-            (F.col(c) - F.get(F.col(f"__p{i}.mean"), F.lit(j))) * F.get(F.col(f"__p{i}.loadings"), F.lit(j))
-            for j, c in enumerate(columns)
-        ]
+    def score(new: str, columns: Sequence[str]):
+        at = lambda part, j: F.get(F.col(f"__{new}.{part}"), F.lit(j))
+        terms = [(F.col(c) - at("mean", j)) * at("loadings", j) for j, c in enumerate(columns)]
         return sum(terms[1:], terms[0])
 
-    joined = df.join(small_side(wide), by, "left").withColumns({n: score(i) for i, n in enumerate(new_columns)})
-    kept = [c for c in df.columns if not (drop_inputs and c in columns)]
-    return joined.select(*kept, *new_columns)
+    scores = {new: score(new, columns) for columns, new_columns in groups.values() for new in new_columns}
+    inputs = {c for columns, _ in groups.values() for c in columns} if drop_inputs else set()
+    joined = df.join(small_side(wide), by, "left").withColumns(scores)
+    return joined.select(*[c for c in df.columns if c not in inputs], *scores)
+
+
+def fit_pca(df: DataFrame, columns: Sequence[str], n_components: int, by: Sequence[str] = ("station_id",)) -> DataFrame:
+    """Components of one column group: ``(by.., component, mean, loadings, variance)``."""
+    return fit_pca_groups(df, {"": (columns, [str(i) for i in range(n_components)])}, by).drop("group")
 
 
-def reduce_groups(
-    df: DataFrame, groups: Mapping[str, tuple[Sequence[str], Sequence[str]]], fit_on: DataFrame | None = None, by: Sequence[str] = ("station_id",)
+def apply_pca(
+    df: DataFrame,
+    params: DataFrame,
+    columns: Sequence[str],
+    new_columns: Sequence[str],
+    by: Sequence[str] = ("station_id",),
+    drop_inputs: bool = True,
 ) -> DataFrame:
-    """Replace each column group by its principal components, fitted on ``fit_on`` (default: the data itself)."""
-    source = df if fit_on is None else fit_on
-    for columns, new_columns in groups.values():
-        df = apply_pca(df, fit_pca(source, columns, len(new_columns), by), columns, new_columns, by)
-    return df
+    """Scores of one column group."""
+    return apply_pca_groups(df, params.withColumn("group", F.lit("")), {"": (columns, new_columns)}, by, drop_inputs)
 
 
 def _solve_ridge(n: float, mean: np.ndarray, cov: np.ndarray, alpha: float) -> np.ndarray:

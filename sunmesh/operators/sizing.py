@@ -11,7 +11,7 @@ BROADCAST_ROWS = 500_000
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Store ``df``, count it, and hint a broadcast if it has at most ``max_rows`` rows.
+    """Store ``df``, count it (from the file footers), and hint a broadcast if it has at most ``max_rows`` rows.
 
     Meant for tables of a few narrow columns per station or group. Storing them
     means that the aggregation behind them runs once, and that the join starts
@@ -20,4 +20,4 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     adaptive execution splits the frequent keys of a shuffled join.
     """
     stored = materialise(df, "small-side")
-    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

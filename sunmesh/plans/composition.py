@@ -84,7 +84,7 @@ def second_level_set(rows: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, Da
     Returns the scaled rows and the parameter table needed to undo the scaling.
     """
     columns = ["target", "doy", "hour", "lat", "lon", *slot_columns(slots)]
-    typed = materialise(rows.withColumns({c: F.col(c).cast("double") for c in ("doy", "hour")}), "second-level", ["station_id", "ts"])
+    typed = materialise(rows.withColumns({c: F.col(c).cast("double") for c in ("doy", "hour")}), "second-level")
     params = fit_scaler(typed, columns, "mM", by=())
     split = every_nth_split(typed, ["station_id"], ["ts"], 5)
     return apply_scaler(split, params, columns, by=()), params

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sunmesh import schemas
 from sunmesh.operators import cleaning as cl
 from sunmesh.operators.idw import impute_cascade, impute_single_pass
-from sunmesh.operators.moments import apply_pca, fit_pca
+from sunmesh.operators.moments import apply_pca_groups, fit_pca_groups
 from sunmesh.operators.neighbours import station_pairs
 from sunmesh.operators.ordered import forward_fill, next_hour_target
 from sunmesh.operators.quantiles import mask_outliers
@@ -47,7 +47,7 @@ class Prepared:
     """Scaled rows of the stations to train."""
     status: DataFrame
     sites: DataFrame
-    pca: dict[str, DataFrame]
+    pca: DataFrame | None
     scaler: DataFrame
 
 
@@ -56,11 +56,11 @@ def clean(readings: DataFrame, settings: Settings = Settings()) -> DataFrame:
     day = cl.drop_duplicate_times(cl.daylight(readings, settings.daylight_hours))
     valid = cl.mask_ranges(day, upper_exclusive={"radiacao_global": settings.max_radiation})
     located = cl.overwrite_coordinates(valid, cl.canonical_coordinates(readings))
-    valid = materialise(located, "daylight", ["station_id", "ts"])
+    valid = materialise(located, "daylight")
     # The target is taken after the daylight filter and before the range rules, like the readings it copies.
     led = next_hour_target(valid, "radiacao_global", schemas.TARGET, settings.hours_ahead, settings.strict_time)
     ranged = cl.mask_sentinel(cl.mask_ranges(led, settings.lower_limits), [*schemas.MEASUREMENTS, schemas.TARGET])
-    stored = materialise(ranged, "cleaned", ["station_id", "ts"])
+    stored = materialise(ranged, "cleaned")
     return mask_outliers(stored, ["radiacao_global", schemas.TARGET], settings.outlier_margin)
 
 
@@ -80,23 +80,23 @@ def impute(cleaned: DataFrame, sites: DataFrame, settings: Settings = Settings()
     else:
         filled = impute_single_pass(cleaned, pairs, features, settings.min_stations)
     carried = [*features, "vento_rajada"]
-    return forward_fill(materialise(filled, "imputed", ["station_id", "ts"]), ["station_id"], ["ts"], carried, settings.fill_limit)
+    return forward_fill(materialise(filled, "imputed"), ["station_id"], ["ts"], carried, settings.fill_limit)
 
 
 def prepare(readings: DataFrame, settings: Settings = Settings(), pca_groups: Mapping[str, tuple[Sequence[str], Sequence[str]]] | None = None) -> Prepared:
     """The whole preparation. Each stored step is read by column afterwards, never recomputed."""
     pca_groups = schemas.PCA_GROUPS if pca_groups is None else pca_groups
-    cleaned = materialise(clean(readings, settings), "outliers-masked", ["station_id", "ts"])
+    cleaned = materialise(clean(readings, settings), "outliers-masked")
     sites = materialise(site_table(cleaned), "sites")
     complete = cl.drop_incomplete(impute(cleaned, sites, settings), [*schemas.MEASUREMENTS, schemas.TARGET])
-    split = materialise(cl.assign_split(cl.with_time_parts(complete), settings.test_years), "complete", ["station_id", "ts"])
+    split = materialise(cl.assign_split(cl.with_time_parts(complete), settings.test_years), "complete")
     status = materialise(cl.station_status(split, settings.min_rows), "status")
 
     fit_rows = split.where(F.col("split") == "train") if settings.fit_pca_on == "train" else split
-    params, reduced = {}, split
-    for name, (columns, new_columns) in pca_groups.items():
-        params[name] = materialise(fit_pca(fit_rows, columns, len(new_columns)), f"pca-{name}")
-        reduced = apply_pca(reduced, params[name], columns, new_columns)
+    params, reduced = None, split
+    if pca_groups:
+        params = materialise(fit_pca_groups(fit_rows, pca_groups), "components")
+        reduced = apply_pca_groups(split, params, pca_groups)
     rows = reduced.join(status.select("station_id", "status"), "station_id")
 
     dropped = {"station_id", "ts", "split", "status", "year", *schemas.COORDINATES}

@@ -3,7 +3,6 @@ import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from sunmesh.operators import ordered as od
 

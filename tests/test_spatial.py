@@ -2,9 +2,7 @@ import datetime as dt
 import math
 import random
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sunmesh.functions.geo import EARTH_RADIUS_KM
 from sunmesh.operators.idw import impute_cascade, impute_single_pass, interpolate

@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from sunmesh.operators.metrics import regression_metrics
 from sunmesh.plans import training as tr
