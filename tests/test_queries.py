@@ -19,6 +19,8 @@ def connection():
 @pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, connection, name):
     result = queries()[name](spark, LARGER.get(name, SF_DIR))
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "BatchEvalPython" not in plan
     if name in CHECKS:
         assert compare(result, CHECKS[name], connection) is None
     else:

@@ -1,7 +1,8 @@
 """Station-network tables derived from the given tables, as Spark plans and as SQL views.
 
 ``nation`` gives a 5 x 5 grid of stations, ``events`` their readings, and
-``lineitem`` forecasts with known errors.
+``lineitem`` forecasts with known errors. ``hourly`` loses about one cell in
+seven, so that there are gaps to fill; ``grid`` shows them as nulls.
 """
 
 from __future__ import annotations

@@ -169,7 +169,8 @@ def samples_file(spark, sf_dir):
     """
     select r.station_id, min(r.lat) as latitude, min(r.lon) as longitude, min(r.alt) as altitude,
            strftime(min(r.ts), '%d/%m/%Y') as first_register, count(*) as n_samples, any_value(c.city_name) as city_name
-    from raw_readings r left join (select n_nationkey as station_id, n_name as city_name from nation where n_nationkey % 3 <> 2) c
+    from raw_readings r left join (
+      select s.station_id, n.n_name as city_name from stations s join nation n on n.n_nationkey = s.station_id where s.status = 'train') c
     on c.station_id = r.station_id group by r.station_id""",
     ["latitude", "longitude", "altitude"],
 )
@@ -182,8 +183,9 @@ def station_summary(spark, sf_dir):
         F.col("lon").alias("longitude"),
         F.col("alt").alias("altitude"),
     )
-    nation = fx.table(spark, sf_dir, "nation").where(F.col("n_nationkey") % 3 != 2)
-    return sf.station_summary(readings, nation.select(F.col("n_nationkey").alias("station_id"), F.col("n_name").alias("city_name")))
+    nation = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("station_id"), F.col("n_name").alias("city_name"))
+    known = fx.stations(spark, sf_dir).where(F.col("status") == "train").select("station_id")
+    return sf.station_summary(readings, nation.join(known, "station_id"))
 
 
 @query(

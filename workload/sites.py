@@ -106,11 +106,11 @@ def hours_with_daily_total(spark, sf_dir):
 
 @query(
     "c15_site_coordinates",
-    "select h.station_id, h.ts, h.v, s.lat, s.lon from hourly h join stations s on s.station_id = h.station_id where s.station_id % 4 <> 1",
+    "select h.station_id, h.ts, h.v, s.lat, s.lon from hourly h join stations s on s.station_id = h.station_id where s.status = 'train'",
     ["v", "lat", "lon"],
 )
 def site_coordinates(spark, sf_dir):
-    return emp.with_site(fx.hourly(spark, sf_dir), fx.stations(spark, sf_dir).where(F.col("station_id") % 4 != 1))
+    return emp.with_site(fx.hourly(spark, sf_dir), fx.stations(spark, sf_dir).where(F.col("status") == "train"))
 
 
 def _formula_sql(hour_offset: int, correction: str, source: str) -> str:
