@@ -37,19 +37,26 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only if the session names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = current.get() if current.isDefined() else None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="sunmesh-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    """The folder that every executor sees: the one named by ``spark.checkpoint.dir``.
+
+    Without that setting a local session uses a temporary folder, as driver and
+    executors are then one process; a cluster session must name a shared one.
+    """
+    context = spark.sparkContext
+    defined = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (defined.get() if defined.isDefined() else None)
+    if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sunmesh-")
+    if not defined.isDefined():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, never used before."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, never used before and deleted when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
