@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 from sunmesh import schemas
 from sunmesh.operators.sizing import small_side
-from sunmesh.session import shared_folder
-
-# Largest station network whose pair list is shipped to the tasks of the cascade.
-CASCADE_STATIONS = 20_000
-CASCADE_PAIRS = 2_000_000
 
 
 def weighted_mean(value: Column, dist: Column, error: Column | None = None, power: float = 2.0) -> Column:
@@ -80,84 +75,28 @@ def impute_single_pass(
     return readings.join(offers, ["station_id", "ts"], "left").withColumns(filled).select(*readings.columns)
 
 
-def _fill_in_order(values, present, neighbours, min_stations, power):
-    """Fill ``values[time, station, feature]`` in place, station by station."""
-    for station, (near, dist) in enumerate(neighbours):
-        if len(near) < min_stations:
-            continue
-        missing = np.isnan(values[:, station, :]) & present[:, station, None]
-        if not missing.any():
-            continue
-        offered = values[:, near, :]
-        known = ~np.isnan(offered)
-        here = known & (dist == 0)[None, :, None]
-        weights = np.where(here.any(axis=1, keepdims=True), here, known * np.where(dist > 0, dist, 1.0)[None, :, None] ** -power)
-        total = weights.sum(axis=1)
-        mean = (weights * np.nan_to_num(offered)).sum(axis=1) / np.where(total > 0, total, 1.0)
-        usable = missing & (known.sum(axis=1) >= min_stations)
-        values[:, station, :] = np.where(usable, mean, values[:, station, :])
-
-
-def _cascade_by_day(readings: DataFrame, stations: DataFrame, pairs: DataFrame, features, min_stations, power) -> DataFrame:
-    order = [r[0] for r in stations.orderBy("station_id").collect()]
-    position = {s: i for i, s in enumerate(order)}
-    links = pairs.select("station_id", "neighbour_id", "dist").toPandas()
-    empty = (np.zeros(0, dtype=int), np.zeros(0))
-    neighbours = [empty] * len(order)
-    for station, group in links.groupby("station_id"):
-        near = group["neighbour_id"].map(position)
-        group = group[near.notna()]
-        neighbours[position[station]] = (near.dropna().to_numpy(dtype=int), group["dist"].to_numpy(dtype=float))
-    index = pd.Index(order)
-
-    def fill(day: pd.DataFrame) -> pd.DataFrame:
-        time_code, times = pd.factorize(day["ts"])
-        station_code = index.get_indexer(day["station_id"])
-        listed = station_code >= 0
-        values = np.full((len(times), len(index), len(features)), np.nan)
-        present = np.zeros((len(times), len(index)), dtype=bool)
-        rows = day[features].to_numpy(dtype=float)
-        values[time_code[listed], station_code[listed]] = rows[listed]
-        present[time_code[listed], station_code[listed]] = True
-        _fill_in_order(values, present, neighbours, min_stations, power)
-        rows[listed] = values[time_code[listed], station_code[listed]]
-        day[features] = rows
-        return day.drop(columns="__day")
-
-    by_day = readings.withColumn("__day", F.to_date("ts"))
-    return by_day.groupBy("__day").applyInPandas(fill, schema=readings.schema)
-
-
-def cascade_levels(stations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Longest chain of earlier neighbours before each station; equal levels do not depend on each other."""
-    shared_folder(stations.sparkSession)
-    earlier = pairs.where(F.col("neighbour_id") < F.col("station_id")).select("station_id", "neighbour_id").checkpoint()
-    levels = stations.select("station_id").withColumn("level", F.lit(0).cast("long")).checkpoint()
-    while True:
-        above = (
-            earlier.join(levels.withColumnRenamed("station_id", "neighbour_id"), "neighbour_id")
-            .groupBy("station_id")
-            .agg((F.max("level") + 1).alias("__reached"))
-        )
-        raised = (
-            levels.join(above, "station_id", "left")
-            .withColumn("__new", F.greatest(F.col("level"), F.coalesce("__reached", F.lit(0))))
-            .checkpoint()
-        )
-        settled = raised.where(F.col("__new") != F.col("level")).isEmpty()
-        levels = raised.select("station_id", F.col("__new").alias("level"))
-        if settled:
-            return levels
-
-
-def _cascade_by_level(readings: DataFrame, stations: DataFrame, pairs: DataFrame, features, min_stations, power) -> DataFrame:
-    levels = cascade_levels(stations, pairs).checkpoint()
-    deepest = levels.agg(F.max("level")).first()[0]
-    current = readings
-    for level in range((deepest if deepest is not None else -1) + 1):
-        turn = pairs.join(levels.where(F.col("level") == level).select("station_id"), "station_id", "left_semi")
-        current = impute_single_pass(current, turn, features, min_stations, power).checkpoint()
-    return current
+def _fill_hour(features: list[str], min_stations: int, power: float):
+    """Fill one time's rows in station order; a row with a gap brings its own list of neighbours."""
+
+    def fill(hour: pd.DataFrame) -> pd.DataFrame:
+        hour = hour.sort_values("station_id", kind="stable").reset_index(drop=True)
+        values = hour[features].to_numpy(dtype=float, copy=True)
+        place = {station: i for i, station in enumerate(hour["station_id"])}
+        for i in np.flatnonzero(hour["__near"].notna()):
+            near, dist = hour.at[i, "__near"], np.asarray(hour.at[i, "__dist"], dtype=float)
+            at = np.array([place.get(n, -1) for n in near])
+            offered, dist = values[at[at >= 0]], dist[at >= 0]
+            known = ~np.isnan(offered)
+            here = known & (dist == 0)[:, None]
+            weights = np.where(here.any(axis=0), here, known * np.where(dist > 0, dist, 1.0)[:, None] ** -power)
+            total = weights.sum(axis=0)
+            mean = (weights * np.nan_to_num(offered)).sum(axis=0) / np.where(total > 0, total, 1.0)
+            usable = np.isnan(values[i]) & (known.sum(axis=0) >= min_stations)
+            values[i] = np.where(usable, mean, values[i])
+        hour[features] = values
+        return hour.drop(columns=["__near", "__dist"])
+
+    return fill
 
 
 def impute_cascade(
@@ -167,20 +106,26 @@ def impute_cascade(
     features: Sequence[str],
     min_stations: int = schemas.MIN_STATIONS,
     power: float = 2.0,
-    by_level: bool | None = None,
 ) -> DataFrame:
     """Like the single pass, but in station order: later stations also use values filled before.
 
-    Times are independent of each other, so the rows are shuffled by day (at most
-    24 hours of all stations) and filled by array operations. That needs the pair
-    list in every task; networks beyond the size bounds are filled level by level
-    with joins instead, which gives the same values. ``(station_id, ts)`` must be unique.
+    Times are independent of each other, so the rows are grouped by time; one
+    time of a million stations and 18 features is 144 MB. Rows with a gap carry
+    their station's neighbours, so no list of all pairs is sent to tasks. Pairs
+    with an end that is not in ``stations`` are ignored; rows without a time
+    pass through. ``(station_id, ts)`` must be unique.
     """
     features = list(features)
-    if by_level is None:
-        by_level = (
-            stations.limit(CASCADE_STATIONS + 1).count() > CASCADE_STATIONS
-            or pairs.limit(CASCADE_PAIRS + 1).count() > CASCADE_PAIRS
-        )
-    run = _cascade_by_level if by_level else _cascade_by_day
-    return run(readings, stations.select("station_id").distinct(), pairs, features, min_stations, power)
+    listed = small_side(stations.select("station_id").distinct())
+    known = pairs.join(listed, "station_id", "left_semi")
+    known = known.join(listed.withColumnRenamed("station_id", "neighbour_id"), "neighbour_id", "left_semi")
+    lists = known.groupBy("station_id").agg(F.collect_list(F.struct("neighbour_id", "dist")).alias("__n")).where(F.size("__n") >= min_stations)
+    lists = lists.select("station_id", F.col("__n.neighbour_id").alias("__near"), F.col("__n.dist").alias("__dist"))
+    gap = F.lit(False)
+    for name in features:
+        gap = gap | F.col(name).isNull()
+    timed = readings.where(F.col("ts").isNotNull())
+    asking = timed.join(small_side(lists), "station_id", "left").withColumns({c: F.when(gap, F.col(c)) for c in ("__near", "__dist")})
+    ordered = asking.select(*readings.columns, "__near", "__dist")
+    filled = ordered.groupBy("ts").applyInPandas(_fill_hour(features, min_stations, power), schema=readings.schema)
+    return filled.unionByName(readings.where(F.col("ts").isNull()))

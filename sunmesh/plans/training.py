@@ -69,14 +69,14 @@ SEARCH_SPACE = {
 
 
 def estimator(algorithm: str, params: Mapping | None = None, prediction: str = "pred") -> Estimator:
-    """``linear``, ``rf``, ``extr`` (no bootstrap, all features) or ``xgb`` (boosted trees) on ``features`` / ``label``."""
+    """``linear``, ``rf``, ``extr`` (all rows, a random third of the features at each split) or ``xgb`` (boosted trees) on ``features`` / ``label``."""
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": prediction}
     if algorithm == "linear":
         chosen = LinearRegression(**common)
     elif algorithm == "rf":
         chosen = RandomForestRegressor(seed=7, **common)
     elif algorithm == "extr":
-        chosen = RandomForestRegressor(seed=7, bootstrap=False, featureSubsetStrategy="all", **common)
+        chosen = RandomForestRegressor(seed=7, bootstrap=False, featureSubsetStrategy="onethird", **common)
     elif algorithm == "xgb":
         chosen = GBTRegressor(seed=7, **common)
     else:

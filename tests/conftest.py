@@ -10,7 +10,5 @@ from sunmesh.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("local[8]", 8, **{"spark.ui.showConsoleProgress": "false"})
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return session
+    shared = str(tmp_path_factory.mktemp("shared"))
+    return build_session("local[8]", 8, **{"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": shared})

@@ -64,14 +64,14 @@ def _network(spark, seed=11, n=20, hours=30):
     return stations, readings, cells, near
 
 
-@pytest.mark.parametrize("mode", ["single", "day", "level"])
+@pytest.mark.parametrize("mode", ["single", "cascade"])
 def test_imputation_equals_brute_force(spark, mode):
     stations, readings, cells, near = _network(spark)
     pairs = station_pairs(stations, 80.0)
     if mode == "single":
         filled = impute_single_pass(readings, pairs, ["v", "w"])
     else:
-        filled = impute_cascade(readings, stations, pairs, ["v", "w"], by_level=mode == "level")
+        filled = impute_cascade(readings, stations, pairs, ["v", "w"])
     expected = _brute_cascade(cells, near, 3, mode != "single")
     rows = filled.collect()
     assert len(rows) == len(cells)
@@ -119,3 +119,15 @@ def test_slots_are_padded_and_skip_zeros(spark):
     by_error = {r.station_id: r for r in neighbour_slots(df, slot_order="error", pad=None).collect()}
     assert [by_error[2][f"stat{i}_pred"] for i in range(1, 5)] == [6.0, 5.0, 4.0, 3.0]
     assert by_error[1].stat3_pred is None
+
+
+def test_cascade_ignores_unlisted_ends_and_keeps_rows_without_time(spark):
+    hour = dt.datetime(2020, 1, 1)
+    readings = spark.createDataFrame(
+        [(1, hour, None), (2, hour, 10.0), (9, hour, 20.0), (1, None, None), (2, None, 5.0)], "station_id int, ts timestamp_ntz, v double"
+    )
+    stations = spark.createDataFrame([(1,), (2,)], "station_id int")
+    pairs = spark.createDataFrame([(1, 9, 1.0), (7, 2, 1.0), (1, 2, 2.0)], "station_id int, neighbour_id int, dist double")
+    filled = impute_cascade(readings, stations, pairs, ["v"], min_stations=1).collect()
+    assert sorted(filled, key=str) == sorted([(1, hour, 10.0), (2, hour, 10.0), (9, hour, 20.0), (1, None, None), (2, None, 5.0)], key=str)
+    assert {r.v for r in impute_cascade(readings, stations, pairs.where("neighbour_id = 9"), ["v"], min_stations=1).where("station_id = 1").collect()} == {None}

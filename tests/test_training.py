@@ -1,3 +1,4 @@
+from pyspark.ml.linalg import Vectors
 import datetime as dt
 import random
 
@@ -56,9 +57,13 @@ def test_best_estimator_reads_the_registry(spark):
         tr.estimator("svr")
 
 
-def test_extra_trees_use_all_rows_and_features():
-    chosen = tr.estimator("extr")
-    assert chosen.getBootstrap() is False and chosen.getFeatureSubsetStrategy() == "all"
+def test_extra_trees_use_all_rows_and_differ(spark):
+    chosen = tr.estimator("extr", {"n_estimators": 6})
+    assert chosen.getBootstrap() is False
+    draw = random.Random(2)
+    points = [[draw.uniform(0, 1) for _ in range(6)] for _ in range(200)]
+    rows = spark.createDataFrame([(Vectors.dense(x), sum(x) + x[0] * x[1]) for x in points], ["features", "label"])
+    assert len({t.toDebugString.split("\n", 1)[1] for t in chosen.fit(rows).trees}) == 6
     with pytest.raises(KeyError):
         tr.GRIDS["mlp"]
 

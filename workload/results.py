@@ -260,15 +260,19 @@ def distinct_counts(spark, sf_dir):
 @query(
     "d18_parameter_report",
     """
-    select station_id, model, json_extract_string(p, '$.max_depth') as max_depth, json_extract_string(p, '$.n_estimators') as n_estimators,
+    select dataset, station_id, model, json_extract_string(p, '$.max_depth') as max_depth, json_extract_string(p, '$.n_estimators') as n_estimators,
            json_extract_string(p, '$.gamma') as gamma from (
-      select station_id, model, replace(params, 'nan', 'null') as p from (
-        select *, row_number() over (partition by station_id, model order by rmse, mae, mbe, r2, "timestamp") as rn
-        from model_runs where dataset = 'original') t where rn = 1) b""",
+      select dataset, station_id, model, replace(params, 'nan', 'null') as p from (
+        select *, row_number() over (partition by dataset, station_id, model order by rmse, mae, mbe, r2, "timestamp") as rn
+        from model_runs) t where rn = 1) b""",
 )
 def parameter_report(spark, sf_dir):
-    runs = fx.model_runs(spark, sf_dir).where(F.col("dataset") == "original").drop("dataset")
-    return rg.parameter_report(rk.best_by_algorithm(runs), PARAMETERS)
+    runs = fx.model_runs(spark, sf_dir)
+    reports = [
+        rg.parameter_report(rk.best_by_algorithm(runs.where(F.col("dataset") == name).drop("dataset")), PARAMETERS).withColumn("dataset", F.lit(name))
+        for name in ("original", "imputed")
+    ]
+    return reports[0].unionByName(reports[1])
 
 
 @query("d20_latest_model", 'select max("timestamp") as "timestamp" from model_runs')
@@ -431,12 +435,16 @@ def winners_of_both_datasets(spark, sf_dir):
 @query(
     "i22_best_parameters",
     """
-    select station_id, model, key as name, json_extract_string(p, '$.' || key) as value from (
-      select station_id, model, p, unnest(json_keys(p)) as key from (
-        select station_id, model, cast(replace(params, 'nan', 'null') as json) as p from (
-          select *, row_number() over (partition by station_id, model order by rmse, mae, mbe, r2, "timestamp") as rn
-          from model_runs where dataset = 'imputed') t where rn = 1) b) k""",
+    select dataset, station_id, model, key as name, json_extract_string(p, '$.' || key) as value from (
+      select dataset, station_id, model, p, unnest(json_keys(p)) as key from (
+        select dataset, station_id, model, cast(replace(params, 'nan', 'null') as json) as p from (
+          select *, row_number() over (partition by dataset, station_id, model order by rmse, mae, mbe, r2, "timestamp") as rn
+          from model_runs) t where rn = 1) b) k""",
 )
 def best_parameters(spark, sf_dir):
-    runs = fx.model_runs(spark, sf_dir).where(F.col("dataset") == "imputed").drop("dataset")
-    return rg.parameters_long(rk.best_by_algorithm(runs))
+    runs = fx.model_runs(spark, sf_dir)
+    found = [
+        rg.parameters_long(rk.best_by_algorithm(runs.where(F.col("dataset") == name).drop("dataset"))).withColumn("dataset", F.lit(name))
+        for name in ("original", "imputed")
+    ]
+    return found[0].unionByName(found[1])

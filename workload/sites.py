@@ -275,10 +275,18 @@ def three_quarter_split(spark, sf_dir):
     return numbered.select("station_id", "ts", "pred", part.alias("part"))
 
 
-@query("f5_random_split")
+@query(
+    "f5_random_split",
+    """select *, case when substr(md5(station_id || ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S')), 1, 2) < 'c0' then 'train' else 'valid' end as part
+       from site_preds""",
+    ["real", "pred"],
+    8,
+)
 def random_split(spark, sf_dir):
-    train, valid = fx.site_preds(spark, sf_dir).randomSplit([0.75, 0.25], seed=7)
-    return train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("valid")))
+    """Three quarters of the rows, drawn by a hash of the key, so that one pass decides and reruns agree."""
+    drawn = F.md5(F.concat_ws(" ", F.col("station_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    part = F.when(F.substring(drawn, 1, 2) < "c0", "train").otherwise("valid")
+    return fx.site_preds(spark, sf_dir).withColumn("part", part)
 
 
 @query(
