@@ -75,6 +75,20 @@ def test_every_boundary_gives_the_same(spark, monkeypatch, light):
     assert collected(spark, rows) == brute(rows, Rule())
 
 
+def test_crowds_around_the_threshold(spark):
+    """Copies of two related texts with one to six changes: many share rare shingles, some link only by a shared change."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(120)]
+    other = words[:30] + [f"u{i}" for i in range(8)] + words[38:]
+    rows = []
+    for i in range(240):
+        text = list(words if i % 3 else other)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 5, 6])):
+            text[rng.randrange(0, len(text), 3)] = rng.choice(["p", "q", f"own{i}"])
+        rows.append((i, " ".join(text)))
+    assert collected(spark, rows) == brute(rows, Rule())
+
+
 def test_other_rule_and_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
     monkeypatch.setattr(jaccard_join, "FREQUENT_CELLS", 40)
