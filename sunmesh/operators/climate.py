@@ -57,7 +57,8 @@ def residual_histogram(
 ) -> DataFrame:
     """Counts over row position x residual; equal-width bins with a closed last one, empty bins left out."""
     keys = list(keys)
-    placed = with_row_numbers(residuals.where(F.col(value).isNotNull()), keys, order, "__number", "__total", RANGE)
+    narrow = residuals.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value]))
+    placed = with_row_numbers(narrow, keys, order, "__number", "__total", RANGE)
     ranges = residuals.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
 
     def bin_of(x, low, high, n):

@@ -26,9 +26,10 @@ def estimator_errors(best: DataFrame, key: str = "station_id") -> DataFrame:
 def neighbour_predictions(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Long table of each site's neighbour forecasts: ``station_id, neighbour_id, ts, dist, error, pred``.
 
-    The pair list is the small side, so forecasts are fanned out without a shuffle.
+    Forecasts are dealt out by time before they are fanned out to the sites, so
+    grouping by ``(station_id, ts)`` needs no shuffle of the copies.
     """
-    source = predictions.select(F.col("station_id").alias("neighbour_id"), "ts", "pred")
+    source = predictions.select(F.col("station_id").alias("neighbour_id"), "ts", "pred").repartition("ts")
     return source.join(small_side(pairs), "neighbour_id").select(
         "station_id", "neighbour_id", "ts", "dist", "error", "pred"
     )

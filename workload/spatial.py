@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sunmesh.functions.geo import haversine_km
 from sunmesh.operators.idw import impute_cascade, impute_single_pass, interpolate, neighbour_values
+from sunmesh.operators.sizing import small_side
 from sunmesh.operators.slots import rank_neighbours
 from workload import fixtures as fx
 from workload.core import query
@@ -54,8 +55,8 @@ def same_time_neighbours(spark, sf_dir):
     8,
 )
 def wide_neighbour_predictions(spark, sf_dir):
-    preds = fx.site_preds(spark, sf_dir).select(F.col("station_id").alias("neighbour_id"), "ts", "pred")
-    long = preds.join(fx.train_pairs(spark, sf_dir), "neighbour_id")
+    preds = fx.site_preds(spark, sf_dir).select(F.col("station_id").alias("neighbour_id"), "ts", "pred").repartition("ts")
+    long = preds.join(small_side(fx.train_pairs(spark, sf_dir)), "neighbour_id")
     wide = long.groupBy("station_id", "ts").pivot("neighbour_id", list(range(fx.N_STATIONS))).agg(F.max("pred"))
     return wide.withColumnsRenamed({str(i): f"n_{i}" for i in range(fx.N_STATIONS)})
 
@@ -68,7 +69,8 @@ def wide_neighbour_predictions(spark, sf_dir):
     ["interpolated"],
 )
 def idw_standard(spark, sf_dir):
-    near = fx.hourly(spark, sf_dir).withColumnRenamed("station_id", "neighbour_id").join(fx.pairs(spark, sf_dir), "neighbour_id")
+    source = fx.hourly(spark, sf_dir).withColumnRenamed("station_id", "neighbour_id").repartition("ts")
+    near = source.join(small_side(fx.pairs(spark, sf_dir)), "neighbour_id")
     return interpolate(near, ["station_id", "ts"], "v")
 
 
@@ -81,8 +83,8 @@ def idw_standard(spark, sf_dir):
     ["interpolated"],
 )
 def idw_error_weighted(spark, sf_dir):
-    preds = fx.site_preds(spark, sf_dir).select(F.col("station_id").alias("neighbour_id"), "ts", "pred")
-    near = preds.join(fx.error_pairs(spark, sf_dir), "neighbour_id")
+    preds = fx.site_preds(spark, sf_dir).select(F.col("station_id").alias("neighbour_id"), "ts", "pred").repartition("ts")
+    near = preds.join(small_side(fx.error_pairs(spark, sf_dir)), "neighbour_id")
     return interpolate(near, ["station_id", "ts"], "pred", error="error", min_points=3)
 
 
