@@ -6,7 +6,7 @@ station with very many results is no bottleneck.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,10 +77,22 @@ def with_ends(df: DataFrame, order: Sequence[Column], reverse: Sequence[Column],
     return head.unionByName(tail)
 
 
-def next_station(stations: DataFrame, registry: DataFrame, algorithm: str, key: str = "station_id") -> DataFrame:
-    """First station in id order that has no model of ``algorithm``; null if all have one."""
-    trained = registry.where(F.col("algorithm") == algorithm).select(key)
-    return stations.join(trained, key, "left_anti").agg(F.min(key).alias(key))
+def next_station(stations: DataFrame, registry: DataFrame, wanted: Mapping[str, Sequence[str]], key: str = "station_id") -> DataFrame:
+    """First station in id order without a model, for each combination of ``wanted`` values; null if all have one.
+
+    ``wanted`` lists, for instance, the ``dataset`` and ``algorithm`` values to be trained.
+    """
+    planned, by = stations.select(key).distinct(), list(wanted)
+    for name, values in wanted.items():
+        planned = planned.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    trained = registry.select(*by, key).distinct().withColumn("__trained", F.lit(True))
+    open_ = F.when(F.col("__trained").isNull(), F.col(key))
+    return planned.join(trained, [*by, key], "left").groupBy(*by).agg(F.min(open_).alias(key))
+
+
+def other_stations(stations: DataFrame, exclude: Sequence, key: str = "station_id") -> DataFrame:
+    """All stations but the excluded ones."""
+    return stations.where(~F.col(key).isin(list(exclude)))
 
 
 def planned_stations(stations: DataFrame, warm_start=None, only=None, key: str = "station_id") -> DataFrame:

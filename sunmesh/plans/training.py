@@ -24,6 +24,7 @@ from sunmesh.operators.sizing import small_side
 from sunmesh.schemas import MODEL_NAMES
 from sunmesh.session import shared_folder
 from sunmesh.sources.registry import parse_params
+from sunmesh.sources.tables import materialise
 
 # Names of the tuned parameters and their Spark counterparts.
 PARAMETERS = {
@@ -157,7 +158,8 @@ def grid_searched(
     search = CrossValidator(
         estimator=chosen, estimatorParamMaps=maps, evaluator=_evaluator(), numFolds=k, foldCol="fold", parallelism=parallelism
     )
-    fitted = search.fit(contiguous_folds(rows, keys, order, k))
+    folded = materialise(contiguous_folds(rows.select(*keys, *order, "features", "label"), keys, order, k), "folds")
+    fitted = search.fit(folded)
     best = maps[min(range(len(maps)), key=lambda i: fitted.avgMetrics[i])]
     return fitted.bestModel, {p.name: v for p, v in best.items()}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
@@ -87,12 +87,55 @@ def winners_only(rows: DataFrame, winners: DataFrame, keys: list[str]) -> DataFr
     return rows.join(small_side(winners.select(*keys).distinct()), keys, "left_semi")
 
 
-def parameter_report(winners: DataFrame, parameters: list[str], key: str = "station_id") -> DataFrame:
-    """One row per station and one column per named parameter."""
+def parameter_report(winners: DataFrame, parameters: list[str], keys: Sequence[str] = ("station_id",)) -> DataFrame:
+    """One row per winner and one column per named parameter."""
     parsed = winners.withColumn("__params", parse_params(F.col("params")))
-    return parsed.select(key, "model", *[F.col("__params")[p].alias(p) for p in parameters])
+    return parsed.select(*keys, "model", *[F.col("__params")[p].alias(p) for p in parameters])
 
 
-def parameters_long(winners: DataFrame, key: str = "station_id") -> DataFrame:
-    """``(station, model, name, value)`` when the parameter names are not known beforehand."""
-    return winners.select(key, "model", F.explode(parse_params(F.col("params"))).alias("name", "value"))
+def parameters_long(winners: DataFrame, keys: Sequence[str] = ("station_id",)) -> DataFrame:
+    """``(*keys, model, name, value)`` when the parameter names are not known beforehand."""
+    return winners.select(*keys, "model", F.explode(parse_params(F.col("params"))).alias("name", "value"))
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def store_registry(registry: DataFrame, root: str) -> str:
+    """Write the registry as the next version below ``root``; readers of the version before are not disturbed."""
+    path = f"{root}/registry/{len(_versions(registry.sparkSession, root)):08d}"
+    registry.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    files, target = _folder(spark, f"{root}/registry")
+    return sorted(f.getPath().toString() for f in files.listStatus(target)) if files.exists(target) else []
+
+
+def stored_registry(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete version below ``root``; a version that a lost writer left unfinished is passed over."""
+    for path in reversed(_versions(spark, root)):
+        files, mark = _folder(spark, f"{path}/_SUCCESS")
+        if files.exists(mark):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(f"no registry is stored below {root}")
+
+
+def replace_registry(kept: DataFrame, root: str) -> DataFrame:
+    """Store ``kept`` as the new registry and delete the model files that only the one before names.
+
+    The registry is written first, so a failure leaves files without an entry,
+    never an entry without files. Paths come to the driver one by one.
+    """
+    spark = kept.sparkSession
+    before = stored_registry(spark, root)
+    store_registry(kept, root)
+    after = stored_registry(spark, root)
+    gone = before.where(F.col("path").isNotNull()).join(after, "path", "left_anti").select("path").distinct()
+    for row in gone.toLocalIterator():
+        files, target = _folder(spark, row.path)
+        files.delete(target, True)
+    return after

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """Rows of a stored parquet table with their place in it, from 1 on: files by name, rows as they stand in a file.
+
+    Only one row per file is ordered; the rows themselves are not shuffled.
+    """
+    placed = spark.read.parquet(path).withColumns({"__file": F.col("_metadata.file_name"), "__row": F.col("_metadata.row_index")})
+    counts = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = placed.join(F.broadcast(offsets), "__file").withColumn(name, F.col("__before") + F.col("__row") + 1)
+    return numbered.drop("__file", "__row", "__before")
+
+
 def materialise(df: DataFrame, name: str, cluster_by: Sequence[str] = ()) -> DataFrame:
     """Store an intermediate result in the shared folder and read it back.
 

@@ -141,8 +141,8 @@ def test_blend_cases(spark):
 def test_next_station(spark):
     stations = spark.createDataFrame([("a",), ("b",), ("c",)], "station_id string")
     registry = spark.createDataFrame([("a", "rf"), ("c", "rf"), ("b", "xgb")], "station_id string, algorithm string")
-    assert rk.next_station(stations, registry, "rf").first().station_id == "b"
-    assert rk.next_station(stations, registry.withColumn("algorithm", F.lit("rf")), "rf").first().station_id is None
+    assert rk.next_station(stations, registry, {"algorithm": ["rf"]}).first().station_id == "b"
+    assert rk.next_station(stations, registry.withColumn("algorithm", F.lit("rf")), {"algorithm": ["rf"]}).first().station_id is None
     assert rk.planned_stations(stations, only="b").count() == 1 and rk.planned_stations(stations).count() == 3
 
 

@@ -47,15 +47,18 @@ def robust_scaler(spark, sf_dir):
 
 @query(
     "i5_inverse_scaling",
-    "select station_id, ts, pred, real from site_preds",
+    """select s.station_id, s.ts, (s.real - p.mr) / p.sr as real, (s.pred - p.mp) / p.sp * p.sr + p.mr as pred from site_preds s join (
+      select station_id, avg(real) as mr, avg(pred) as mp, case when stddev_pop(real) = 0 then 1e0 else stddev_pop(real) end as sr,
+             case when stddev_pop(pred) = 0 then 1e0 else stddev_pop(pred) end as sp from site_preds group by station_id) p
+    on p.station_id = s.station_id""",
     ["pred", "real"],
-    8,
 )
 def inverse_scaling(spark, sf_dir):
     preds = fx.site_preds(spark, sf_dir)
     params = fit_scaler(preds, ["pred", "real"], "std")
     scaled = apply_scaler(preds, params, ["pred", "real"])
-    return invert_scaler(scaled, params, {"pred": "pred", "real": "real"})
+    # The forecast is taken back to units by the truth's parameters; the truth stays scaled.
+    return invert_scaler(scaled, params, {"pred": "real"})
 
 
 @query(

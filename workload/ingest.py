@@ -336,3 +336,15 @@ def first_valid_values(spark, sf_dir):
 def membership_and_ranges(spark, sf_dir):
     chosen = F.year("ts").isin(1995, 1996, 1998) & F.month("ts").between(3, 10)
     return fx.forecasts(spark, sf_dir).where(chosen).select("l_orderkey", "l_linenumber", "ts", "station_id")
+
+
+@query(
+    "f1_sorted_by_time",
+    "select station_id, ts, v, row_number() over (order by station_id, ts) as position from hourly",
+    ["v"],
+    8,
+)
+def sorted_by_time(spark, sf_dir):
+    """A range-sorted table, and where each row stands in its files."""
+    path = tb.write_table(fx.hourly(spark, sf_dir), scratch_path(spark, "by-time"), cluster_by=["station_id", "ts"])
+    return tb.read_positions(spark, path)

@@ -8,6 +8,7 @@ from sunmesh.operators import metrics as mt
 from sunmesh.operators import ranking as rk
 from sunmesh.operators.climate import residual_histogram
 from sunmesh.plans import comparison as cp
+from sunmesh.session import scratch_path
 from sunmesh.sources import registry as rg
 from workload import fixtures as fx
 from workload.core import query
@@ -101,18 +102,20 @@ def different_key_names(spark, sf_dir):
 @query(
     "c16_next_untrained_station",
     """
-    select a.algorithm, min(s.station_id) as station_id from (select unnest(['A', 'N', 'R']) as algorithm) a
-    left join stations s on not exists (
-      select 1 from model_runs m where m.station_id = s.station_id and m.model = a.algorithm and m.dataset = 'imputed')
-    group by a.algorithm""",
+    select d.dataset, a.algorithm, min(case when m.model is null then s.station_id end) as station_id
+    from (select unnest(['A', 'N', 'R']) as algorithm) a cross join (select unnest(['imputed', 'original']) as dataset) d cross join stations s
+    left join (select distinct dataset, station_id, model from model_runs) m
+      on m.dataset = d.dataset and m.station_id = s.station_id and m.model = a.algorithm
+    group by d.dataset, a.algorithm""",
 )
 def next_untrained_station(spark, sf_dir):
-    registry = fx.model_runs(spark, sf_dir).where(F.col("dataset") == "imputed").withColumnRenamed("model", "algorithm")
-    stations = fx.stations(spark, sf_dir).select("station_id")
-    found = [
-        rk.next_station(stations, registry, name).select(F.lit(name).alias("algorithm"), "station_id") for name in ("A", "N", "R")
-    ]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    registry = fx.model_runs(spark, sf_dir).withColumnRenamed("model", "algorithm")
+    return rk.next_station(fx.stations(spark, sf_dir), registry, {"dataset": ["imputed", "original"], "algorithm": ["A", "N", "R"]})
+
+
+@query("b2_other_stations", "select station_id, status from stations where station_id not in (7, 11)")
+def other_stations(spark, sf_dir):
+    return rk.other_stations(fx.stations(spark, sf_dir).select("station_id", "status"), [7, 11])
 
 
 @query(
@@ -267,12 +270,8 @@ def distinct_counts(spark, sf_dir):
         from model_runs) t where rn = 1) b""",
 )
 def parameter_report(spark, sf_dir):
-    runs = fx.model_runs(spark, sf_dir)
-    reports = [
-        rg.parameter_report(rk.best_by_algorithm(runs.where(F.col("dataset") == name).drop("dataset")), PARAMETERS).withColumn("dataset", F.lit(name))
-        for name in ("original", "imputed")
-    ]
-    return reports[0].unionByName(reports[1])
+    best = rk.best_by_algorithm(fx.model_runs(spark, sf_dir), ("dataset", "station_id", "model"))
+    return rg.parameter_report(best, PARAMETERS, ["dataset", "station_id"])
 
 
 @query("d20_latest_model", 'select max("timestamp") as "timestamp" from model_runs')
@@ -405,6 +404,20 @@ def registry_clear(spark, sf_dir):
     return rg.clear(_registry(spark, sf_dir), "imputed")
 
 
+@query(
+    "i13_registry_stored",
+    f"select dataset, station_id, model, \"timestamp\", path from (select *, file_name as path from ({REGISTRY_SQL})) r "
+    "where \"timestamp\" <= '1996-06-01-00-00-00' and dataset <> 'imputed'",
+)
+def registry_stored(spark, sf_dir):
+    """Stored, cut at a checkpoint, cleared of a data set, and read back."""
+    root = scratch_path(spark, "registry")
+    rg.store_registry(_registry(spark, sf_dir).withColumnRenamed("file_name", "path").withColumn("path", F.concat(F.lit(f"{root}/models/"), "path")), root)
+    rg.replace_registry(rg.keep_to_checkpoint(rg.stored_registry(spark, root), "1996-06-01-00-00-00"), root)
+    rg.replace_registry(rg.clear(rg.stored_registry(spark, root), "imputed"), root)
+    return rg.stored_registry(spark, root).withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
 @query(
     "i13_registry_file_names",
     f"""select file_name, dataset, station_id, regexp_extract(file_name, '^sk_([A-Za-z]+)_', 1) as parsed_model,
@@ -442,9 +455,5 @@ def winners_of_both_datasets(spark, sf_dir):
           from model_runs) t where rn = 1) b) k""",
 )
 def best_parameters(spark, sf_dir):
-    runs = fx.model_runs(spark, sf_dir)
-    found = [
-        rg.parameters_long(rk.best_by_algorithm(runs.where(F.col("dataset") == name).drop("dataset"))).withColumn("dataset", F.lit(name))
-        for name in ("original", "imputed")
-    ]
-    return found[0].unionByName(found[1])
+    best = rk.best_by_algorithm(fx.model_runs(spark, sf_dir), ("dataset", "station_id", "model"))
+    return rg.parameters_long(best, ["dataset", "station_id"])
