@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunmesh import schemas
+from sunmesh.operators.sizing import small_side
 from sunmesh.plans.preparation import Settings, clean, prepare
 from sunmesh.plans.training import random_trials, spark_parameters
 from sunmesh.session import scratch_path
+from sunmesh.sources import registry as rg
 from sunmesh.sources import station_files as sf
 from sunmesh.sources import tables as tb
 
@@ -148,3 +150,41 @@ def test_parameters_map_to_spark():
     trials = random_trials({"a": (100, 1000, 100), "b": (0.0, 1.0, 0)}, 50, 3)
     assert trials == random_trials({"a": (100, 1000, 100), "b": (0.0, 1.0, 0)}, 50, 3)
     assert all(t["a"] % 100 == 0 and 100 <= t["a"] <= 1000 and 0 <= t["b"] <= 1 for t in trials)
+
+
+def test_broadcasts_are_decided_on_rows_and_bytes(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    df = spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    assert hinted(small_side(df))
+    assert not hinted(small_side(df, max_rows=999))
+    assert not hinted(small_side(df, max_bytes=10_000))
+    assert small_side(df, max_bytes=10_000).count() == small_side(df).count() == 1000
+    assert small_side(df.limit(0)).count() == 0
+
+
+def test_replaced_registry_deletes_the_files_of_dropped_models(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = []
+    for dataset, day in (("original", "01"), ("original", "02"), ("imputed", "01")):
+        path = f"{root}/{dataset}/A701/sk_X_{day}"
+        spark.range(1).write.parquet(path)
+        rows.append({"dataset": dataset, "station_id": "A701", "algorithm": "X", "timestamp": day, "path": path, "params": "{}"})
+    rows.append({**rows[0], "timestamp": "00", "path": None})
+    with pytest.raises(FileNotFoundError):
+        rg.stored_registry(spark, root)
+    rg.store_registry(rg.registry_table(spark, rows), root)
+    rg.replace_registry(rg.keep_to_checkpoint(rg.stored_registry(spark, root), "01"), root)
+    assert [os.path.exists(r["path"]) for r in rows[:3]] == [True, False, True]
+    kept = rg.replace_registry(rg.clear(rg.stored_registry(spark, root), "imputed"), root)
+    assert [os.path.exists(r["path"]) for r in rows[:3]] == [True, False, False]
+    assert sorted(r.timestamp for r in kept.collect()) == ["00", "01"]
+    os.makedirs(f"{root}/registry/99999999")
+    assert rg.stored_registry(spark, root).count() == 2
+
+
+def test_positions_follow_the_stored_order(spark, tmp_path):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("x"))
+    path = tb.write_table(df.repartition(5), str(tmp_path / "sorted"), cluster_by=["x"])
+    assert all(r.position == r.x + 1 for r in tb.read_positions(spark, path).collect())
+    empty = tb.write_table(df.where("x < 0"), str(tmp_path / "none"), cluster_by=["x"])
+    assert tb.read_positions(spark, empty).count() == 0
