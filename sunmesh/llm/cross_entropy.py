@@ -1,4 +1,4 @@
-"""Cross-entropy difference of two matched bigram models over one vocabulary."""
+"""Cross-entropy difference of two matched bigram models over the whole vocabulary."""
 
 from __future__ import annotations
 
@@ -13,12 +13,14 @@ from sunmesh.llm.common import bounded_batches
 from sunmesh.llm.encoding import VOCABULARY, encoder
 from sunmesh.sources.tables import materialise
 
-#: Classes of tokens: the most frequent ids, one for all others, one for a document's ends. The tables have this many squared cells.
+#: Tasks hold the losses of this many squared of the most frequent bigrams (16 MB); all others are joined.
 CLASSES = 1024
-#: Weight of the bigram against the unigram estimate, and what each class has before counting.
+#: Weight of the bigram against the unigram estimate, and what each symbol has before counting.
 BIGRAM_WEIGHT, PRIOR = 0.8, 1.0
 #: Bigrams that a task holds before it adds them up.
 HELD = 2 << 20
+#: A bigram is one number: its first symbol, shifted by so many bits, and its second. Symbols are ids from 1 on; 0 is a document's end.
+SHIFT = 32
 
 
 def _encode(vocabulary: str):
@@ -32,141 +34,140 @@ def _encode(vocabulary: str):
                 data, ends = ids.astype(kind).tobytes(), np.cumsum(n) * kind.itemsize
                 blobs = [data[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
                 own = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("target"), pa.array(blobs, pa.binary()), pa.array([kind.itemsize] * len(blobs), pa.int32())], names=["doc_id", "target", "ids", "width"])
+                yield pa.RecordBatch.from_arrays([own.column("row"), own.column("doc_id"), own.column("target"), pa.array(blobs, pa.binary()), pa.array([kind.itemsize] * len(blobs), pa.int32())], names=["row", "doc_id", "target", "ids", "width"])
 
     return run
 
 
-def _ids(blob: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{width}")
+def _cells(batch) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of all documents of a batch, their ends included, and how many each document has (one at least)."""
+    blobs, width = batch.column("ids").to_pylist(), batch.column("width").to_pylist()
+    n = np.array([len(b) for b in blobs], np.int64) // width[0]
+    ids = np.frombuffer(b"".join(blobs), f"<u{width[0]}")
+    second = np.zeros(len(ids) + len(n), np.int64)
+    second[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids.astype(np.int64) + 1
+    # What stands before a document's first symbol is the end of the one before, 0.
+    first = np.concatenate([[0], second[:-1]])
+    return first << SHIFT | second, n + 1
 
 
-def _unigrams(batches):
-    """Per task: every id's count in all documents and in the target's."""
-    all_ = target = np.zeros(0, np.int64)
-    for batch in batches:
-        for blob, width, good in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), batch.column("target").to_pylist()):
-            own = np.bincount(_ids(blob, width))
-            size = max(len(own), len(all_))
-            all_, target = (np.pad(x, (0, size - len(x))) for x in (all_, target))
-            all_[: len(own)] += own
-            if good:
-                target[: len(own)] += own
-    seen = np.flatnonzero(all_)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(all_[seen], pa.int64()), pa.array(target[seen], pa.int64())], names=["id", "n_all", "n_target"])
-
-
-def _cells(blob: bytes, width: int, classes: np.ndarray, size: int) -> np.ndarray:
-    """The document's bigrams as cells of the table, its ends included."""
-    ids = _ids(blob, width).astype(np.int64)
-    known = classes[np.minimum(ids, len(classes) - 1)]
-    line = np.concatenate([[size - 1], known, [size - 1]])
-    return line[:-1] * size + line[1:]
-
-
-def _bigrams(classes, size: int):
-    def run(batches):
-        all_, target = np.zeros(size * size, np.int64), np.zeros(size * size, np.int64)
-        held, many = {True: [], False: []}, 0
-
-        def add():
-            for good, cells in held.items():
-                if cells:
-                    counts = np.bincount(np.concatenate(cells), minlength=size * size)
-                    all_[:] += counts
-                    target[:] += counts * good
-                    cells.clear()
+def _bigrams(batches):
+    """Per task: every bigram's count in all documents and in the target's, added up a part at a time."""
+    held, many = {True: [], False: []}, 0
 
-        for batch in batches:
-            for blob, width, good in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), batch.column("target").to_pylist()):
-                cells = _cells(blob, width, classes.value, size)
-                held[bool(good)].append(cells)
-                many += len(cells)
-                if many >= HELD:
-                    add()
-                    many = 0
-        add()
-        seen = np.flatnonzero(all_)
-        for i in range(0, len(seen), 1 << 17):
-            own = seen[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(all_[own]), pa.array(target[own])], names=["cell", "n_all", "n_target"])
+    def added():
+        for good, cells in held.items():
+            if cells:
+                seen, counts = np.unique(np.concatenate(cells), return_counts=True)
+                cells.clear()
+                for i in range(0, len(seen), 1 << 17):
+                    own = counts[i : i + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + (1 << 17)]), pa.array(own), pa.array(own * good)], names=["cell", "n_all", "n_target"])
 
-    return run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells, n = _cells(batch)
+        target = np.repeat(np.array(batch.column("target").to_pylist(), bool), n)
+        held[True].append(cells[target])
+        held[False].append(cells[~target])
+        many += len(cells)
+        if many >= HELD:
+            yield from added()
+            many = 0
+    yield from added()
 
 
 @dataclass
 class Models:
-    """Class of every id, and the losses of both models by cell; fixed sizes."""
+    """``table`` has the losses of both models by ``cell``, a row per bigram of the documents; the most frequent ones are also here, by cell."""
 
-    classes: np.ndarray
+    table: DataFrame
+    cells: np.ndarray
     target: np.ndarray
     background: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return len(self.target)
-
-
-def losses(counts: np.ndarray, mass: float) -> np.ndarray:
-    """-log2 of the interpolated bigram estimate, from counts scaled to ``mass`` so that both models smooth alike."""
-    counts = counts * (mass / max(1.0, counts.sum()))
-    size = len(counts)
-    unigram = (counts.sum(0) + PRIOR) / (counts.sum() + PRIOR * size)
-    context = counts.sum(1, keepdims=True)
-    bigram = np.divide(counts, context, out=np.zeros_like(counts), where=context > 0)
-    weight = np.where(context > 0, BIGRAM_WEIGHT, 0.0)
-    return -np.log2(weight * bigram + (1 - weight) * unigram).astype(np.float32)
+    #: Bigrams of ``table`` that occur so often are among the above; null if all are.
+    often: int | None
 
 
 def fit(encoded: DataFrame, classes: int = CLASSES) -> Models:
-    """Both models from encoded documents (``ids, width, target``); every document counts.
-
-    The vocabulary is the ``classes - 2`` most frequent ids of all documents,
-    smaller id first on ties. Counts are added up by shuffles of what each task
-    has counted; the driver gets ``classes`` squared cells at most. Without
-    target documents both models are the background's.
+    """Both models from encoded documents (``ids, width, target``); every document and every id counts.
+
+    A loss is -log2 of the interpolated bigram estimate, from counts scaled to
+    the target's mass so that both models smooth alike; a context that a model
+    has not seen leaves its unigram estimate. Counts are added up by shuffles
+    of what each task has counted and stay distributed, a row per bigram; sums
+    by symbol are a row per id of the vocabulary. The driver gets ``classes``
+    squared bigrams at most. Without target documents both models are the
+    background's.
     """
-    spark = encoded.sparkSession
-    counted = encoded.mapInArrow(_unigrams, "id bigint, n_all bigint, n_target bigint").groupBy("id").agg(F.sum("n_all").alias("n"))
-    best = counted.orderBy(F.desc("n"), "id").limit(classes - 2).collect()
-    table = np.zeros(max((r["id"] for r in best), default=0) + 2, np.int32)
-    for i, row in enumerate(best, 1):
-        table[row["id"]] = i
-    sent = spark.sparkContext.broadcast(table)
-    cells = encoded.mapInArrow(_bigrams(sent, classes), "cell int, n_all bigint, n_target bigint").groupBy("cell").agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t"))
-    found = cells.toArrow()
-    every, target = np.zeros(classes * classes), np.zeros(classes * classes)
-    at = found.column("cell").to_numpy()
-    every[at], target[at] = found.column("a").to_numpy(), found.column("t").to_numpy()
-    every, target = every.reshape(classes, classes), target.reshape(classes, classes)
-    mass = target.sum() or every.sum()
-    background = losses(every, mass)
-    return Models(table, losses(target, mass) if target.sum() else background, background)
+    counted = encoded.mapInArrow(_bigrams, "cell bigint, n_all bigint, n_target bigint").groupBy("cell").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+    pair = {"first": F.shiftright("cell", SHIFT), "second": F.col("cell").bitwiseAND(F.lit((1 << SHIFT) - 1))}
+    counted = materialise(counted.withColumns(pair), "bigrams")
+    sums = lambda c, name: counted.groupBy(c).agg(F.sum("n_all").alias(f"{name}_all"), F.sum("n_target").alias(f"{name}_target"))
+    # One row per symbol of the vocabulary, a fixed size.
+    symbols = materialise(sums("second", "unigram"), "symbols")
+    contexts = F.broadcast(sums("first", "context"))
+    total = symbols.agg(F.count("*").alias("size"), *(F.coalesce(F.sum(f"unigram_{m}"), F.lit(0)).alias(m) for m in ("all", "target"))).first()
+    mass = float(total["target"] or total["all"])
+
+    def loss(model: str):
+        scale = mass / max(1.0, total[model])
+        unigram = (F.col(f"unigram_{model}") * scale + PRIOR) / (mass + PRIOR * total["size"])
+        bigram = F.col(f"n_{model}") / F.col(f"context_{model}")
+        return -F.log2(F.when(F.col(f"context_{model}") > 0, BIGRAM_WEIGHT * bigram + (1 - BIGRAM_WEIGHT) * unigram).otherwise(unigram))
+
+    joined = counted.join(F.broadcast(symbols), "second").join(contexts, "first")
+    losses = joined.select("cell", "n_all", loss("target" if total["target"] else "all").alias("target"), loss("all").alias("background"))
+    table = materialise(losses, "losses")
+    # Powers of two: what is left for the join has no frequent keys.
+    steps = table.groupBy(F.floor(F.log2("n_all")).alias("step")).count().orderBy(F.desc("step")).collect()
+    often, room = None, classes * classes
+    for r in steps:
+        room -= r["count"]
+        if room < 0:
+            often = 1 << (r["step"] + 1)
+            break
+    held = (table if often is None else table.filter(F.col("n_all") >= often)).toArrow().sort_by("cell")
+    return Models(table, *(held.column(c).to_numpy() for c in ("cell", "target", "background")), often)
+
+
+_SUMMED = "row bigint, doc_id bigint, n bigint, target double, background double, cells array<bigint>, counts array<bigint>"
 
 
 def _score(models):
+    """Per document: sums of the losses that the task holds, and its other bigrams, each once, with their counts."""
+
     def run(batches):
-        m = models.value
-        target, background = m.target.ravel(), m.background.ravel()
+        known, target, background = models.value
         for batch in batches:
-            rows = []
-            for blob, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist()):
-                cells = _cells(blob, width, m.classes, m.size)
-                rows.append((len(cells) - 1, float(target[cells].mean(dtype=np.float64)), float(background[cells].mean(dtype=np.float64))))
-            n, t, b = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            if not batch.num_rows:
+                continue
+            cells, n = _cells(batch)
+            at = np.minimum(np.searchsorted(known, cells), max(0, len(known) - 1))
+            found = known[at] == cells if len(known) else np.zeros(len(cells), bool)
+            starts = np.cumsum(n) - n
+            sums = [np.add.reduceat(np.where(found, m[at], 0.0), starts) if len(m) else np.zeros(len(n)) for m in (target, background)]
+            rest, owner = cells[~found], np.repeat(np.arange(len(n)), n)[~found]
+            order = np.lexsort((rest, owner))
+            rest, owner = rest[order], owner[order]
+            new = np.flatnonzero(np.diff(rest, prepend=-1).astype(bool) | np.diff(owner, prepend=-1).astype(bool))
+            counts = np.diff(new, append=len(rest))
+            ends = pa.array(np.searchsorted(owner[new], np.arange(len(n) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (rest[new], counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, sums), *lists], names=["row", "doc_id", "n", "target", "background", "cells", "counts"])
 
     return run
 
 
 def encode(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Store ``doc_id, target, ids, width``, so that each pass reads ids, not texts."""
+    """Store ``row, doc_id, target, ids, width``, so that each pass reads ids, not texts; ``row`` tells rows apart."""
     bounded_batches(docs.sparkSession)
     good = target_ids.select("doc_id").filter("doc_id is not null").distinct().withColumn("_good", F.lit(True))
     # One row per id on the right; an id with very many rows is split by adaptive execution.
     marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good, "doc_id", "left")
-    marked = marked.select("doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "text")
-    return materialise(marked.mapInArrow(_encode(vocabulary), "doc_id bigint, target boolean, ids binary, width int"), "encoded")
+    marked = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "text")
+    return materialise(marked.mapInArrow(_encode(vocabulary), "row bigint, doc_id bigint, target boolean, ids binary, width int"), "encoded")
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VOCABULARY, classes: int = CLASSES) -> DataFrame:
@@ -176,8 +177,22 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VO
     background model all documents. The lower the score, the closer a document
     is to the target. A loss is the mean over the ids (``n_tokens``) and the end; null and empty
     texts have that of ending at once. Null and repeated ids are rows like
-    others (a null one is never target). No documents give no rows.
+    others (a null one is never target). No documents give no rows. Losses of
+    ``classes`` squared of the most frequent bigrams are added up where the
+    documents are, those of all others by a join; the result is the same.
     """
     encoded = encode(docs, target_ids, vocabulary)
-    models = docs.sparkSession.sparkContext.broadcast(fit(encoded, classes))
-    return encoded.select("doc_id", "ids", "width").mapInArrow(_score(models), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    models = fit(encoded, classes)
+    sent = docs.sparkSession.sparkContext.broadcast((models.cells, models.target, models.background))
+    summed = encoded.select("row", "doc_id", "ids", "width").mapInArrow(_score(sent), _SUMMED)
+    target, background = F.col("target"), F.col("background")
+    if models.often is not None:
+        summed = materialise(summed, "summed")
+        rare = summed.select("row", F.explode(F.arrays_zip("cells", "counts")).alias("_c")).select("row", F.col("_c.cells").alias("cell"), F.col("_c.counts").alias("_times"))
+        # The frequent bigrams are not among these, so no key is hot.
+        priced = rare.join(models.table.filter(F.col("n_all") < models.often), "cell")
+        more = priced.groupBy("row").agg(F.sum(target * F.col("_times")).alias("_target"), F.sum(background * F.col("_times")).alias("_background"))
+        summed = summed.join(more, "row", "left")
+        target, background = target + F.coalesce("_target", F.lit(0.0)), background + F.coalesce("_background", F.lit(0.0))
+    means = summed.select("doc_id", (F.col("n") - 1).alias("n_tokens"), (target / F.col("n")).alias("target_loss"), (background / F.col("n")).alias("background_loss"))
+    return means.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -1,14 +1,17 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import compare, connect
 from sunmesh.llm import cross_entropy, exact_index, mixing, quality_kernel, toxicity, url_rules
+from sunmesh.llm.encoding import encoder
 from sunmesh.llm.features import Lexicon, quality_statistics
 from sunmesh.llm.queries import QUERIES, SQL
 
@@ -122,6 +125,36 @@ def test_cross_entropy(spark):
     assert all(r["score"] == 0 for r in none) and cross_entropy.score_documents(docs.limit(0), good).count() == 0
 
 
+@pytest.mark.parametrize("classes", [0, 5, 1024])
+def test_cross_entropy_counts_every_id(spark, classes):
+    """Against brute force with more ids than the number of classes once told apart; documents that differ in rare ids alone differ in score."""
+    common = "the of and to in is was for that"
+    words = sorted(w for w in encoder().tokenizer.get_vocab() if re.fullmatch("[a-z]{4,}", w))[:1500]
+    rows = [(i, f"{common} {w} {w}") for i, w in enumerate(words)] + [(7, None), (None, f"{common} {words[5]}"), (3, common)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    good = spark.createDataFrame([(i,) for i in range(0, 1500, 2)], "doc_id bigint")
+    found = sorted(((r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in cross_entropy.score_documents(docs, good, classes=classes).collect()), key=str)
+    ids, n = encoder().encode([t for _, t in rows])
+    assert len(set(ids.tolist())) > 1022
+    lines = [[-1, *own.tolist(), -1] for own in np.split(ids, np.cumsum(n)[:-1])]
+    pairs = [Counter(zip(a, a[1:])) for a in lines]
+    counts = {"all": sum(pairs, Counter()), "target": sum((p for p, (d, _) in zip(pairs, rows) if d is not None and d < 1500 and d % 2 == 0), Counter())}
+    mass, size = sum(counts["target"].values()), len(set(ids.tolist())) + 1
+    loss = {}
+    for name, own in counts.items():
+        scale, unigram, context = mass / sum(own.values()), Counter(), Counter()
+        for (a, b), m in own.items():
+            unigram[b] += m
+            context[a] += m
+        for a, b in counts["all"]:
+            base = (unigram[b] * scale + 1) / (mass + size)
+            loss[name, a, b] = -math.log2(0.8 * own[a, b] / context[a] + 0.2 * base if context[a] else base)
+    means = [[sum(m * loss[k, a, b] for (a, b), m in p.items()) / sum(p.values()) for k in ("target", "all")] for p in pairs]
+    expected = sorted(((d, int(m), *own) for (d, _), m, own in zip(rows, n, means)), key=str)
+    assert [f[:2] for f in found] == [e[:2] for e in expected]
+    assert np.allclose([f[2:] for f in found], [e[2:] for e in expected], rtol=1e-9)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
