@@ -16,6 +16,9 @@ from sunmesh.llm.queries import GOOD
 from sunmesh.session import scratch_path
 from sunmesh.sources.tables import materialise
 
+#: When two documents are near copies here; op4's query has the rule of its contract.
+RULE = jaccard_join.Rule(percent=80, width=5)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
@@ -25,11 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id, of repeated rows any one.
+    """One document of each group of near copies, by shingles of five words and a similarity of 0.8: the one with the smallest id, of repeated rows any one.
 
     Documents without words have no copies and all stay.
     """
-    groups = jaccard_join.similar_components(docs)
+    groups = jaccard_join.similar_components(docs, RULE)
     dropped = groups.filter("n_shingles > 0 and (component_id is null or not doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sunmesh.llm import jaccard_join
 from sunmesh.llm.components import connected_components
 from sunmesh.llm.jaccard_join import Rule, boundary, similar_components
@@ -128,3 +129,19 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     assert {r["node"]: r["component"] for r in connected_components(df).collect()} == {x: root(x) for x in list(parent)}
     assert connected_components(df.filter(F.lit(False))).count() == 0
+
+
+def stage(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+
+
+def test_pipeline_stage_drops_copies_from_080_on(spark):
+    base = lambda k: [f"w{k}x{i}" for i in range(100)]
+    rows = []
+    for k, added in enumerate([0, 5, 18, 20, 24, 25, 40]):
+        rows += [(2 * k, " ".join(base(k))), (2 * k + 1, " ".join(base(k) + [f"n{k}x{i}" for i in range(added)]))]
+    expected = sorted(({d: t for d, t in rows}[d], d) for d, _, least in brute(rows, Rule(80, 5)) if d == least)
+    narrow = sum(d == least for d, _, least in brute(rows, Rule()))
+    assert len(expected) < narrow
+    assert sorted((t, d) for d, t in stage(spark, rows)) == expected
