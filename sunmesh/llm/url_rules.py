@@ -38,28 +38,48 @@ def _address(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host(url), F.when(tail == "", "/").otherwise(tail)))
 
 
+def _folded(path_: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` segments."""
+    parts = F.split(path_, "/")
+    # A folder named by its dots ends in a slash.
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    above = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", above(done)).otherwise(F.concat(done, F.array(part)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The address that a page at ``url`` names by ``to``; null if that is the page itself, or no address (``mailto:``)."""
+    site = F.concat(F.regexp_extract(url, r"^([^:]*)://", 1), F.lit("://"), host(url))
+    own = F.when(path(url) == "", "/").otherwise(path(url))
+    folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
+    front, back = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
+    return (
+        F.when(F.regexp_like(to, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), to)
+        .when((to == "") | to.startswith("#") | F.regexp_like(to, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"^([^:]*)://", 1), F.lit(":"), to))
+        .when(to.startswith("?"), F.concat(site, own, to))
+        .when(to.startswith("/"), F.concat(site, _folded(front), back))
+        .otherwise(F.concat(site, _folded(F.concat(folder, front)), back))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``from_url, to_url``: what canonical links and refreshes in the pages (``url, html``) name.
+    """``from_url, to_url``: what all canonical links and refreshes in the pages (``url, html``) name.
 
-    A refresh goes before a canonical link. Tags may have their attributes in
-    any order; relative addresses are resolved against the page's host, those
-    relative to its folder are left out.
+    Tags may have their attributes in any order; relative addresses are
+    resolved against the page's url, ``base`` tags are not heeded.
     """
-    link = F.regexp_extract("html", r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    meta = F.regexp_extract("html", r"(?is)(<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    tagged = pages.filter("url is not null and html is not null").select("url", link.alias("link"), meta.alias("meta")).filter("link <> '' or meta <> ''")
+    links = F.regexp_extract_all("html", F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), 1)
+    metas = F.regexp_extract_all("html", F.lit(r"(?is)(<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
+    tagged = pages.filter("url is not null and html is not null").select("url", links.alias("links"), metas.alias("metas")).filter("size(links) > 0 or size(metas) > 0")
     # Few pages pass; they are stored, so that their addresses are worked out on them alone.
     tagged = materialise(tagged, "tags")
-    moved = F.regexp_extract("meta", r"(?is)content\s*=\s*[\"']?\s*\d+\s*[;,]\s*url\s*=\s*'?([^\"'\s>]+)", 1)
-    href = F.regexp_extract("link", r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]*)", 1)
-    named = tagged.select("url", F.regexp_replace(F.when(moved != "", moved).otherwise(href), "&amp;", "&").alias("to"))
-    scheme = F.regexp_extract("url", r"^([^:]*)://", 1)
-    absolute = (
-        F.when(F.instr("to", "://") > 0, F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), "to"))
-        .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host(F.col("url")), "to"))
-    )
-    return named.select(F.col("url").alias("from_url"), absolute.alias("to_url")).filter("to_url is not null")
+    moved = lambda tag: F.regexp_extract(tag, r"(?is)content\s*=\s*[\"']?\s*\d+\s*[;,]\s*url\s*=\s*'?([^\"'\s>]+)", 1)
+    href = lambda tag: F.regexp_extract(tag, r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]*)", 1)
+    named = tagged.select("url", F.explode(F.concat(F.transform("links", href), F.transform("metas", moved))).alias("to"))
+    named = named.select("url", F.regexp_replace("to", "&amp;", "&").alias("to"))
+    return named.select(F.col("url").alias("from_url"), resolved(F.col("to"), F.col("url")).alias("to_url")).filter("to_url is not null")
 
 
 def longest_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:

@@ -93,6 +93,27 @@ def test_urls_and_aliases(spark):
     assert url_rules.judge(pages).count() == len(rows) and url_rules.judge(pages.limit(0)).count() == 0
 
 
+def test_all_links_of_a_page_and_relative_ones(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    moved = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    rows = [
+        ("http://a.com/d/p", link("http://x.org/c") + moved("http://y.org/m"), ["http://x.org/c", "http://y.org/m"]),
+        ("http://a.com/d/p?q", link("page2.html") + link("../x?u=http://z.org/"), ["http://a.com/d/page2.html", "http://a.com/x?u=http://z.org/"]),
+        ("http://a.com/d/e/p#f", moved("?id=3") + moved("./..") + moved("../../../a/./b/"), ["http://a.com/d/e/p?id=3", "http://a.com/d/", "http://a.com/a/b/"]),
+        ("https://a.com", link("i.html") + link("?x") + link("/s/../t?a&amp;b"), ["https://a.com/i.html", "https://a.com/?x", "https://a.com/t?a&b"]),
+        ("http://a.com/q", link("#top") + link("") + link("mailto:a@b.net") + link("//c.com/r"), ["http://c.com/r"]),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id int, url string, html string")
+    assert sorted(tuple(r) for r in url_rules.link_edges(pages).collect()) == sorted((u, to) for u, _, named in rows for to in named)
+    # Aliases that are blocked only by such links.
+    chains = [
+        (1, "http://a.com/1", link("http://b.net/1") + moved("http://c.com/1")), (2, "http://a.com/d/2", link("3?x")), (3, "http://a.com/d/3?x", moved("http://b.net/3")),
+        (4, "http://a.com/4", link("http://c.com/4") + link("http://b.net/4")), (5, "http://a.com/5", ""),
+    ]
+    judged = url_rules.judge(spark.createDataFrame(chains, "page_id int, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in judged} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 @pytest.mark.parametrize("name, label, share", [("op8_kernel_quality", "quality", 0.9), ("op3_toxicity_trees", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, share):
     sf = "/root/testdata/sf0.1"
