@@ -74,3 +74,29 @@ def test_every_grid_entry_has_a_spark_counterpart(spark):
         for values in grid.values():
             size *= len(values)
         assert len(tr.param_grid(tr.estimator(algorithm), algorithm, grid)) == size
+
+
+@pytest.mark.parametrize("name", ["i9_pooled_grid_search", "i11_stacking", "i12_random_search", "i18_second_level_model"])
+def test_queries_search_whole_grids(spark, monkeypatch, name):
+    """Published grid and ranges, five folds, 20 trials, the library's numbers of trees; nothing is fitted here."""
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def seen(function):
+        def call(*args, **kwargs):
+            bound = inspect.signature(function).bind(*args, **kwargs)
+            bound.apply_defaults()
+            asked.update(bound.arguments)
+            raise Asked
+
+        return call
+
+    for function in (tr.grid_searched, tr.random_searched, tr.stacked):
+        monkeypatch.setattr(tr, function.__name__, seen(function))
+    with pytest.raises(Asked):
+        REGISTERED[name].run(spark, "/root/testdata/sf0.001")
+    assert asked.get("k", 5) == 5 and asked.get("trials", 20) == 20 and not asked.get("params")
+    assert asked.get("grid", tr.GRIDS["xgb"]) == tr.GRIDS["xgb"] and asked.get("space", tr.SEARCH_SPACE) == tr.SEARCH_SPACE
+    assert not any({"n_estimators", "max_depth"} & set(p) for p in asked.get("bases", {}).values())

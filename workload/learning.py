@@ -18,9 +18,6 @@ from workload.core import query
 
 INPUTS = ["v", "hour", "doy", "lat", "lon"]
 KEYS, ORDER = ["station_id"], ["ts"]
-# Parameters of the searches and stacks, whose models are fitted many times; the single fits use the library's defaults.
-FOREST = {"n_estimators": 5, "max_depth": 4}
-BOOSTED = {"n_estimators": 4, "max_depth": 3}
 
 
 def _rows(spark, sf_dir):
@@ -79,7 +76,7 @@ def pooled_cross_validation(spark, sf_dir):
 @query("i9_pooled_grid_search")
 def pooled_grid_search(spark, sf_dir):
     rows = _assembled(spark, sf_dir)
-    model, best = tr.grid_searched(rows, "xgb", {"eta": [0.3, 0.1], "max_depth": [2, 3]}, KEYS, ORDER, 3, params={"n_estimators": 3})
+    model, best = tr.grid_searched(rows, "xgb", tr.GRIDS["xgb"], KEYS, ORDER)
     scores = regression_metrics(model.transform(rows), ["station_id"], real="label")
     return scores.withColumns({f"best_{n}": F.lit(v) for n, v in best.items()})
 
@@ -87,7 +84,7 @@ def pooled_grid_search(spark, sf_dir):
 @query("i11_stacking")
 def stacking(spark, sf_dir):
     rows = _assembled(spark, sf_dir)
-    model = tr.stacked(rows, {"linear": {}, "rf": FOREST, "xgb": BOOSTED}, KEYS, ORDER, k=2)
+    model = tr.stacked(rows, {"linear": {}, "rf": {}, "xgb": {}}, KEYS, ORDER)
     return regression_metrics(model.transform(rows), ["station_id"], real="label")
 
 
@@ -112,8 +109,7 @@ def random_search(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     params = fit_scaler(rows, ["target"], "mM", by=())
     scaled = tr.assemble(apply_scaler(rows, params, ["target"], by=()), INPUTS, "target")
-    space = {"n_estimators": (2, 4, 1), "eta": (0.05, 0.5, 0), "max_depth": (2, 4, 1)}
-    model, _, _ = tr.random_searched(scaled, "xgb", space, trials=3)
+    model, _, _ = tr.random_searched(scaled)
     predicted = invert_scaler(model.transform(scaled), params, {"pred": "target", "label": "target"}, by=())
     return regression_metrics(predicted, ["station_id"], real="label")
 
@@ -146,7 +142,7 @@ def second_level_model(spark, sf_dir):
     inputs = ["doy", "hour", "lat", "lon", *slot_columns()]
     ready = tr.assemble(scaled, inputs, "target").persist()
     train, test = ready.where(F.col("split") == "train"), ready.where(F.col("split") == "test")
-    model = tr.stacked(train, {"linear": {"alpha": 0.01}, "xgb": BOOSTED}, [], ["ts", "station_id"], k=2)
+    model = tr.stacked(train, {"linear": {"alpha": 0.01}, "xgb": {}}, [], ["ts", "station_id"])
     predicted = invert_scaler(model.transform(test), params, {"pred": "target", "label": "target"}, by=())
     names = ("rmse", "mae", "mbe", "r2")
     return regression_metrics(predicted, ["station_id"], real="label", names=names, extra=[F.count(F.lit(1)).alias("n_samples")])
