@@ -79,7 +79,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int = PASSE
     queued = queued.join(aimed, "_source").withColumn("_done", F.col("_inside") + F.col("_offset"))
     # Repeated ids with one text share a finish time only by chance; the row number tells them apart.
     turns = queued.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    finish = (F.col("_done") + F.col("_turn") * F.col("source_size")).cast("double") / F.col("target")
+    # A source without words has target 0; its documents add nothing and stand first.
+    finish = F.try_divide((F.col("_done") + F.col("_turn") * F.col("source_size")).cast("double"), F.col("target"))
     turns = turns.select("_row", "doc_id", "size", "source_size", "target", "rank", "_turn", "_tie", F.coalesce(finish, F.lit(0.0)).alias("_finish"))
     budget = counted.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s")).first()["s"]
     timed = running_totals(turns, [F.col("_finish"), F.col("rank"), F.col("_turn"), F.col("doc_id"), F.col("_tie"), F.col("_row")], ["size"])

@@ -58,6 +58,16 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_with_a_source_of_empty_texts(spark):
+    empty = [(1, None, "e"), (2, "", "e"), (3, " \n", "e")]
+    docs = spark.createDataFrame([*empty, (4, "a b c", "f"), (5, "d e", None)], "doc_id bigint, text string, source string")
+    found = {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["copies"], r["taken"]) for r in mixing.mix(docs).collect()}
+    assert len(found) == 5 and all(found[d] == (0, 0, 0.0, 1, 0) for d in (1, 2, 3)) and sum(f[4] for f in found.values()) > 0
+    taken = corpus_pipeline.mixture(spark, docs, SF).filter("source = 'e'").collect()
+    assert sorted(tuple(r) for r in taken) == empty
+    assert mixing.mix(docs.filter("source = 'e'")).count() == 3
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_targets_against_repeated_sharing(spark, seed):
     rng = random.Random(seed)
