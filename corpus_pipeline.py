@@ -28,21 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words and a similarity of 0.8: the one with the smallest id, of repeated rows any one.
+    """One document of each group of near copies, by shingles of five words and a similarity of 0.8: the one with the smallest id.
 
-    Documents without words have no copies and all stay.
+    Rows are told apart by number, so those that repeat an id or have none are
+    documents like others; of a group's rows with the same id the first stays,
+    and one without id only if all are. Documents without words have no copies
+    and all stay.
     """
-    groups = jaccard_join.similar_components(docs, RULE)
-    dropped = groups.filter("n_shingles > 0 and (component_id is null or not doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    # Rows that repeat an id: one row of those with words stays.
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    once = again.filter(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))).dropDuplicates(["doc_id"])
-    wordless = again.filter(F.coalesce(~F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(True)))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once).union(wordless)
+    numbered = materialise(docs.withColumn("_n", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_join.similar_components(numbered.select(F.col("_n").alias("doc_id"), "text"), RULE)
+    groups = materialise(groups.select(F.col("doc_id").alias("_n"), "n_shingles", "component_id"), "groups")
+    worded = groups.filter("n_shingles > 0").join(numbered.select("_n", "doc_id"), "_n")
+    first = worded.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_n"))["_n"].alias("_n"))
+    stay = first.select("_n").union(groups.filter("n_shingles = 0").select("_n"))
+    return numbered.join(stay, "_n", "left_semi").select(*docs.columns)
 
 
 def benchmark_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

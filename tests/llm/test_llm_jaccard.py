@@ -145,3 +145,14 @@ def test_pipeline_stage_drops_copies_from_080_on(spark):
     narrow = sum(d == least for d, _, least in brute(rows, Rule()))
     assert len(expected) < narrow
     assert sorted((t, d) for d, t in stage(spark, rows)) == expected
+
+
+def test_pipeline_stage_goes_by_rows(spark):
+    """Repeated ids with different texts, repeated rows and null ids: only near copies leave."""
+    text = lambda k, more="": " ".join(f"w{k}x{i}" for i in range(60)) + more
+    rows = [
+        (1, text(1)), (2, text(1, " a")), (2, text(2)), (3, text(3)), (3, text(4)), (4, text(5)), (4, text(5)),
+        (None, text(6)), (None, text(6)), (None, text(3, " b")), (None, text(7)), (5, ""), (5, None), (None, " "),
+    ]
+    kept = [rows[i] for i in (0, 2, 3, 4, 5, 7, 10, 11, 12, 13)]
+    assert stage(spark, rows) == sorted(kept, key=str)
