@@ -1,5 +1,6 @@
 from pyspark.ml.linalg import Vectors
 import datetime as dt
+import inspect
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from sunmesh.operators.metrics import regression_metrics
 from sunmesh.plans import training as tr
 from sunmesh.session import scratch_path
 from sunmesh.sources import registry as rg
+from workload import REGISTERED
 
 
 @pytest.fixture(scope="module")
