@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmesh.llm import cross_entropy, decontamination, exact_index, grammar, jaccard_join, lengths, mixing, quality_kernel, toxicity, url_rules
+from sunmesh.llm import cross_entropy, decontamination, exact_index, grammar, jaccard_join, lengths, merkle, mixing, quality_kernel, toxicity, url_rules
 from sunmesh.llm.common import table
 from sunmesh.llm.labelled import fold
 from sunmesh.session import scratch_path
@@ -65,9 +65,16 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.score_documents(table(spark, sf_dir, "documents"), good)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = fold(F.col("doc_id"), 5) == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.when(hit, lowered).otherwise(F.col("text"))})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_grammar, op2_redirect_rules, op3_toxicity_trees, op4_heavy_light_join, op5_benchmark_automaton,
     op6_length_histogram, op7_extendible_index, op8_kernel_quality, op9_fair_queueing, op10_cross_entropy,
+    op11_merkle_manifest,
 )}
 
 _HOST = "case when instr(url, '://') > 0 then translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end"
