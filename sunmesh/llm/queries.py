@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmesh.llm import cross_entropy, decontamination, exact_index, grammar, jaccard_join, lengths, merkle, mixing, prefix_trie, quality_kernel, toxicity, url_rules
+from sunmesh.llm import cross_entropy, decontamination, exact_index, grammar, jaccard_join, learned_partitions, lengths, merkle, mixing, prefix_trie, quality_kernel, toxicity, url_rules
 from sunmesh.llm.common import table
 from sunmesh.llm.labelled import fold
 from sunmesh.session import scratch_path
@@ -71,6 +71,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.when(hit, lowered).otherwise(F.col("text"))})
 
 
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = learned_partitions.build_index(table(spark, sf_dir, "embeddings"))
+    return learned_partitions.search(index, F.col("vec_id") % 100 == 0)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     turns, convs = prefix_trie.branched(turns, fold(F.col("conv_id"), 9), F.col("conv_id") - F.col("conv_id") % 5)
@@ -80,7 +85,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_grammar, op2_redirect_rules, op3_toxicity_trees, op4_heavy_light_join, op5_benchmark_automaton,
     op6_length_histogram, op7_extendible_index, op8_kernel_quality, op9_fair_queueing, op10_cross_entropy,
-    op11_merkle_manifest, op13_prefix_trie,
+    op11_merkle_manifest, op12_learned_partitions, op13_prefix_trie,
 )}
 
 _HOST = "case when instr(url, '://') > 0 then translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end"
