@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches, running_totals
 from sunmesh.llm.encoding import VOCABULARY, encoder
+from sunmesh.sources.tables import materialise
 
 
 def _counted(vocabulary: str):
@@ -38,20 +39,21 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     bounded_batches(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string")).mapInArrow(_counted(vocabulary), "n_tokens bigint, n_docs bigint")
     histogram = counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    histogram = materialise(histogram, "histogram")
     summed = running_totals(histogram, [-F.col("n_tokens")], ["n_docs", "tokens"])
-    whole = summed.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
+    whole = histogram.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "tokens"))).first()
+    all_docs, all_tokens = F.lit(whole["n_docs"]), F.lit(whole["tokens"])
     longer_docs, longer_tokens = F.col("n_docs_before"), F.col("tokens_before")
-    up_to = F.col("all_docs") - longer_docs
-    # One row of totals, joined by a constant key.
-    return summed.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").select(
+    up_to = all_docs - longer_docs
+    return summed.select(
         "n_tokens",
         "n_docs",
         (longer_docs + F.col("n_docs")).alias("docs_at_least"),
         (longer_tokens + F.col("tokens")).alias("tokens_at_least"),
         up_to.alias("docs_up_to"),
-        (F.col("all_tokens") - longer_tokens).alias("tokens_up_to"),
-        (F.col("all_tokens") - longer_tokens + longer_docs * F.col("n_tokens")).alias("truncated_tokens"),
-        (up_to / F.col("all_docs")).alias("quantile"),
+        (all_tokens - longer_tokens).alias("tokens_up_to"),
+        (all_tokens - longer_tokens + longer_docs * F.col("n_tokens")).alias("truncated_tokens"),
+        (up_to / all_docs).alias("quantile"),
     )
 
 
