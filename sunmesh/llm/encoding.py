@@ -14,8 +14,8 @@ import re
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker remembers before it starts again.
-REMEMBERED = 900_000
+#: Words that a worker remembers, and their bytes, before it starts again.
+REMEMBERED, REMEMBERED_BYTES = 900_000, 64 << 20
 #: A word that ends in one mark: the pattern cuts between an ASCII letter and a mark.
 _MARKS = b".,!?;:"
 _MARKED = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,!?;:])")
@@ -34,9 +34,11 @@ class _Codes(dict):
     def __init__(self):
         super().__init__()
         self.new: list[bytes] = []
+        self.held = 0
 
     def __missing__(self, word):
         code = self[word] = len(self)
+        self.held += len(word)
         self.new.append(word)
         return code
 
@@ -86,11 +88,9 @@ class WordEncoder:
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self) -> None:
-        code, plain, special, marked = len(self.length), [], [], []
+        code, plain, marked = len(self.length), [], []
         for word in self.codes.new:  # grows by the stems of marked words
-            if b"<|" in word:
-                special.append((code, word))
-            elif word[-1] in _MARKS and (cut := _MARKED.fullmatch(word)):
+            if word[-1] in _MARKS and (cut := _MARKED.fullmatch(word)):
                 marked.append((code, self.codes[cut[1]], self.codes[cut[2]]))
             else:
                 plain.append((code, word))
@@ -98,9 +98,6 @@ class WordEncoder:
         grown = np.zeros(code - len(self.length), np.int64)
         self.offset, self.length = np.concatenate([self.offset, grown]), np.concatenate([self.length, grown])
         self._append(np.array([c for c, _ in plain], np.int64), *self._encode_plain([w for _, w in plain]))
-        for c, word in special:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self._append(np.array([c]), np.array(ids, np.uint32), np.array([len(ids)]))
         if marked:
             parts = np.array(marked, np.int64)
             ids, before = self._ids(parts[:, 1:].ravel())
@@ -109,19 +106,26 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text; null and empty texts have none."""
-        if len(self.codes) > self.remembered:
+        if len(self.codes) > self.remembered or self.codes.held > REMEMBERED_BYTES:
             self._forget()
         words: list[bytes] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
+        ends, whole = np.zeros(len(texts) + 1, np.int64), {}
         for i, text in enumerate(texts):
-            data = text.encode() if text else b""
-            words.extend((data,) if b"<|" in data else data.lower().split())
+            if text and "<|" in text:
+                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif text:
+                words.extend(text.encode().lower().split())
             ends[i + 1] = len(words)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if self.codes.new:
             self._learn()
         ids, before = self._ids(codes)
-        return ids, np.diff(before[ends])
+        lengths = np.diff(before[ends])
+        if whole:
+            at = before[ends]
+            pieces = [whole.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(at, at[1:]))]
+            ids, lengths = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        return ids, lengths
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         return self.encode(texts)[1]

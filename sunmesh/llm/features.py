@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 
+#: The longest word that a worker remembers.
+LONGEST = 64
 #: Bytes that the statistics tell apart.
 _CLASSES = np.zeros(256, np.int64)
 for _i, _members in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\t\n\x0b\x0c\r", b".,;:", b"!?", b"'\"()-", b"#$%&*@^~|\\/<>[]{}=+_`"), 1):
@@ -86,6 +88,14 @@ class Lexicon:
         self.stems = {w: x for w, x in weights.items() if w.endswith("*")}
         self.remembered, self.known = remembered, {}
 
+    def _row(self, word: str) -> tuple:
+        """What ``_look_up`` gives, or nothing if the word counts nowhere; very long words aren't remembered."""
+        row = self._look_up(word)
+        row = () if row == (0.0, 0.0, False, False, False) else row
+        if len(word) <= LONGEST:
+            self.known[word] = row
+        return row
+
     def _look_up(self, word: str) -> tuple:
         plain, disguised = plain_word(word), looks_disguised(word)
         spelt = undisguised(word) if disguised else plain
@@ -105,9 +115,7 @@ class Lexicon:
         for i, word in enumerate(words):
             row = known.get(word)
             if row is None:
-                row = known[word] = self._look_up(word)
-                if row == (0.0, 0.0, False, False, False):
-                    row = known[word] = ()
+                row = self._row(word)
             if row:
                 a, b, you, shouted, disguised = row
                 upper += shouted

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words that a worker remembers before it starts again.
-REMEMBERED = 700_000
+#: Words that a worker remembers before it starts again, and the longest that it remembers, in bytes.
+REMEMBERED, LONGEST = 700_000, 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _31, _29, _32 = np.uint64(31), np.uint64(29), np.uint64(32)
 
@@ -21,7 +21,9 @@ class _Words(dict):
     def __missing__(self, word):
         import xxhash
 
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = value
         return value
 
 
@@ -53,7 +55,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     # Combine each word with the next ones; what runs over a text's end is left out below.
     mixed = words.copy()
     with np.errstate(over="ignore"):
-        for j in range(1, width):
+        for j in range(1, min(width, len(words))):
             mixed[: len(words) - j] = (mixed[: len(words) - j] ^ (mixed[: len(words) - j] >> _29)) * _A + words[j:]
         mixed = mix64(mixed + np.uint64(width))
         for i in np.flatnonzero((counts > 0) & (counts < width)):
