@@ -33,10 +33,10 @@ from sunmesh.llm.common import bounded_batches
 from sunmesh.llm.encoding import VOCABULARY, encoder
 
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement, rules of one round, and the uses that a pair needs.
-ROUNDS, RULES, USES = 14, 4096, 6
-#: Rounds end when one shortens the shard by less than this share.
-LEAST_GAIN = 0.01
+#: Rules of one round, and the uses that a pair needs; rounds go on until no pair has them.
+RULES, USES = 4096, 6
+#: Pairs are sorted as 64-bit numbers from so many symbols on: the rules of a round may need more than 16 bits.
+WIDE_FROM = (1 << 16) - RULES
 
 SHARD_SCHEMA = (
     "part int, shard int, part_start bigint, n_docs int, n_tokens bigint, first_doc bigint, last_doc bigint, doc_ids array<bigint>,"
@@ -45,7 +45,10 @@ SHARD_SCHEMA = (
 
 
 def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
-    """Compress ``ids``; ``ends`` are the documents' last positions plus one, in order."""
+    """Compress ``ids``; ``ends`` are the documents' last positions plus one, in order.
+
+    Symbols are 16 bits wide until there are more of them, then 32 (``wide``).
+    """
     used = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
     used[ids] = True
     terminals = np.flatnonzero(used).astype(np.uint32)
@@ -53,13 +56,10 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
     s = names[ids].astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[ends[ends > 0] - 1] = True
-    wide = len(terminals) > 40_000
-    shift, room = (np.uint64(32), 1 << 31) if wide else (np.uint32(16), 1 << 16)
-    kind = np.uint64 if wide else np.uint32
     total, rules = len(terminals), []
-    for _ in range(ROUNDS):
-        if len(s) < 2 or total >= room:
-            break
+    while len(s) > 1:
+        wide = total > WIDE_FROM
+        shift, kind = (np.uint64(32), np.uint64) if wide else (np.uint32(16), np.uint32)
         key = (s[:-1].astype(kind) << shift) | s[1:].astype(kind)
         inner = ~last[:-1]
         ordered = np.sort(key[inner])
@@ -70,7 +70,7 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
         often = np.flatnonzero(count >= USES)
         if not len(often):
             break
-        pick = often[np.lexsort((ordered[begin[often]], -count[often]))][: min(RULES, room - total)]
+        pick = often[np.lexsort((ordered[begin[often]], -count[often]))][:RULES]
         pairs = ordered[begin[pick]]
         # One pair per slot: the rarer of two that meet waits for the next round.
         slot = _slots(pairs)
@@ -91,15 +91,13 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        before = len(s)
         s, last = s[keep], last[keep]
         mask = kind((1 << int(shift)) - 1)
         rules.append(np.stack([(pairs >> shift).astype(np.uint32), (pairs & mask).astype(np.uint32)], 1))
         total += len(pairs)
-        if before - len(s) < LEAST_GAIN * before:
-            break
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     lengths, flat, offset = expansions(len(terminals), rules)
+    wide = total > 1 << 16
     filled = np.flatnonzero(last) + 1
     symbol_ends = np.zeros(len(ends), np.int64)
     # Documents without ids end where the one before them ends.
@@ -219,13 +217,13 @@ def write_grammar(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_
     """Encode ``docs`` (``doc_id``, ``text``) and write grammar shards to ``path`` in ascending ``doc_id``.
 
     One range shuffle puts documents in order; equal ids are told apart by a
-    hash of their text, so a repeated id doesn't fill one partition. Null ids
+    hash of their text and a number, so a repeated row doesn't fill one partition. Null ids
     come first; null and empty texts are the end id alone; no documents give a
     folder without shards. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_tie", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "_tie", "_row").sortWithinPartitions("doc_id", "_tie", "_row")
     shards = ordered.select("doc_id", "text").mapInArrow(_encode_shards(vocabulary, end_id, shard_ids), SHARD_SCHEMA)
     shards.write.mode("errorifexists").parquet(path)
     return path
@@ -272,11 +270,27 @@ def _decode(batches):
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids"])
 
 
-def read_ids(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame:
-    """Stored documents as ``doc_id`` and ``ids``; with ``doc_id`` only its shards are read."""
+def _decode_range(doc_id: int, begin: int, end: int | None):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Shard(row)
+                found = [shard.document(i, begin, end).astype(np.int32) for i, d in enumerate(row["doc_ids"]) if d == doc_id]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return run
+
+
+def read_ids(spark: SparkSession, path: str, doc_id: int | None = None, begin: int = 0, end: int | None = None) -> DataFrame:
+    """Stored documents as ``doc_id`` and ``ids``.
+
+    With ``doc_id`` only its shards are read, and of them only the symbols that
+    cover its ids ``begin`` to ``end`` are expanded; each row that repeats the
+    id gives one row.
+    """
     bounded_batches(spark)
     shards = spark.read.parquet(path)
-    if doc_id is not None:
-        shards = shards.filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
-    decoded = shards.mapInArrow(_decode, "doc_id bigint, ids array<int>")
-    return decoded if doc_id is None else decoded.filter(F.col("doc_id") == doc_id)
+    if doc_id is None:
+        return shards.mapInArrow(_decode, "doc_id bigint, ids array<int>")
+    shards = shards.filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    return shards.mapInArrow(_decode_range(doc_id, begin, end), "doc_id bigint, ids array<int>")
