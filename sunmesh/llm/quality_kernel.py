@@ -85,15 +85,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     """
     bounded_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, usable, rows)
-    # The sample is bounded, and so are its tasks and the sums that they send.
-    known = materialise(sample.mapInArrow(_statistics, "doc_id bigint, label int, x array<double>").coalesce(SAMPLE_PARTS), "statistics")
+    # Stored before its tasks are fewer: the scan of all documents runs in as many tasks as they have.
+    known = materialise(sample.mapInArrow(_statistics, "doc_id bigint, label int, x array<double>"), "statistics").coalesce(SAMPLE_PARTS)
     moments = known.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
     count = len(QUALITY)
     mean, scale = (np.array([r["m"] for r in moments]), np.array([max(r["s"], 1e-6) for r in moments])) if moments else (np.zeros(count), np.ones(count))
     random = np.random.default_rng(SEED)
     model = KernelModel(mean, scale, random.normal(0, 1 / WIDTH, (count, FEATURES)), random.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     learn, check = known.filter(part(F.col("doc_id")) < 80), known.filter(part(F.col("doc_id")) >= 80)
-    parts = learn.coalesce(SAMPLE_PARTS).mapInArrow(_normal_equations(model), "gram binary, right binary").collect()
+    # The sample is bounded, and so are the sums that its tasks send.
+    parts = learn.mapInArrow(_normal_equations(model), "gram binary, right binary").collect()
     size = FEATURES + 1
     gram = sum((np.frombuffer(bytes(p["gram"])).reshape(size, size) for p in parts), np.zeros((size, size)))
     right = sum((np.frombuffer(bytes(p["right"])) for p in parts), np.zeros(size))

@@ -137,9 +137,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
 def interpolated(x: Column, bounds: np.ndarray, values: np.ndarray) -> Column:
     """Linear between the bounds, constant outside: ``numpy.interp`` as an expression."""
-    above = F.lit(float(values[-1]))
-    for i in range(len(bounds) - 1, 0, -1):
-        a, b, va, vb = (float(v) for v in (bounds[i - 1], bounds[i], values[i - 1], values[i]))
-        line = F.lit(vb) if b <= a else F.lit(va) + (x - a) * ((vb - va) / (b - a))
-        above = F.when(x < b, line).otherwise(above)
-    return F.when(x <= float(bounds[0]), float(values[0])).otherwise(above)
+    bounds, values = [float(b) for b in bounds], [float(v) for v in values]
+
+    def between(low: int, high: int) -> Column:
+        """For ``x`` from bound ``low`` to below bound ``high``: halves, so that the expression's depth is the logarithm of their number."""
+        if high - low > 1:
+            middle = (low + high) // 2
+            return F.when(x < bounds[middle], between(low, middle)).otherwise(between(middle, high))
+        a, b, va, vb = bounds[low], bounds[high], values[low], values[high]
+        return F.lit(vb) if b <= a else F.lit(va) + (x - a) * ((vb - va) / (b - a))
+
+    inside = between(0, len(bounds) - 1) if len(bounds) > 1 else F.lit(values[0])
+    return F.when(x <= bounds[0], values[0]).when(x >= bounds[-1], values[-1]).otherwise(inside)
