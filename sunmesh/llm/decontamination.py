@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches
+from sunmesh.sources.tables import materialise
 
 #: Consecutive words of an item that make a window.
 WINDOW = 10
@@ -109,7 +111,7 @@ def _scan(items, text_at: int, first: bool):
                 counts.append(len(words))
                 places = character_spans(text, ranges) if len(ranges) else []
                 spans.append([dict(zip(("word_begin", "word_end", "char_begin", "char_end"), (a, b, *p))) for (a, b), p in zip(ranges.tolist(), places)])
-                names.append(sorted(who))
+                names.append(sorted(who, key=lambda i: (i is None, i or "")))
             found = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(_STRUCT)), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*kept, *found], names=[f"c{i}" for i in range(len(kept) + 3)])
 
@@ -119,10 +121,10 @@ def _scan(items, text_at: int, first: bool):
 def _slices(benchmark: DataFrame, limit: int):
     """Items in slices of bounded size, read one after the other."""
     items, held = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").distinct()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").distinct()
     for row in rows.toLocalIterator():
         items.append((row["i"], row["text"]))
-        held += len((row["text"] or "").encode()) + len(row["i"])
+        held += len((row["text"] or "").encode()) + len(row["i"] or "")
         if held >= limit:
             yield items
             items, held = [], 0
@@ -138,10 +140,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     the ids, as strings, of the items these windows belong to. Words are runs of
     digits, letters and non-ASCII characters with A-Z in lower case. An item of
     fewer than ten words is one window, one without words has none; null texts
-    have no words. Repeated items count once, repeated documents each get a
+    have no words, and a null id is an item of its own. Repeated items count once, repeated documents each get a
     row; an empty benchmark finds nothing. Columns of ``docs`` may have any
     names. No shuffle: each text is scanned once for every ``automaton_bytes``
-    of item texts, so what is broadcast is bounded.
+    of item texts, so what is broadcast, and what is on the driver, is bounded;
+    between two scans the table is stored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -150,9 +153,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     current = docs.toDF(*(f"c{i}" for i in range(len(names))))
     width, at, first = len(names), names.index(text), True
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    for items in [*_slices(benchmark, automaton_bytes)] or [[]]:
+    for items in itertools.chain(_slices(benchmark, automaton_bytes), [None]):
+        if items is None and not first:
+            break
+        if not first:
+            current = materialise(current, "scanned")
         schema = f"{fields}, c{width} bigint, {_SPANS.replace('_spans', f'c{width + 1}')}, c{width + 2} array<string>"
-        current = current.mapInArrow(_scan(spark.sparkContext.broadcast(items), at, first), schema)
+        current = current.mapInArrow(_scan(spark.sparkContext.broadcast(items or []), at, first), schema)
         first = False
     return current.toDF(*names, "n_words", "spans", "items")
 

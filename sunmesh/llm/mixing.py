@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import WORD, running_totals
+from sunmesh.operators.sizing import small_side
 from sunmesh.sources.tables import materialise
 
 #: How often a document may be taken.
 PASSES = 3
-#: Rows of a source that one window orders.
-SLICE_ROWS = 50_000
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int = PASSES) -> DataFrame:
@@ -53,30 +51,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int = PASSE
     all sizes. A source comes within a document of its target. Null texts have
     size 0; texts of size 0 are taken once or never and add nothing; null is a
     source of its own; rows that repeat an id stand side by side. No documents
-    give no rows. All columns of ``docs`` are kept, so their names must not be
-    the five above.
+    give no rows. ``row`` names a column that tells rows apart; it comes back
+    too. Other columns are not read.
     """
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
     narrow = docs.select("doc_id", "source", size.alias("size"), order.alias("_order"), F.xxhash64("text").alias("_tie"), (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"))
     rows = materialise(narrow, "sizes")
-    counted = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
-    largest = counted.agg(F.max("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, largest / SLICE_ROWS))))
+    counted = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     aims = materialise(targets(counted.select("source", "source_size"), weights, passes), "targets")
-    # The order's first hexadecimal digits cut each source into slices of bounded size.
-    digits = math.ceil(bits / 4)
-    slice_ = F.substring("_order", 1, digits) if digits else F.lit("")
-    key = F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s"))
-    sliced = rows.withColumns({"_slice": slice_, "_source": key})
-    # Equal sizes: one row per source and slice before the offsets are summed.
-    sums = sliced.groupBy("_source", "_slice").agg(F.sum("size").alias("slice_size"))
-    earlier = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_source", "_slice", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_source", "_slice").orderBy("_order", "_tie", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    queued = sliced.withColumn("_inside", F.sum("size").over(inside)).join(offsets, ["_source", "_slice"])
-    aimed = aims.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("_source"), "rank", "source_size", "target")
-    queued = queued.join(aimed, "_source").withColumn("_done", F.col("_inside") + F.col("_offset"))
+    # One global order by source and draw: the sums before a row, without those of the sources before its own. No source is one task.
+    drawn = [F.col("source").isNull(), F.col("source"), F.col("_order"), F.col("_tie"), F.col("_row")]
+    queue = running_totals(rows, drawn, ["size"])
+    sources_before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    aimed = aims.select(F.col("source").alias("_source"), "rank", "source_size", "target", F.coalesce(F.sum("source_size").over(sources_before), F.lit(0)).alias("_offset"))
+    # One row per source, measured before it is broadcast.
+    queued = queue.join(small_side(aimed), F.col("source").eqNullSafe(F.col("_source")))
+    queued = queued.withColumn("_done", F.col("size_before") + F.col("size") - F.col("_offset")).drop("size_before", "_source")
     # Repeated ids with one text share a finish time only by chance; the row number tells them apart.
     turns = queued.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     # A source without words has target 0; its documents add nothing and stand first.
