@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sunmesh.llm import decontamination, grammar, lengths
+from sunmesh.llm import decontamination, encoding, grammar, lengths, shingles
 from sunmesh.llm.encoding import WordEncoder, vocabulary_path
 from sunmesh.session import scratch_path
 
@@ -35,6 +35,39 @@ def test_forgetting_changes_nothing():
         assert list(ids) == sum((small.tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS[:6]), [])
 
 
+def test_what_is_held_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 1000)
+    small = WordEncoder(vocabulary_path())
+    plain = lambda t: small.tokenizer.encode(t, add_special_tokens=False).ids
+    for i in range(20):
+        texts = [f"{'x' * 500}{i} word.", f"<|endoftext|> {'y' * 5000} {i}", "", None, f"a <| b {i}"]
+        ids, counts = small.encode(texts)
+        assert list(ids) == sum((plain(t or "") for t in texts), []) and list(counts) == [len(plain(t or "")) for t in texts]
+    assert small.codes.held < 2000 and not any(b"<|" in w for w in small.codes)
+
+
+@pytest.mark.parametrize("n_words", range(7))
+@pytest.mark.parametrize("width", [4, 5])
+def test_short_batches_of_shingles(n_words, width):
+    sets, sizes = shingles.shingle_sets([" ".join(map(str, range(n_words)))], width)
+    assert list(sizes) == [0 if not n_words else max(1, n_words - width + 1)] and len(sets) == sizes[0]
+    together, own = shingles.shingle_sets(["a b c d e f g", " ".join(map(str, range(n_words))), "h i j k l"], width)
+    assert own[1] == sizes[0] and together[own[0] : own[0] + own[1]].tolist() == sets.tolist()
+
+
+@pytest.mark.parametrize("seed, n", [(0, 30_000), (1, 400_000)])
+def test_no_frequent_pair_is_left(seed, n):
+    rng = np.random.default_rng(seed)
+    ids = (rng.zipf(1.3, n) % 3000).astype(np.uint32)
+    ends = np.append(np.sort(rng.choice(np.arange(1, n), 300, replace=False)), n)
+    found = grammar.repair(ids, ends)
+    s = found["symbols"].astype(np.int64)
+    inner = np.ones(len(s) - 1, bool)
+    inner[found["symbol_ends"][:-1] - 1] = False
+    _, counts = np.unique((s[:-1] << 32 | s[1:])[inner], return_counts=True)
+    assert counts.max() < grammar.USES
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=200), min_size=1, max_size=20), st.integers(0, 3))
 def test_repair_round_trip(docs, repeat):
@@ -50,9 +83,16 @@ def test_repair_round_trip(docs, repeat):
 
 def test_wide_symbols():
     rng = np.random.default_rng(0)
-    ids = np.concatenate([np.arange(60000), np.tile(rng.integers(0, 60000, 50), 40)]).astype(np.uint32)
-    found = grammar.repair(ids, np.array([100, len(ids)]))
-    assert found["wide"] and len(found["rules"]) and len(found["symbols"]) < len(ids)
+    # More symbols than 16 bits from the start, or only when rules are added; pairs that lie apart need a rule each.
+    pairs = np.stack([np.arange(40_000), rng.permutation(40_000)], 1)
+    many = np.concatenate([rng.permutation(pairs).ravel() for _ in range(8)])
+    for ids, wide in ((np.concatenate([np.arange(70_000), np.tile(rng.integers(0, 70_000, 50), 40)]), True), (many, True), (many % 900, False)):
+        ids = ids.astype(np.uint32)
+        found = grammar.repair(ids, np.array([100, len(ids)]))
+        assert found["wide"] == wide and len(found["rules"]) and len(found["symbols"]) < len(ids)
+        kinds = {"terminals": "<u4", "rules": "<u4", "lengths": "<u4", "symbols": "<u4" if wide else "<u2", "symbol_ends": "<i8"}
+        shard = grammar.Shard({k: found[k].astype(t).tobytes() for k, t in kinds.items()} | {"wide": wide, "token_ends": np.array([100, len(ids)], "<i8").tobytes(), "doc_ids": [0, 1]})
+        assert np.array_equal(shard.ids(), ids) and np.array_equal(shard.document(1, 5, 50), ids[105:150])
 
 
 def test_grammar_files(spark, encoder):
@@ -69,6 +109,7 @@ def test_grammar_files(spark, encoder):
         expected.append((doc_id, n, crc))
     assert sorted(expected, key=str) == sorted(((d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in coded), key=str)
     assert [r["ids"] for r in grammar.read_ids(spark, path, 4).collect()] == [x for d, x in coded if d == 4]
+    assert sorted(r["ids"] for r in grammar.read_ids(spark, path, 1, 1, 3).collect()) == sorted(x[1:3] for d, x in coded if d == 1)
     assert spark.read.parquet(path).select("part", "shard").distinct().count() == spark.read.parquet(path).count()
     empty = grammar.write_grammar(docs.limit(0), scratch_path(spark, "grammar"))
     assert grammar.read_digests(spark, empty).count() == 0
@@ -123,6 +164,9 @@ def test_contamination(spark, slices):
         own = words(r["text"])
         for s in r["spans"]:
             assert words(r["text"][s["char_begin"] : s["char_end"]]) == own[s["word_begin"] : s["word_end"]]
+    unnamed = spark.createDataFrame([(None, "x y z"), ("null", "a b c")], "item_id string, text string")
+    found = decontamination.find_contamination(spark.createDataFrame([("x y z a b c",)], "text string"), unnamed, automaton_bytes=slices).first()
+    assert sorted(found["items"], key=str) == [None, "null"]
     assert len(decontamination.find_contamination(frame, bench.limit(0)).columns) == 7
     assert decontamination.find_contamination(frame.limit(0), bench).count() == 0
     assert decontamination.find_contamination(plain, bench.limit(0)).filter("size(items) > 0").count() == 0
