@@ -20,11 +20,18 @@ from sunmesh.sources.tables import materialise
 RULE = jaccard_join.Rule(percent=80, width=5)
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named by place, and these names: columns that a stage adds then clash with none."""
+    places = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*places.values()), places
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     model = quality_kernel.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
-    scored = quality_kernel.score_quality(docs, model)
-    return scored.toDF(*docs.columns, "_score").filter(F.col("_score") >= GOOD).drop("_score")
+    placed, c = _placed(docs)
+    scored = quality_kernel.score_quality(placed, model, c["text"])
+    return scored.filter(F.col("score") >= GOOD).drop("score").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,27 +42,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     and one without id only if all are. Documents without words have no copies
     and all stay.
     """
-    numbered = materialise(docs.withColumn("_n", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_join.similar_components(numbered.select(F.col("_n").alias("doc_id"), "text"), RULE)
-    groups = materialise(groups.select(F.col("doc_id").alias("_n"), "n_shingles", "component_id"), "groups")
-    worded = groups.filter("n_shingles > 0").join(numbered.select("_n", "doc_id"), "_n")
-    first = worded.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_n"))["_n"].alias("_n"))
-    stay = first.select("_n").union(groups.filter("n_shingles = 0").select("_n"))
-    return numbered.join(stay, "_n", "left_semi").select(*docs.columns)
+    placed, c = _placed(docs)
+    numbered = materialise(placed.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_join.similar_components(numbered.select(F.col("n").alias("doc_id"), F.col(c["text"]).alias("text")), RULE)
+    groups = materialise(groups.select(F.col("doc_id").alias("n"), "n_shingles", "component_id"), "groups")
+    worded = groups.filter("n_shingles > 0").join(numbered.select("n", F.col(c["doc_id"]).alias("id")), "n")
+    first = worded.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n"))["n"].alias("n"))
+    stay = first.select("n").union(groups.filter("n_shingles = 0").select("n"))
+    return numbered.join(stay, "n", "left_semi").drop("n").toDF(*docs.columns)
 
 
 def benchmark_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    placed, c = _placed(docs)
+    found = decontamination.find_contamination(placed, table(spark, sf_dir, "benchmark"), c["text"])
+    return found.filter(F.size("spans") == 0).select(*placed.columns).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    numbered = materialise(docs.withColumn("_n", F.monotonically_increasing_id()), "numbered")
-    copies = mixing.mix(numbered, row="_n").filter("copies > 0").select("_n", "copies")
-    repeated = numbered.join(copies, "_n").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    placed, c = _placed(docs)
+    numbered = materialise(placed.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    known = numbered.select("n", *(F.col(c[name]).alias(name) for name in ("doc_id", "source", "text")))
+    copies = mixing.mix(known, row="n").filter("copies > 0").select("n", "copies")
+    repeated = numbered.join(copies, "n").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*placed.columns).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
