@@ -12,10 +12,14 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers, and their bytes, before it starts again.
 REMEMBERED, REMEMBERED_BYTES = 900_000, 64 << 20
+#: Texts that are encoded together.
+STEP = 1024
 #: A word that ends in one mark: the pattern cuts between an ASCII letter and a mark.
 _MARKS = b".,!?;:"
 _MARKED = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,!?;:])")
@@ -90,7 +94,7 @@ class WordEncoder:
     def _learn(self) -> None:
         code, plain, marked = len(self.length), [], []
         for word in self.codes.new:  # grows by the stems of marked words
-            if word[-1] in _MARKS and (cut := _MARKED.fullmatch(word)):
+            if word and word[-1] in _MARKS and (cut := _MARKED.fullmatch(word)):
                 marked.append((code, self.codes[cut[1]], self.codes[cut[2]]))
             else:
                 plain.append((code, word))
@@ -104,22 +108,27 @@ class WordEncoder:
             self._append(parts[:, 0], ids, np.diff(before[::2]))
         self.codes.new.clear()
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each text; null and empty texts have none."""
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each text; null and empty texts have none.
+
+        A batch's words are told apart once in Arrow; only its distinct words are looked up.
+        """
         if len(self.codes) > self.remembered or self.codes.held > REMEMBERED_BYTES:
             self._forget()
-        words: list[bytes] = []
-        ends, whole = np.zeros(len(texts) + 1, np.int64), {}
-        for i, text in enumerate(texts):
-            if text and "<|" in text:
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            elif text:
-                words.extend(text.encode().lower().split())
-            ends[i + 1] = len(words)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        special, whole = pc.fill_null(pc.match_substring(texts, "<|"), False), {}
+        if special.true_count:
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+                whole[int(i)] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            texts = pc.if_else(special, "", texts)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(split.value_lengths(), 0).to_numpy(zero_copy_only=False))])
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if self.codes.new:
             self._learn()
-        ids, before = self._ids(codes)
+        ids, before = self._ids(codes[coded.indices.to_numpy()])
         lengths = np.diff(before[ends])
         if whole:
             at = before[ends]
@@ -127,7 +136,7 @@ class WordEncoder:
             ids, lengths = np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
         return ids, lengths
 
-    def lengths(self, texts: list[str | None]) -> np.ndarray:
+    def lengths(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         return self.encode(texts)[1]
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches
-from sunmesh.llm.encoding import VOCABULARY, encoder
+from sunmesh.llm.encoding import STEP, VOCABULARY, encoder
 
 SHARD_IDS = 1 << 20
 #: Rules of one round, and the uses that a pair needs; rounds go on until no pair has them.
@@ -56,13 +56,20 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
     s = names[ids].astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[ends[ends > 0] - 1] = True
-    total, rules = len(terminals), []
+    total, rules, shift = len(terminals), [], None
     while len(s) > 1:
         wide = total > WIDE_FROM
-        shift, kind = (np.uint64(32), np.uint64) if wide else (np.uint32(16), np.uint32)
-        key = (s[:-1].astype(kind) << shift) | s[1:].astype(kind)
-        inner = ~last[:-1]
-        ordered = np.sort(key[inner])
+        if shift is None or wide != (kind is np.uint64):
+            shift, kind = (np.uint64(32), np.uint64) if wide else (np.uint32(16), np.uint32)
+            new_from, waiting = 0, np.zeros(1 << 16, bool)
+        # Only pairs with a symbol of the last round can have become frequent; those that waited are told by their slots.
+        near = s >= new_from
+        near = near[:-1] | near[1:]
+        if waiting.any():
+            near |= waiting[_slots((s[:-1].astype(kind) << shift) | s[1:].astype(kind))]
+        place = np.flatnonzero(near & ~last[:-1])
+        key = (s[place].astype(kind) << shift) | s[place + 1].astype(kind)
+        ordered = np.sort(key)
         if not len(ordered):
             break
         begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -80,21 +87,25 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
         pairs = pairs[won]
         owner = np.full(1 << 16, -1, np.int32)
         owner[slot[won]] = np.arange(len(won))
+        waiting = np.zeros(1 << 16, bool)
+        waiting[_slots(ordered[begin[np.setdiff1d(often, pick[won], assume_unique=True)]])] = True
         rule = owner[_slots(key)]
-        at = np.flatnonzero((rule >= 0) & inner)
-        at = at[pairs[rule[at]] == key[at]]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[pairs[rule[hit]] == key[hit]]
+        at, rule = place[hit], rule[hit]
         # Of matches that overlap, every other one counts, from the left.
         run = np.concatenate([[True], np.diff(at) != 1]) if len(at) else np.zeros(0, bool)
         index = np.arange(len(at))
-        at = at[(index - np.maximum.accumulate(np.where(run, index, 0))) % 2 == 0]
-        s[at] = (total + rule[at]).astype(np.uint32)
+        every = (index - np.maximum.accumulate(np.where(run, index, 0))) % 2 == 0
+        at, rule = at[every], rule[every]
+        s[at] = (total + rule).astype(np.uint32)
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s, last = s[keep], last[keep]
         mask = kind((1 << int(shift)) - 1)
         rules.append(np.stack([(pairs >> shift).astype(np.uint32), (pairs & mask).astype(np.uint32)], 1))
-        total += len(pairs)
+        new_from, total = total, total + len(pairs)
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     lengths, flat, offset = expansions(len(terminals), rules)
     wide = total > 1 << 16
@@ -191,13 +202,13 @@ def _encode_shards(vocabulary: str, end_id: int, shard_ids: int):
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 256):
-                ids, n = encode(texts[i : i + 256])
+            texts, names = batch.column("text"), batch.column("doc_id").to_pylist()
+            for i in range(0, len(texts), STEP):
+                ids, n = encode(texts.slice(i, STEP))
                 ends = np.cumsum(n)
                 pieces.append(np.insert(ids, ends, end_id))
                 counts.append(n + 1)
-                docs += names[i : i + 256]
+                docs += names[i : i + STEP]
                 held += len(pieces[-1])
                 if held >= shard_ids:
                     yield flush()

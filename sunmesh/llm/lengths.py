@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches, running_totals
-from sunmesh.llm.encoding import VOCABULARY, encoder
+from sunmesh.llm.encoding import STEP, VOCABULARY, encoder
 from sunmesh.sources.tables import materialise
 
 
@@ -18,8 +18,8 @@ def _counted(vocabulary: str):
     def run(batches):
         lengths = encoder(vocabulary).lengths
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = np.concatenate([np.zeros(0, np.int64), *(lengths(texts[i : i + 256]) for i in range(0, len(texts), 256))])
+            texts = batch.column(0)
+            found = np.concatenate([np.zeros(0, np.int64), *(lengths(texts.slice(i, STEP)) for i in range(0, len(texts), STEP))])
             values, counts = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["n_tokens", "n_docs"])
 
