@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers, and their bytes, before it starts again.
-REMEMBERED, REMEMBERED_BYTES = 900_000, 64 << 20
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64 << 20
 #: Texts that are encoded together.
 STEP = 1024
 #: A word that ends in one mark: the pattern cuts between an ASCII letter and a mark.
@@ -53,6 +53,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.remembered = remembered
         self._forget()
 
@@ -92,16 +93,21 @@ class WordEncoder:
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self) -> None:
-        code, plain, marked = len(self.length), [], []
+        code, plain, marked, letters = len(self.length), [], [], []
         for word in self.codes.new:  # grows by the stems of marked words
             if word and word[-1] in _MARKS and (cut := _MARKED.fullmatch(word)):
                 marked.append((code, self.codes[cut[1]], self.codes[cut[2]]))
+            elif word.isalpha():
+                letters.append((code, word))
             else:
                 plain.append((code, word))
             code += 1
         grown = np.zeros(code - len(self.length), np.int64)
         self.offset, self.length = np.concatenate([self.offset, grown]), np.concatenate([self.length, grown])
         self._append(np.array([c for c, _ in plain], np.int64), *self._encode_plain([w for _, w in plain]))
+        # Words of ASCII letters pass the normaliser and the pattern unchanged, so the model alone gives their ids.
+        found = [[t.id for t in self.model.tokenize(w.decode())] for _, w in letters]
+        self._append(np.array([c for c, _ in letters], np.int64), np.array([i for ids in found for i in ids], np.uint32), np.array(list(map(len, found)), np.int64))
         if marked:
             parts = np.array(marked, np.int64)
             ids, before = self._ids(parts[:, 1:].ravel())
