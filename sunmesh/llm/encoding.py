@@ -20,9 +20,8 @@ VOCABULARY = "word_bpe_49k.json"
 REMEMBERED, REMEMBERED_BYTES = 1_500_000, 64 << 20
 #: Texts that are encoded together.
 STEP = 1024
-#: A word that ends in one mark: the pattern cuts between an ASCII letter and a mark.
-_MARKS = b".,!?;:"
-_MARKED = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,!?;:])")
+#: A word that ends in ASCII marks other than the apostrophe: the pattern cuts between an ASCII letter and these.
+_MARKED = re.compile(rb"([a-z\x80-\xff]*[a-z])([!-&(-/:-@\[-`{-~]+)")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -95,10 +94,10 @@ class WordEncoder:
     def _learn(self) -> None:
         code, plain, marked, letters = len(self.length), [], [], []
         for word in self.codes.new:  # grows by the stems of marked words
-            if word and word[-1] in _MARKS and (cut := _MARKED.fullmatch(word)):
-                marked.append((code, self.codes[cut[1]], self.codes[cut[2]]))
-            elif word.isalpha():
+            if word.isalpha():
                 letters.append((code, word))
+            elif cut := _MARKED.fullmatch(word):
+                marked.append((code, self.codes[cut[1]], self.codes[cut[2]]))
             else:
                 plain.append((code, word))
             code += 1
