@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers, and their bytes, before it starts again.
-REMEMBERED, REMEMBERED_BYTES = 900_000, 64 << 20
+REMEMBERED, REMEMBERED_BYTES = 1_350_000, 64 << 20
 #: Texts that are encoded together.
 STEP = 256
 #: A word that ends in ASCII marks other than the apostrophe: the pattern cuts between an ASCII letter and these.
