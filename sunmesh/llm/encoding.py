@@ -19,7 +19,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers, and their bytes, before it starts again.
 REMEMBERED, REMEMBERED_BYTES = 1_350_000, 64 << 20
 #: Texts that are encoded together.
-STEP = 256
+STEP = 512
 #: A word that ends in ASCII marks other than the apostrophe: the pattern cuts between an ASCII letter and these.
 _MARKED = re.compile(rb"([a-z\x80-\xff]*[a-z])([!-&(-/:-@\[-`{-~]+)")
 

@@ -57,17 +57,21 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
     last = np.zeros(len(s), bool)
     last[ends[ends > 0] - 1] = True
     total, rules, shift = len(terminals), [], None
+    lengths = np.ones(total, np.uint32)
     while len(s) > 1:
         wide = total > WIDE_FROM
         if shift is None or wide != (kind is np.uint64):
             shift, kind = (np.uint64(32), np.uint64) if wide else (np.uint32(16), np.uint32)
             new_from, waiting = 0, np.zeros(1 << 16, bool)
         # Only pairs with a symbol of the last round can have become frequent; those that waited are told by their slots.
-        near = s >= new_from
-        near = near[:-1] | near[1:]
-        if waiting.any():
-            near |= waiting[_slots((s[:-1].astype(kind) << shift) | s[1:].astype(kind))]
-        place = np.flatnonzero(near & ~last[:-1])
+        near = ~last[:-1]
+        if new_from:
+            new = s >= new_from
+            new = new[:-1] | new[1:]
+            if waiting.any():
+                new |= waiting[_slots((s[:-1].astype(kind) << shift) | s[1:].astype(kind))]
+            near &= new
+        place = np.flatnonzero(near)
         key = (s[place].astype(kind) << shift) | s[place + 1].astype(kind)
         ordered = np.sort(key)
         if not len(ordered):
@@ -105,9 +109,9 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> dict:
         s, last = s[keep], last[keep]
         mask = kind((1 << int(shift)) - 1)
         rules.append(np.stack([(pairs >> shift).astype(np.uint32), (pairs & mask).astype(np.uint32)], 1))
+        lengths = np.concatenate([lengths, lengths[rules[-1]].sum(axis=1, dtype=np.uint32)])
         new_from, total = total, total + len(pairs)
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    lengths, flat, offset = expansions(len(terminals), rules)
     wide = total > 1 << 16
     filled = np.flatnonzero(last) + 1
     symbol_ends = np.zeros(len(ends), np.int64)
