@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunmesh import schemas
+from sunmesh.operators.components import connected_components
 from sunmesh.operators.sizing import small_side
+from sunmesh.sources.tables import materialise
+
+#: Rows of a component and slice of time that are filled together, and values held at once while doing so.
+GROUP_ROWS, BLOCK_VALUES = 65_536, 1 << 22
 
 
 def weighted_mean(value: Column, dist: Column, error: Column | None = None, power: float = 2.0) -> Column:
@@ -75,30 +80,46 @@ def impute_single_pass(
     return readings.join(offers, ["station_id", "ts"], "left").withColumns(filled).select(*readings.columns)
 
 
-def _fill_hour(features: list[str], min_stations: int, power: float):
-    """Fill one time's rows in station order; a row with a gap brings its own list of neighbours."""
-
-    def fill(hour: pd.DataFrame) -> pd.DataFrame:
-        hour = hour.sort_values("station_id", kind="stable").reset_index(drop=True)
-        values = hour[features].to_numpy(dtype=float, copy=True)
-        place = {station: i for i, station in enumerate(hour["station_id"])}
-        for i in np.flatnonzero(hour["__near"].notna()):
-            near, dist = hour.at[i, "__near"], np.asarray(hour.at[i, "__dist"], dtype=float)
-            at = np.array([place.get(n, -1) for n in near])
-            offered, dist = values[at[at >= 0]], dist[at >= 0]
-            known = ~np.isnan(offered)
-            here = known & (dist == 0)[:, None]
-            weights = np.where(here.any(axis=0), here, known * np.where(dist > 0, dist, 1.0)[:, None] ** -power)
-            total = weights.sum(axis=0)
-            mean = (weights * np.nan_to_num(offered)).sum(axis=0) / np.where(total > 0, total, 1.0)
-            usable = np.isnan(values[i]) & (known.sum(axis=0) >= min_stations)
-            values[i] = np.where(usable, mean, values[i])
-        hour[features] = values
-        return hour.drop(columns=["__near", "__dist"])
+def _fill_cascade(features: list[str], min_stations: int, power: float):
+    """Fill a component's rows station by station, all times of a slice at once."""
+
+    def fill(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns=["__component", "__slice"])
+        stations, column = np.unique(rows["station_id"].to_numpy(), return_inverse=True)
+        times, row = np.unique(rows["ts"].to_numpy(), return_inverse=True)
+        near = lists[lists["station_id"].isin(stations) & lists["neighbour_id"].isin(stations)]
+        asked, offering = (np.searchsorted(stations, near[c].to_numpy()) for c in ("station_id", "neighbour_id"))
+        dist = near["dist"].to_numpy(dtype=float)
+        measured = rows[features].to_numpy(dtype=float)
+        block = max(1, BLOCK_VALUES // (len(stations) * len(features)))
+        for begin in range(0, len(times), block):
+            own = np.flatnonzero((row >= begin) & (row < begin + block))
+            values = np.full((min(block, len(times) - begin), len(stations), len(features)), np.nan)
+            present = np.zeros(values.shape[:2], dtype=bool)
+            values[row[own] - begin, column[own]] = measured[own]
+            present[row[own] - begin, column[own]] = True
+            for station in range(len(stations)):
+                gaps = np.flatnonzero(present[:, station] & np.isnan(values[:, station]).any(axis=1))
+                mine = asked == station
+                if len(gaps) and mine.sum() >= min_stations:
+                    values[gaps, station] = _fill_station(values[gaps, station], values[np.ix_(gaps, offering[mine])], dist[mine], min_stations, power)
+            measured[own] = values[row[own] - begin, column[own]]
+        rows[features] = measured
+        return rows
 
     return fill
 
 
+def _fill_station(own: np.ndarray, offered: np.ndarray, dist: np.ndarray, min_stations: int, power: float) -> np.ndarray:
+    """``own`` (times x features) with gaps filled from ``offered`` (times x neighbours x features)."""
+    known = ~np.isnan(offered)
+    here = known & (dist == 0)[None, :, None]
+    weights = np.where(here.any(axis=1, keepdims=True), here, known * (np.where(dist > 0, dist, 1.0) ** -power)[None, :, None])
+    total = weights.sum(axis=1)
+    mean = (weights * np.nan_to_num(offered)).sum(axis=1) / np.where(total > 0, total, 1.0)
+    return np.where(np.isnan(own) & (known.sum(axis=1) >= min_stations), mean, own)
+
+
 def impute_cascade(
     readings: DataFrame,
     stations: DataFrame,
@@ -106,26 +127,32 @@ def impute_cascade(
     features: Sequence[str],
     min_stations: int = schemas.MIN_STATIONS,
     power: float = 2.0,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Like the single pass, but in station order: later stations also use values filled before.
 
-    Times are independent of each other, so the rows are grouped by time; one
-    time of a million stations and 18 features is 144 MB. Rows with a gap carry
-    their station's neighbours, so no list of all pairs is sent to tasks. Pairs
-    with an end that is not in ``stations`` are ignored; rows without a time
-    pass through. ``(station_id, ts)`` must be unique.
+    Values flow along pairs only, so components of the station graph are
+    independent, and so are times. A group is one component in a slice of time
+    of about ``group_rows`` rows; a component of more stations is one group per
+    hour. Groups without a gap, stations without neighbours and rows without a
+    time stay out of Python. Pairs with an end that is not in ``stations`` are
+    ignored. ``(station_id, ts)`` must be unique.
     """
     features = list(features)
     listed = small_side(stations.select("station_id").distinct())
     known = pairs.join(listed, "station_id", "left_semi")
-    known = known.join(listed.withColumnRenamed("station_id", "neighbour_id"), "neighbour_id", "left_semi")
-    lists = known.groupBy("station_id").agg(F.collect_list(F.struct("neighbour_id", "dist")).alias("__n")).where(F.size("__n") >= min_stations)
-    lists = lists.select("station_id", F.col("__n.neighbour_id").alias("__near"), F.col("__n.dist").alias("__dist"))
+    known = materialise(known.join(listed.withColumnRenamed("station_id", "neighbour_id"), "neighbour_id", "left_semi"), "cascade-pairs")
+    found = connected_components(known)
+    hours = found.groupBy("component").agg(F.greatest(F.lit(1), F.floor(group_rows / F.count(F.lit(1)))).alias("__hours"))
+    placed = small_side(found.join(hours, "component").withColumnRenamed("component", "__component"))
     gap = F.lit(False)
     for name in features:
         gap = gap | F.col(name).isNull()
-    timed = readings.where(F.col("ts").isNotNull())
-    asking = timed.join(small_side(lists), "station_id", "left").withColumns({c: F.when(gap, F.col(c)) for c in ("__near", "__dist")})
-    ordered = asking.select(*readings.columns, "__near", "__dist")
-    filled = ordered.groupBy("ts").applyInPandas(_fill_hour(features, min_stations, power), schema=readings.schema)
-    return filled.unionByName(readings.where(F.col("ts").isNull()))
+    slice_ = F.floor(F.unix_timestamp("ts") / (F.col("__hours") * 3600))
+    timed = materialise(readings.join(placed, "station_id", "left").withColumn("__slice", slice_).drop("__hours"), "cascade-readings")
+    keys = ["__component", "__slice"]
+    asking = small_side(timed.where(gap & F.col("__component").isNotNull() & F.col("__slice").isNotNull()).select(*keys).distinct())
+    lists = known.select("station_id", "neighbour_id", "dist").join(placed.drop("__hours"), "station_id").join(asking, "__component")
+    concerned = timed.join(asking, keys).select(*readings.columns, *keys)
+    filled = concerned.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInPandas(_fill_cascade(features, min_stations, power), schema=readings.schema)
+    return filled.unionByName(timed.join(asking, keys, "left_anti").select(*readings.columns))

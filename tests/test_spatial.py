@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sunmesh.functions.geo import EARTH_RADIUS_KM
+from sunmesh.operators.components import connected_components
 from sunmesh.operators.idw import impute_cascade, impute_single_pass, interpolate
 from sunmesh.operators.neighbours import station_pairs
 from sunmesh.operators.slots import neighbour_slots
@@ -131,3 +132,48 @@ def test_cascade_ignores_unlisted_ends_and_keeps_rows_without_time(spark):
     filled = impute_cascade(readings, stations, pairs, ["v"], min_stations=1).collect()
     assert sorted(filled, key=str) == sorted([(1, hour, 10.0), (2, hour, 10.0), (9, hour, 20.0), (1, None, None), (2, None, 5.0)], key=str)
     assert {r.v for r in impute_cascade(readings, stations, pairs.where("neighbour_id = 9"), ["v"], min_stations=1).where("station_id = 1").collect()} == {None}
+
+
+def test_components_of_the_station_graph(spark):
+    # Several components, repeated and reversed edges, loops, nulls; and one long line in shuffled order.
+    draw = random.Random(5)
+    line = draw.sample(range(1000, 2000), 300)
+    edges = [(1, 2), (2, 1), (2, 3), (5, 4), (7, 7), (None, 1), (9, 8), (8, 10), (10, 9), *zip(line, line[1:])]
+    found = connected_components(spark.createDataFrame(edges, "station_id int, neighbour_id int")).collect()
+    assert sorted(map(tuple, found)) == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (8, 8), (9, 8), (10, 8), *((s, min(line)) for s in line)])
+    named = spark.createDataFrame([("b", "a"), ("d", "c")], "station_id string, neighbour_id string")
+    assert sorted(map(tuple, connected_components(named).collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+    assert connected_components(named.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("layout", ["components", "line"])
+def test_cascade_by_component(spark, layout):
+    """Networks of several components and of one long line, in groups of one hour each, equal brute force over all stations at once."""
+    draw = random.Random(11)
+    if layout == "components":
+        sites = [(i, 10.0 * (i % 4) + draw.uniform(0, 0.4), 20.0 + draw.uniform(0, 0.4)) for i in range(24)]
+    else:
+        sites = [(i, 0.3 * place, 20.0) for place, i in enumerate(draw.sample(range(60), 60))]
+    hours = [dt.datetime(2020, 3, 1) + dt.timedelta(minutes=30 * h) for h in range(7)]
+    cells = {(s, t): draw.uniform(0, 100) if draw.random() < 0.6 else None for s, *_ in sites for t in hours if draw.random() < 0.9}
+    near = {a[0]: [(b[0], _km(a[1:], b[1:])) for b in sites if a[0] != b[0] and _km(a[1:], b[1:]) <= 80] for a in sites}
+    stations = spark.createDataFrame(sites, "station_id int, lat double, lon double")
+    readings = spark.createDataFrame([(s, t, v, None, "x") for (s, t), v in cells.items()], "station_id int, ts timestamp_ntz, v double, w double, note string")
+    expected = _brute_cascade(cells, near, 2, True)
+    for group_rows in (1, 1 << 16):
+        filled = impute_cascade(readings, stations, station_pairs(stations, 80.0), ["v", "w"], 2, group_rows=group_rows).collect()
+        assert len(filled) == len(cells) and {r.note for r in filled} == {"x"} and {r.w for r in filled} == {None}
+        for r in filled:
+            want = expected[(r.station_id, r.ts)]
+            assert (r.v is None) == (want is None) and (want is None or math.isclose(r.v, want, rel_tol=1e-9)), (r, want)
+
+
+def test_rows_without_a_gap_stay_out_of_python(spark):
+    """Only the component and hours with a gap are grouped; all other rows come back as they are, extra columns included."""
+    hours = [dt.datetime(2020, 3, 1) + dt.timedelta(hours=h) for h in range(4)]
+    rows = [(s, t, None if (s, t) == (1, hours[2]) else float(s)) for s in (1, 2, 3, 11, 12) for t in hours]
+    readings = spark.createDataFrame(rows, "station_id int, ts timestamp_ntz, v double")
+    stations = spark.createDataFrame([(s,) for s in (1, 2, 3, 11, 12)], "station_id int")
+    pairs = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (1, 3, 1.0), (3, 1, 1.0), (11, 12, 1.0)], "station_id int, neighbour_id int, dist double")
+    filled = impute_cascade(readings, stations, pairs, ["v"], 2, group_rows=3)
+    assert sorted(map(tuple, filled.collect())) == sorted((s, t, 2.5 if v is None else v) for s, t, v in rows)
