@@ -133,7 +133,7 @@ def apply_pca(
     return apply_pca_groups(df, params.withColumn("group", F.lit("")), {"": (columns, new_columns)}, by, drop_inputs)
 
 
-def _solve_ridge(n: float, mean: np.ndarray, cov: np.ndarray, alpha: float) -> np.ndarray:
+def solve_ridge(n: float, mean: np.ndarray, cov: np.ndarray, alpha: float) -> np.ndarray:
     """``[intercept, coefficients..]`` of the last variable on the others; the penalty excludes the intercept."""
     inputs = cov[:-1, :-1] + np.eye(len(mean) - 1) * (alpha / n)
     slope = np.linalg.lstsq(inputs, cov[:-1, -1], rcond=None)[0]
@@ -169,7 +169,7 @@ def fit_linear(
     def solve(batches):
         for rows in batches:
             models = [
-                _solve_ridge(n, np.asarray(m), np.asarray(c).reshape(width, width), alpha)
+                solve_ridge(n, np.asarray(m), np.asarray(c).reshape(width, width), alpha)
                 for n, m, c in zip(rows["n"], rows["mean"], rows["cov"])
             ]
             out = rows[[*keys, "n"]].copy()
@@ -236,13 +236,79 @@ def cross_validated_linear(
             return pd.DataFrame(columns=schema.names)
         best = None
         for alpha in penalties:
-            models = [_solve_ridge(*_merge(parts[:i] + parts[i + 1 :]), alpha) for i in range(len(parts))]
+            models = [solve_ridge(*_merge(parts[:i] + parts[i + 1 :]), alpha) for i in range(len(parts))]
             errors = [_squared_error(p[1], p[2], m) for p, m in zip(parts, models)]
             if best is None or np.mean(errors) < best[1]:
-                model = _solve_ridge(*_merge(parts), alpha) if refit else models[int(np.argmin(errors))]
+                model = solve_ridge(*_merge(parts), alpha) if refit else models[int(np.argmin(errors))]
                 best = (alpha, float(np.mean(errors)), errors, float(model[0]), list(model[1:]))
         head = [rows[c].iloc[0] for c in keys]
         return pd.DataFrame([[*head, *best]], columns=schema.names)
 
     # One row per fold: each group that reaches a task has at most k rows.
     return moments.groupBy(*by).applyInPandas(search, schema)
+
+
+def _subtract(whole: tuple[float, np.ndarray, np.ndarray], part: tuple[float, np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Moments of the rows of ``whole`` that are not in ``part``."""
+    n = whole[0] - part[0]
+    mean = (whole[0] * whole[1] - part[0] * part[1]) / n
+    between = np.outer(part[1] - mean, part[1] - mean) * (part[0] * n / whole[0])
+    return n, mean, (whole[0] * whole[2] - part[0] * part[2] - between) / n
+
+
+def searched_linear(
+    df: DataFrame,
+    subsets: Sequence[Sequence[str]],
+    target: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    alphas: Sequence[float] = (0.0,),
+    k: int = 5,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Exhaustive k-fold search over feature subsets and ridge penalties, from one pass over the rows.
+
+    Each fold's moments of all features are added up once. Those of the other
+    folds are the total's without the fold's own, and a subset's moments are a
+    part of the matrix, so no candidate costs another pass. Folds are
+    contiguous within ``keys``, as everywhere. One row per ``by`` group (none:
+    all rows are pooled), subset and penalty: ``(by.., features, alpha, mse,
+    fold_mse, best)``; ``best`` marks the smallest mean error, the earlier
+    candidate of equal ones. Rows with a null in any used column are left out;
+    a group needs rows in two folds.
+    """
+    features = list(dict.fromkeys(c for s in subsets for c in s))
+    used = [*features, target]
+    folds = contiguous_folds(df.dropna("any", subset=used), list(keys), order, k)
+    moments = grouped_moments(folds, [*by, "fold"], used)
+    width, places = len(used), [[features.index(c) for c in s] + [len(features)] for s in subsets]
+    schema = T.StructType(
+        [moments.schema[c] for c in by]
+        + [
+            T.StructField("features", T.ArrayType(T.StringType())),
+            T.StructField("alpha", T.DoubleType()),
+            T.StructField("mse", T.DoubleType()),
+            T.StructField("fold_mse", DOUBLES),
+            T.StructField("best", T.BooleanType()),
+        ]
+    )
+    names, penalties, group = [list(s) for s in subsets], [float(a) for a in alphas], list(by)
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("fold")
+        parts = [(float(n), np.asarray(m), np.asarray(c).reshape(width, width)) for n, m, c in zip(rows["n"], rows["mean"], rows["cov"])]
+        if len(parts) < 2:
+            return pd.DataFrame(columns=schema.names)
+        whole = _merge(parts)
+        others = [_subtract(whole, p) for p in parts]
+        found = []
+        for name, at in zip(names, places):
+            for alpha in penalties:
+                models = [solve_ridge(n, mean[at], cov[np.ix_(at, at)], alpha) for n, mean, cov in others]
+                errors = [_squared_error(p[1][at], p[2][np.ix_(at, at)], m) for p, m in zip(parts, models)]
+                found.append([name, alpha, float(np.mean(errors)), errors])
+        first = min(range(len(found)), key=lambda i: found[i][2])
+        head = [rows[c].iloc[0] for c in group]
+        return pd.DataFrame([[*head, *f, i == first] for i, f in enumerate(found)], columns=schema.names)
+
+    return moments.groupBy(*by).applyInPandas(search, schema)

@@ -7,20 +7,24 @@ station are the linear ones of ``operators.moments``, fitted for all stations in
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmesh.operators.ordered import contiguous_folds
 from sunmesh.operators.scaling import invert_scaler
 from sunmesh.operators.sizing import small_side
+from sunmesh.plans.extra_trees import ExtraTreesRegressor
+from sunmesh.plans.ledger import best_trial, run_trials
 from sunmesh.schemas import MODEL_NAMES
 from sunmesh.session import shared_folder
 from sunmesh.sources.registry import parse_params
@@ -70,14 +74,14 @@ SEARCH_SPACE = {
 
 
 def estimator(algorithm: str, params: Mapping | None = None, prediction: str = "pred") -> Estimator:
-    """``linear``, ``rf``, ``extr`` (all rows, a random third of the features at each split) or ``xgb`` (boosted trees) on ``features`` / ``label``."""
+    """``linear``, ``rf``, ``extr`` (all rows, random cut points) or ``xgb`` (boosted trees) on ``features`` / ``label``."""
     common = {"featuresCol": "features", "labelCol": "label", "predictionCol": prediction}
     if algorithm == "linear":
         chosen = LinearRegression(**common)
     elif algorithm == "rf":
         chosen = RandomForestRegressor(seed=7, **common)
     elif algorithm == "extr":
-        chosen = RandomForestRegressor(seed=7, bootstrap=False, featureSubsetStrategy="onethird", **common)
+        chosen = ExtraTreesRegressor(seed=7, **common)
     elif algorithm == "xgb":
         chosen = GBTRegressor(seed=7, **common)
     else:
@@ -129,16 +133,20 @@ def param_grid(chosen: Estimator, algorithm: str, grid: Mapping[str, Sequence])
     return builder.build()
 
 
+def _few_tasks(stored: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """A stored table in as many tasks as its rows need: a tree's levels are many short jobs."""
+    return stored.coalesce(stored.count() // rows_per_task + 1)
+
+
 def cross_validated(
     rows: DataFrame, algorithm: str, params: Mapping | None, keys: Sequence[str], order: Sequence[str], k: int = 5
 ) -> tuple[Model, list[float]]:
     """Model of the fold with the lowest held-out squared error, and the errors of all folds."""
-    folded = contiguous_folds(rows, keys, order, k).persist()
+    folded = materialise(contiguous_folds(rows, keys, order, k), "folds")
     fits = []
     for fold in range(k):
         model = estimator(algorithm, params).fit(folded.where(F.col("fold") != fold))
         fits.append((_evaluator().evaluate(model.transform(folded.where(F.col("fold") == fold))), fold, model))
-    folded.unpersist()
     return min(fits, key=lambda f: f[:2])[2], [f[0] for f in fits]
 
 
@@ -149,7 +157,7 @@ def grid_searched(
     keys: Sequence[str],
     order: Sequence[str],
     k: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 8,
     params: Mapping | None = None,
 ) -> tuple[Model, dict]:
     """Model with the best mean held-out squared error, refitted on all rows, and its parameters."""
@@ -158,7 +166,7 @@ def grid_searched(
     search = CrossValidator(
         estimator=chosen, estimatorParamMaps=maps, evaluator=_evaluator(), numFolds=k, foldCol="fold", parallelism=parallelism
     )
-    folded = materialise(contiguous_folds(rows.select(*keys, *order, "features", "label"), keys, order, k), "folds")
+    folded = _few_tasks(materialise(contiguous_folds(rows.select(*keys, *order, "features", "label"), keys, order, k), "folds"))
     fitted = search.fit(folded)
     best = maps[min(range(len(maps)), key=lambda i: fitted.avgMetrics[i])]
     return fitted.bestModel, {p.name: v for p, v in best.items()}
@@ -173,6 +181,7 @@ def random_trials(space: Mapping[str, tuple], trials: int, seed: int) -> list[di
 
 def random_searched(
     rows: DataFrame,
+    ledger: str,
     algorithm: str = "xgb",
     space: Mapping[str, tuple] = SEARCH_SPACE,
     trials: int = 20,
@@ -180,19 +189,29 @@ def random_searched(
     train_ratio: float = 0.75,
     parallelism: int = 4,
     target_scale: float = 1.0,
+    limit: float | None = None,
 ) -> tuple[Model, dict, float]:
-    """Best of ``trials`` random parameter sets on one random split; the error is in original target units."""
-    chosen = estimator(algorithm)
-    drawn = random_trials(space, trials, seed)
-    maps = [
-        {chosen.getParam(n): chosen.getParam(n).typeConverter(v) for n, v in spark_parameters(algorithm, t).items()} for t in drawn
-    ]
-    search = TrainValidationSplit(
-        estimator=chosen, estimatorParamMaps=maps, evaluator=_evaluator(metric="rmse"), trainRatio=train_ratio, seed=seed, parallelism=parallelism
-    )
-    fitted = search.fit(rows)
-    best = min(range(len(maps)), key=lambda i: fitted.validationMetrics[i])
-    return fitted.bestModel, drawn[best], fitted.validationMetrics[best] * target_scale
+    """Best of the library's defaults and ``trials`` random parameter sets on one random split, refitted on all rows.
+
+    Trials are rows of the ledger at ``ledger``; a search that was broken off
+    goes on with those that are missing, on the same stored split. ``limit`` ends it
+    after so many seconds. The error is in original target units.
+    """
+    spark = rows.sparkSession
+    drawn = [{}, *random_trials(space, trials, seed)]
+    # Drawn from the rows' values, so that neither their order nor a restart changes the halves.
+    drawn_by = F.pmod(F.xxhash64(F.lit(seed), vector_to_array("features"), "label"), F.lit(10_000))
+    halves = materialise(rows.select("features", "label", (drawn_by < int(train_ratio * 10_000)).alias("train")), "split")
+    halves = _few_tasks(halves).persist()
+    train, held = halves.where("train"), halves.where("not train")
+
+    def evaluate(params: Mapping) -> float:
+        return _evaluator(metric="rmse").evaluate(estimator(algorithm, params).fit(train).transform(held)) * target_scale
+
+    best, error = best_trial(run_trials(spark, ledger, drawn, evaluate, limit, parallelism), drawn)
+    model = estimator(algorithm, best).fit(halves)
+    halves.unpersist()
+    return model, best, error
 
 
 def stacked(
@@ -211,7 +230,7 @@ def stacked(
     result is one pipeline from ``features`` to ``pred``.
     """
     shared_folder(rows.sparkSession)
-    folded = contiguous_folds(rows.select(*keys, *order, "features", "label"), keys, order, k).persist()
+    folded = _few_tasks(materialise(contiguous_folds(rows.select(*keys, *order, "features", "label"), keys, order, k), "folds")).persist()
     columns = [f"pred_{name}" for name in bases]
     unseen = None
     for fold in range(k):
@@ -231,6 +250,47 @@ def stacked(
     return PipelineModel([*fitted_bases, level_two, fitted_last])
 
 
+def looked_up(winners: DataFrame, algorithms: Sequence[str], key: str = "station_id") -> DataFrame:
+    """``(key, params)``: each station's best parameters of every algorithm as one text, equal for equal parameters.
+
+    ``winners`` holds one run per station and model; an algorithm without a run
+    has its defaults.
+    """
+    names = {MODEL_NAMES.get(a, a): a for a in algorithms}
+    pairs = F.array_sort(F.map_entries(parse_params(F.col("params"))))
+    found = winners.where(F.col("model").isin(list(names))).groupBy(key).pivot("model", list(names)).agg(F.max(pairs))
+    return found.select(key, F.to_json(F.struct(*[F.map_from_entries(F.col(m)).alias(a) for m, a in names.items()])).alias("params"))
+
+
+def stacked_with_best(
+    rows: DataFrame,
+    winners: DataFrame,
+    algorithms: Sequence[str],
+    keys: Sequence[str],
+    order: Sequence[str],
+    key: str = "station_id",
+    final: str = "linear",
+    k: int = 5,
+) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """A stack for every distinct set of looked-up parameters, fitted on the stations that share it, and all predictions.
+
+    Stations with equal best parameters are one group and one pipeline, so there
+    are as many fits as distinct sets. Stations without a run of their own share
+    the defaults. Predictions are ``rows`` with ``pred``.
+    """
+    marked = rows.join(small_side(looked_up(winners, algorithms, key)), key, "left").withColumn("__params", F.coalesce("params", F.lit("{}"))).drop("params")
+    marked = materialise(marked, "parameter-sets")
+    models, predicted = {}, None
+    # One short text per distinct parameter set.
+    for text in sorted(r[0] for r in marked.select("__params").distinct().collect()):
+        chosen = json.loads(text)
+        own = marked.where(F.col("__params") == text).drop("__params")
+        models[text] = stacked(own, {a: chosen.get(a) or {} for a in algorithms}, keys, order, final, k=k)
+        part = models[text].transform(own).select(*rows.columns, "pred")
+        predicted = part if predicted is None else predicted.unionByName(part)
+    return models, predicted if predicted is not None else rows.withColumn("pred", F.lit(None).cast("double"))
+
+
 def batch_inference(
     model: Model,
     df: DataFrame,

@@ -1,12 +1,20 @@
-from pyspark.ml.linalg import Vectors
 import datetime as dt
 import inspect
 import random
+import time
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from sunmesh.operators.metrics import regression_metrics
+from sunmesh.operators.moments import searched_linear
+from sunmesh.operators.ordered import contiguous_folds
+from sunmesh.plans import flow as fl
 from sunmesh.plans import training as tr
+from sunmesh.plans.extra_trees import COPIES
+from sunmesh.plans.ledger import best_trial, read_ledger, run_trials
 from sunmesh.session import scratch_path
 from sunmesh.sources import registry as rg
 from workload import REGISTERED
@@ -42,13 +50,115 @@ def test_grid_search_picks_the_better_depth(rows):
     assert best == {"maxDepth": 6}
 
 
-def test_random_search_is_repeatable_and_in_original_units(rows):
+def test_random_search_is_repeatable_and_in_original_units(spark, rows):
     space = {"n_estimators": (2, 4, 1), "max_depth": (1, 4, 1)}
-    _, first, error = tr.random_searched(rows, "xgb", space, trials=3, seed=5)
-    _, second, scaled = tr.random_searched(rows, "xgb", space, trials=3, seed=5, target_scale=10.0)
+    _, first, error = tr.random_searched(rows, scratch_path(spark, "ledger"), "xgb", space, trials=3, seed=5)
+    _, second, scaled = tr.random_searched(rows, scratch_path(spark, "ledger"), "xgb", space, trials=3, seed=5, target_scale=10.0)
     assert first == second and scaled == pytest.approx(10 * error)
 
 
+def test_ledger_goes_on_after_a_broken_run(spark):
+    path, trials, asked = scratch_path(spark, "ledger"), [{"a": i} for i in range(6)], []
+
+    def evaluate(params):
+        asked.append(params["a"])
+        if params["a"] == 3 and len(asked) < 6:
+            raise RuntimeError("lost")
+        return abs(params["a"] - 4) + 0.5
+
+    with pytest.raises(RuntimeError):
+        run_trials(spark, path, trials, evaluate, parallelism=1)
+    first = {r.trial for r in read_ledger(spark, path).collect()}
+    assert {0, 1, 2} <= first and 3 not in first
+    # A writer that was lost before it finished has left a folder without a mark.
+    spark.range(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/trial=3")
+    before = list(asked)
+    asked += [None] * 6
+    ledger = run_trials(spark, path, trials, evaluate)
+    again = asked[len(before) + 6 :]
+    assert set(again) == set(range(6)) - first and ledger.count() == 6
+    assert best_trial(ledger, trials) == ({"a": 4}, 0.5)
+    assert run_trials(spark, path, trials, evaluate).count() == 6 and len(asked) == len(before) + 6 + len(again)
+    with pytest.raises(ValueError):
+        run_trials(spark, path, [{"a": 9}], evaluate)
+
+
+def test_a_time_limit_ends_the_search_and_cancels_its_jobs(spark):
+    slow = F.udf(lambda x: time.sleep(60) or x, "long")
+
+    def evaluate(params):
+        if params["a"]:
+            spark.range(2).select(slow("id")).collect()
+        return 1.0
+
+    begin = time.monotonic()
+    ledger = run_trials(spark, scratch_path(spark, "ledger"), [{"a": 0}, {"a": 1}, {"a": 1}], evaluate, limit=3.0, parallelism=2)
+    assert [r.trial for r in ledger.collect()] == [0] and time.monotonic() - begin < 40
+    # Without any finished trial the first one still counts.
+    alone = run_trials(spark, scratch_path(spark, "ledger"), [{"a": 0}, {"a": 0}], evaluate, limit=0.0, parallelism=1)
+    assert alone.count() >= 1
+
+
+def test_stations_with_equal_parameters_share_a_stack(spark, rows):
+    winners = spark.createDataFrame(
+        [("a", "linear", '{"alpha": 0.5}'), ("b", "linear", '{"alpha": 0.5}'), ("a", "RandomForestRegressor", '{"max_depth": 2, "n_estimators": 3, "gamma": nan}'),
+         ("b", "RandomForestRegressor", '{"n_estimators": 3, "max_depth": 2, "gamma": nan}'), ("z", "linear", '{"alpha": 9}')],
+        "station_id string, model string, params string",
+    )
+    models, predicted = tr.stacked_with_best(rows, winners, ["linear", "rf"], ["station_id"], ["ts"], k=2)
+    assert len(models) == 2 and predicted.count() == rows.count()
+    shared, defaults = (next(m for t, m in models.items() if ("0.5" in t) == found) for found in (True, False))
+    assert [m.getNumTrees for m in shared.stages if hasattr(m, "getNumTrees")] == [3] and [m.getNumTrees for m in defaults.stages if hasattr(m, "getNumTrees")] == [20]
+    assert next(m for m in shared.stages if hasattr(m, "coefficients")).getRegParam() == 0.5
+    own = rows.where("station_id <> 'c'")
+    _, predicted = tr.stacked_with_best(rows, winners, ["linear"], ["station_id"], ["ts"], k=2)
+    expected = tr.stacked(own, {"linear": {"alpha": 0.5}}, ["station_id"], ["ts"], k=2).transform(own)
+    pick = lambda df: {(r.station_id, r.ts): r.pred for r in df.collect() if r.station_id != "c"}
+    assert pick(predicted) == pytest.approx(pick(expected))
+
+
+def test_subset_and_penalty_search_against_numpy(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(101, 3)) + [5, -2, 0]
+    y = x @ [2.0, -1.0, 0.0] + draw.normal(size=101)
+    hour = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(hours=i)
+    data = [(hour(i), *map(float, row), float(t)) for i, (row, t) in enumerate(zip(x, y))] + [(hour(500), None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "ts timestamp_ntz, a double, b double, c double, y double").withColumn("station_id", F.lit(1))
+    subsets = [["a"], ["b", "a"], ["a", "b", "c"]]
+    found = searched_linear(df, subsets, "y", ["station_id"], ["ts"], [0.0, 7.0], k=4).collect()
+    folds = np.array([r.fold for r in contiguous_folds(df.dropna(), ["station_id"], ["ts"], 4).orderBy("ts").collect()])
+    best = min(found, key=lambda r: r.mse)
+    assert len(found) == 6 and [r.best for r in found].count(True) == 1 and best.best
+    for r in found:
+        at = ["abc".index(c) for c in r.features]
+        errors = []
+        for fold in range(4):
+            train, held = folds != fold, folds == fold
+            m = x[train][:, at].mean(axis=0)
+            xc = x[train][:, at] - m
+            w = np.linalg.solve(xc.T @ xc + r.alpha * np.eye(len(at)), xc.T @ (y[train] - y[train].mean()))
+            errors.append(np.mean((y[held] - y[train].mean() - (x[held][:, at] - m) @ w) ** 2))
+        assert r.fold_mse == pytest.approx(errors) and r.mse == pytest.approx(np.mean(errors))
+
+
+def test_flow_keeps_the_better_data_set(spark):
+    draw = random.Random(1)
+    rows = []
+    for dataset, noise in (("original", {"a": 0.1, "b": 5.0}), ("imputed", {"a": 5.0, "b": 0.1, "c": 1.0})):
+        for s, n in noise.items():
+            rows += [(dataset, s, i, float(i), float(i % 7), 2.0 * i - (i % 7) + draw.gauss(0, n)) for i in range(60)]
+    rows.append(("imputed", "d", 0, 1.0, 1.0, 1.0))  # too few rows for a model
+    df = spark.createDataFrame(rows, "dataset string, station_id string, ts int, x double, z double, y double")
+    candidates = {"one": fl.Candidate(["x"]), "both": fl.Candidate(["x", "z"]), "weak": fl.Candidate(["z"], 10.0)}
+    flow = fl.train_and_select(df.where("ts < 40"), df.where("ts >= 40"), candidates, "y", "t", min_rows=2)
+    assert {(r.station_id, r.is_interp, r.model) for r in flow.blended.collect()} == {("a", False, "both"), ("b", True, "both"), ("c", True, "both")}
+    assert flow.models.count() == 15 and flow.results.count() == 15 and flow.winning_predictions().count() == 60
+    model = flow.models.where("dataset = 'original' and station_id = 'a' and model = 'both'").first()
+    own = np.array([r[2:] for r in rows if r[:2] == ("original", "a") and r[2] < 40], float)
+    expected = np.linalg.lstsq(np.c_[np.ones(40), own[:, 1:3]], own[:, 3], rcond=None)[0]
+    assert [model.intercept, *model.coefficients] == pytest.approx(list(expected))
+
+
 def test_best_estimator_reads_the_registry(spark):
     winners = spark.createDataFrame([("a", "RandomForestRegressor", '{"n_estimators": 150, "max_features": "sqrt", "gamma": nan}')], "station_id string, model string, params string")
     chosen = tr.best_estimator(winners, "a", "rf")
@@ -60,12 +170,26 @@ def test_best_estimator_reads_the_registry(spark):
 
 
 def test_extra_trees_use_all_rows_and_differ(spark):
-    chosen = tr.estimator("extr", {"n_estimators": 6})
-    assert chosen.getBootstrap() is False
     draw = random.Random(2)
-    points = [[draw.uniform(0, 1) for _ in range(6)] for _ in range(200)]
-    rows = spark.createDataFrame([(Vectors.dense(x), sum(x) + x[0] * x[1]) for x in points], ["features", "label"])
-    assert len({t.toDebugString.split("\n", 1)[1] for t in chosen.fit(rows).trees}) == 6
+    points = [[draw.uniform(0, 1) for _ in range(5)] + [3.0] for _ in range(2000)]
+    rows = spark.createDataFrame([(Vectors.dense(x), sum(x) + x[0] * x[1]) for x in points], ["features", "label"]).coalesce(2).persist()
+    for leaf in tr.GRIDS["extr"]["min_samples_leaf"]:
+        for features in tr.GRIDS["extr"]["max_features"]:
+            chosen = tr.estimator("extr", {"n_estimators": 6, "min_samples_leaf": leaf, "max_features": features})
+            cuts, forest = chosen.fit(rows).stages
+            assert forest.getBootstrap() is False and forest.getNumTrees == 6 and forest.getMinInstancesPerNode() == leaf
+            assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 3
+    assert chosen.columns_looked_at(6) == 3 and tr.estimator("extr").columns_looked_at(6) == 6
+    other = tr.estimator("extr", {"n_estimators": 6})._set(seed=8).fit(rows).stages[0]
+    assert other.getOrDefault("starts") != cuts.getOrDefault("starts")
+    # A constant feature is never cut; values beyond the bounds go to the outer cells.
+    cut = cuts.transform(spark.createDataFrame([(Vectors.dense([-9.0] * 6),), (Vectors.dense([9.0] * 6),)], ["features"])).select("features_cut").collect()
+    assert set(cut[0][0].toArray()) == {0.0} and cut[1][0].toArray()[-COPIES:].tolist() == [0.0] * COPIES
+    model = tr.estimator("extr", {"n_estimators": 30, "max_depth": 8}).fit(rows)
+    plain = tr.estimator("linear").fit(rows.withColumn("label", F.lit(0.0) + F.col("label") * 0 + 3.0))
+    assert _rmse(model, rows) < 0.5 * _rmse(plain, rows)
+    entry = rg.save_model(model, scratch_path(spark, "store"), "original", "a", "ExtraTreesRegressor", "2024-01-01-00-00-00", {})
+    assert _rmse(rg.load_model(entry["path"]), rows) == pytest.approx(_rmse(model, rows))
     with pytest.raises(KeyError):
         tr.GRIDS["mlp"]
 
