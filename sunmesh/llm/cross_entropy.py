@@ -1,198 +1,270 @@
-"""Cross-entropy difference of two matched bigram models over the whole vocabulary."""
+"""Cross-entropy difference of two matched n-gram models over the whole vocabulary.
 
-from __future__ import annotations
+Documents are encoded once and dealt out in blocks of bounded size. A block
+says once which n-grams it holds, as sorted, packed lists by slices of their
+contexts. A slice adds up all blocks' lists and answers each with the counts of
+its n-grams and contexts, packed again, and a block prices its documents from
+its own answers. Messages are distinct n-grams of blocks, not occurrences, and
+no table of n-grams is broadcast; what a model gathers grows with the corpus.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches
-from sunmesh.llm.encoding import VOCABULARY, encoder
+from sunmesh.llm.encoding import STEP, VOCABULARY, encoder
+from sunmesh.llm.shingles import mix64
 from sunmesh.sources.tables import materialise
 
-#: Tasks hold the losses of this many squared of the most frequent bigrams (16 MB); all others are joined.
-CLASSES = 1024
-#: Weight of the bigram against the unigram estimate, and what each symbol has before counting.
-BIGRAM_WEIGHT, PRIOR = 0.8, 1.0
-#: Bigrams that a task holds before it adds them up.
-HELD = 2 << 20
-#: A bigram is one number: its first symbol, shifted by so many bits, and its second. Symbols are ids from 1 on; 0 is a document's end.
-SHIFT = 32
+#: Length of the longest n-grams.
+ORDER = 3
+#: Weight of an n-gram's own estimate against that of the shorter context, and what each symbol has before counting.
+WEIGHT, PRIOR = 0.8, 1.0
+#: Symbols of a block; a longer document is a block of its own.
+BLOCK_SYMBOLS = 1 << 21
+#: Symbols of the corpus for each slice: what a slice adds up at once is at most so many n-grams.
+SLICE_SYMBOLS = 1 << 22
+
+_DOCS = "row bigint, doc_id bigint, target boolean, block bigint, ids binary, width int"
+_LISTS = "block bigint, k int, slice bigint, cells binary, n_all binary, n_target binary"
+_ANSWERS = "block bigint, k int, cells binary, n_all binary, n_target binary, context_all binary, context_target binary"
 
 
 def _encode(vocabulary: str):
     def run(batches):
-        encode = encoder(vocabulary).encode
+        known = encoder(vocabulary)
+        kind = np.dtype("<u2" if known.size < 1 << 16 else "<u4")
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                ids, n = encode(texts[i : i + 256])
-                kind = np.dtype("<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4")
+            for i in range(0, batch.num_rows, STEP):
+                own = batch.slice(i, STEP)
+                ids, n = known.encode(own.column("text"))
                 data, ends = ids.astype(kind).tobytes(), np.cumsum(n) * kind.itemsize
                 blobs = [data[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
-                own = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([own.column("row"), own.column("doc_id"), own.column("target"), pa.array(blobs, pa.binary()), pa.array([kind.itemsize] * len(blobs), pa.int32())], names=["row", "doc_id", "target", "ids", "width"])
+                columns = [own.column("row"), own.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([kind.itemsize] * len(blobs), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "ids", "width"])
 
     return run
 
 
-def _cells(batch) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of all documents of a batch, their ends included, and how many each document has (one at least)."""
-    blobs, width = batch.column("ids").to_pylist(), batch.column("width").to_pylist()
-    n = np.array([len(b) for b in blobs], np.int64) // width[0]
-    ids = np.frombuffer(b"".join(blobs), f"<u{width[0]}")
-    second = np.zeros(len(ids) + len(n), np.int64)
-    second[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids.astype(np.int64) + 1
-    # What stands before a document's first symbol is the end of the one before, 0.
-    first = np.concatenate([[0], second[:-1]])
-    return first << SHIFT | second, n + 1
-
-
-def _bigrams(batches):
-    """Per task: every bigram's count in all documents and in the target's, added up a part at a time."""
-    held, many = {True: [], False: []}, 0
-
-    def added():
-        for good, cells in held.items():
-            if cells:
-                seen, counts = np.unique(np.concatenate(cells), return_counts=True)
-                cells.clear()
-                for i in range(0, len(seen), 1 << 17):
-                    own = counts[i : i + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(seen[i : i + (1 << 17)]), pa.array(own), pa.array(own * good)], names=["cell", "n_all", "n_target"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cells, n = _cells(batch)
-        target = np.repeat(np.array(batch.column("target").to_pylist(), bool), n)
-        held[True].append(cells[target])
-        held[False].append(cells[~target])
-        many += len(cells)
-        if many >= HELD:
-            yield from added()
-            many = 0
-    yield from added()
-
-
-@dataclass
-class Models:
-    """``table`` has the losses of both models by ``cell``, a row per bigram of the documents; the most frequent ones are also here, by cell."""
-
-    table: DataFrame
-    cells: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
-    #: Bigrams of ``table`` that occur so often are among the above; null if all are.
-    often: int | None
-
-
-def fit(encoded: DataFrame, classes: int = CLASSES) -> Models:
-    """Both models from encoded documents (``ids, width, target``); every document and every id counts.
-
-    A loss is -log2 of the interpolated bigram estimate, from counts scaled to
-    the target's mass so that both models smooth alike; a context that a model
-    has not seen leaves its unigram estimate. Counts are added up by shuffles
-    of what each task has counted and stay distributed, a row per bigram; sums
-    by symbol are a row per id of the vocabulary. The driver gets ``classes``
-    squared bigrams at most. Without target documents both models are the
-    background's.
-    """
-    counted = encoded.mapInArrow(_bigrams, "cell bigint, n_all bigint, n_target bigint").groupBy("cell").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
-    pair = {"first": F.shiftright("cell", SHIFT), "second": F.col("cell").bitwiseAND(F.lit((1 << SHIFT) - 1))}
-    counted = materialise(counted.withColumns(pair), "bigrams")
-    sums = lambda c, name: counted.groupBy(c).agg(F.sum("n_all").alias(f"{name}_all"), F.sum("n_target").alias(f"{name}_target"))
-    # One row per symbol of the vocabulary, a fixed size.
-    symbols = materialise(sums("second", "unigram"), "symbols")
-    contexts = F.broadcast(sums("first", "context"))
-    total = symbols.agg(F.count("*").alias("size"), *(F.coalesce(F.sum(f"unigram_{m}"), F.lit(0)).alias(m) for m in ("all", "target"))).first()
-    mass = float(total["target"] or total["all"])
-
-    def loss(model: str):
-        scale = mass / max(1.0, total[model])
-        unigram = (F.col(f"unigram_{model}") * scale + PRIOR) / (mass + PRIOR * total["size"])
-        bigram = F.col(f"n_{model}") / F.col(f"context_{model}")
-        return -F.log2(F.when(F.col(f"context_{model}") > 0, BIGRAM_WEIGHT * bigram + (1 - BIGRAM_WEIGHT) * unigram).otherwise(unigram))
-
-    joined = counted.join(F.broadcast(symbols), "second").join(contexts, "first")
-    losses = joined.select("cell", "n_all", loss("target" if total["target"] else "all").alias("target"), loss("all").alias("background"))
-    table = materialise(losses, "losses")
-    # Powers of two: what is left for the join has no frequent keys.
-    steps = table.groupBy(F.floor(F.log2("n_all")).alias("step")).count().orderBy(F.desc("step")).collect()
-    often, room = None, classes * classes
-    for r in steps:
-        room -= r["count"]
-        if room < 0:
-            often = 1 << (r["step"] + 1)
-            break
-    held = (table if often is None else table.filter(F.col("n_all") >= often)).toArrow().sort_by("cell")
-    return Models(table, *(held.column(c).to_numpy() for c in ("cell", "target", "background")), often)
-
-
-_SUMMED = "row bigint, doc_id bigint, n bigint, target double, background double, cells array<bigint>, counts array<bigint>"
-
-
-def _score(models):
-    """Per document: sums of the losses that the task holds, and its other bigrams, each once, with their counts."""
+def _deal(block_symbols: int):
+    """Number the blocks of a task's documents, in the order in which they come."""
 
     def run(batches):
-        known, target, background = models.value
+        from pyspark import TaskContext
+
+        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells, n = _cells(batch)
-            at = np.minimum(np.searchsorted(known, cells), max(0, len(known) - 1))
-            found = known[at] == cells if len(known) else np.zeros(len(cells), bool)
-            starts = np.cumsum(n) - n
-            sums = [np.add.reduceat(np.where(found, m[at], 0.0), starts) if len(m) else np.zeros(len(n)) for m in (target, background)]
-            rest, owner = cells[~found], np.repeat(np.arange(len(n)), n)[~found]
-            order = np.lexsort((rest, owner))
-            rest, owner = rest[order], owner[order]
-            new = np.flatnonzero(np.diff(rest, prepend=-1).astype(bool) | np.diff(owner, prepend=-1).astype(bool))
-            counts = np.diff(new, append=len(rest))
-            ends = pa.array(np.searchsorted(owner[new], np.arange(len(n) + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (rest[new], counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, sums), *lists], names=["row", "doc_id", "n", "target", "background", "cells", "counts"])
+            blocks = []
+            for size, width in zip(pc.binary_length(batch.column("ids")).to_pylist(), batch.column("width").to_pylist()):
+                symbols = size // width + 1
+                if held and held + symbols > block_symbols:
+                    block, held = block + 1, 0
+                held += symbols
+                blocks.append(block)
+            columns = [*(batch.column(c) for c in ("row", "doc_id", "target")), pa.array(blocks, pa.int64()), batch.column("ids"), batch.column("width")]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "target", "block", "ids", "width"])
 
     return run
 
 
-def encode(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Store ``row, doc_id, target, ids, width``, so that each pass reads ids, not texts; ``row`` tells rows apart."""
+def encode(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VOCABULARY, block_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
+    """Store ``row, doc_id, target, block, ids, width``, so that each pass reads ids, not texts; ``row`` tells rows apart."""
     bounded_batches(docs.sparkSession)
-    good = target_ids.select("doc_id").filter("doc_id is not null").distinct().withColumn("_good", F.lit(True))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    encoded = texts.mapInArrow(_encode(vocabulary), "row bigint, doc_id bigint, ids binary, width int")
+    good = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("_good", F.lit(True))
     # One row per id on the right; an id with very many rows is split by adaptive execution.
-    marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good, "doc_id", "left")
-    marked = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "text")
-    return materialise(marked.mapInArrow(_encode(vocabulary), "row bigint, doc_id bigint, target boolean, ids binary, width int"), "encoded")
+    marked = encoded.join(good, "doc_id", "left").select("row", "doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "ids", "width")
+    return materialise(marked.mapInArrow(_deal(block_symbols), _DOCS), "encoded")
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, small ones in few bytes: their bytes by significance, compressed."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel().astype(np.int64)
+
+
+def _packed_cells(cells: np.ndarray) -> bytes:
+    return packed(np.diff(cells, prepend=0))
+
+
+def _unpacked_cells(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data))
+
+
+def symbols_of(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' symbols, ids from 1 on with a 0 at each document's end, and how many each has."""
+    n = np.array([len(b) for b in blobs], np.int64) // width
+    ids = np.frombuffer(b"".join(blobs), f"<u{width}")
+    found = np.zeros(len(ids) + len(n), np.int64)
+    found[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids.astype(np.int64) + 1
+    return found, n + 1
+
+
+def grams(symbols: np.ndarray, counts: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """For k from 1 to ``order`` the k-gram that ends at each symbol, as one number; before a document stand zeros."""
+    starts = np.cumsum(counts) - counts
+    found, before = [symbols], symbols
+    for k in range(1, order):
+        before = np.concatenate([[0], before[:-1]])
+        before[starts] = 0
+        found.append(found[-1] | before << bits * k)
+    return found
+
+
+def _slices(cells: np.ndarray, k: int, bits: int, slices: int) -> np.ndarray:
+    """Slices hold whole contexts; single symbols, which have none, are dealt by themselves."""
+    return (mix64((cells >> bits if k > 1 else cells).astype(np.uint64) + np.uint64(k)) % np.uint64(slices)).astype(np.int64)
+
+
+def _list(order: int, bits: int, slices: int, block_symbols: int):
+    """What each block holds: its distinct k-grams with their counts, by slice."""
+
+    def lists(block: int, parts: list[tuple[list[np.ndarray], np.ndarray]]):
+        for k in range(1, order + 1):
+            cells, target = np.concatenate([g[k - 1] for g, _ in parts]), np.concatenate([t for _, t in parts])
+            seen, n_all = np.unique(cells, return_counts=True)
+            good, times = np.unique(cells[target], return_counts=True)
+            n_target = np.zeros(len(seen), np.int64)
+            n_target[np.searchsorted(seen, good)] = times
+            own = _slices(seen, k, bits, slices)
+            by = np.argsort(own, kind="stable")
+            cuts = np.flatnonzero(np.diff(own[by], prepend=-1))
+            rows = [(block, k, int(own[by[a]]), _packed_cells(seen[by[a:b]]), packed(n_all[by[a:b]]), packed(n_target[by[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(by)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LIST_TYPES)], names=[c.split()[0] for c in _LISTS.split(", ")])
+
+    def run(batches):
+        block, parts, held = None, [], 0
+        for batch in batches:
+            blocks = np.array(batch.column("block").to_pylist(), np.int64)
+            for a in np.flatnonzero(np.diff(blocks, prepend=-1)):
+                b = a + int((blocks[a:] == blocks[a]).argmin() or len(blocks) - a)
+                if parts and (block != blocks[a] or held > block_symbols):
+                    yield from lists(block, parts)
+                    parts, held = [], 0
+                own = batch.slice(a, b - a)
+                symbols, counts = symbols_of(own.column("ids").to_pylist(), own.column("width")[0].as_py())
+                target = np.repeat(np.array(own.column("target").to_pylist(), bool), counts)
+                block, held = int(blocks[a]), held + len(symbols)
+                parts.append((grams(symbols, counts, order, bits), target))
+        if parts:
+            yield from lists(block, parts)
+
+    return run
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VOCABULARY, classes: int = CLASSES) -> DataFrame:
+_LIST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _answer(bits: int):
+    """Add up one slice's lists, and answer each with the sums of its n-grams and of their contexts."""
+
+    def answer(lists: pd.DataFrame) -> pd.DataFrame:
+        own = [_unpacked_cells(c) for c in lists["cells"]]
+        cells = np.concatenate(own)
+        seen, at = np.unique(cells, return_inverse=True)
+        sums = []
+        for name in ("n_all", "n_target"):
+            counted = np.zeros(len(seen), np.int64)
+            np.add.at(counted, at, np.concatenate([unpacked(c) for c in lists[name]]))
+            sums.append(counted)
+        begin = np.flatnonzero(np.diff(seen >> bits, prepend=-1))
+        sizes = np.diff(begin, append=len(seen))
+        sums += [np.repeat(np.add.reduceat(s, begin), sizes) for s in sums[:2]]
+        places = np.split(at, np.cumsum([len(c) for c in own])[:-1])
+        columns = [[packed(s[p]) for p in places] for s in sums]
+        return pd.DataFrame(dict(zip([c.split()[0] for c in _ANSWERS.split(", ")], [lists["block"], lists["k"], lists["cells"], *columns])))
+
+    return answer
+
+
+def _singles(batches):
+    for lists in batches:
+        for r in lists.itertuples(index=False):
+            yield pd.DataFrame({"symbol": _unpacked_cells(r.cells), "n_all": unpacked(r.n_all), "n_target": unpacked(r.n_target)})
+
+
+def unigrams(lists: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and their counts in all documents and in the target's: a row per symbol of the vocabulary, a bounded number."""
+    singles = lists.filter("k = 1").select("cells", "n_all", "n_target").mapInPandas(_singles, "symbol bigint, n_all bigint, n_target bigint")
+    table = singles.groupBy("symbol").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target")).toArrow().sort_by("symbol")
+    return tuple(table.column(c).to_numpy() for c in ("symbol", "n_all", "n_target"))
+
+
+def _price(order: int, bits: int, sent):
+    """Sums of both models' losses for the documents of a block."""
+
+    def price(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        names = ["doc_id", "n", "target", "background"]
+        if not len(docs):
+            return pd.DataFrame(columns=names)
+        symbols, counts = symbols_of(docs["ids"].tolist(), int(docs["width"].iloc[0]))
+        found = grams(symbols, counts, order, bits)
+        known, *base = sent.value
+        at = np.searchsorted(known, symbols)
+        chance = [b[at] for b in base]
+        for k in range(2, order + 1):
+            mine = answers[answers["k"] == k]
+            cells = np.concatenate([_unpacked_cells(c) for c in mine["cells"]])
+            # A block that two tasks listed has some n-grams twice, with the same answer.
+            cells, first = np.unique(cells, return_index=True)
+            at = np.searchsorted(cells, found[k - 1])
+            for m, name in enumerate(("target", "all")):
+                n, context = (np.concatenate([unpacked(c) for c in mine[f"{part}_{name}"]])[first] for part in ("n", "context"))
+                own = np.divide(n, context, out=np.zeros(len(n)), where=context > 0)[at]
+                chance[m] = np.where((context > 0)[at], WEIGHT * own + (1 - WEIGHT) * chance[m], chance[m])
+        starts = np.cumsum(counts) - counts
+        target, background = (np.add.reduceat(-np.log2(c), starts) for c in chance)
+        return pd.DataFrame(dict(zip(names, [docs["doc_id"], counts, target, background])))
+
+    return price
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VOCABULARY, order: int = ORDER, block_symbols: int = BLOCK_SYMBOLS, slice_symbols: int = SLICE_SYMBOLS) -> DataFrame:
     """Per document: ``n_tokens, target_loss, background_loss`` (bits per token) and ``score``, their difference.
 
     The target model counts the documents that ``target_ids`` names, the
-    background model all documents. The lower the score, the closer a document
-    is to the target. A loss is the mean over the ids (``n_tokens``) and the end; null and empty
-    texts have that of ending at once. Null and repeated ids are rows like
-    others (a null one is never target). No documents give no rows. Losses of
-    ``classes`` squared of the most frequent bigrams are added up where the
-    documents are, those of all others by a join; the result is the same.
+    background model all documents; every document and every id counts. An
+    estimate of ``order`` symbols is interpolated with that of one symbol less
+    where its context was seen, down to single symbols, whose counts are scaled to
+    the target's mass so that both models smooth alike. Without target
+    documents both models are the background's. The lower the score, the closer
+    a document is to the target. A loss is the mean over the ids
+    (``n_tokens``) and the end; null and empty texts have that of ending at
+    once. Null and repeated ids are rows like others (a null one is never
+    target). No documents give no rows. Other columns are not read.
     """
-    encoded = encode(docs, target_ids, vocabulary)
-    models = fit(encoded, classes)
-    sent = docs.sparkSession.sparkContext.broadcast((models.cells, models.target, models.background))
-    summed = encoded.select("row", "doc_id", "ids", "width").mapInArrow(_score(sent), _SUMMED)
-    target, background = F.col("target"), F.col("background")
-    if models.often is not None:
-        summed = materialise(summed, "summed")
-        rare = summed.select("row", F.explode(F.arrays_zip("cells", "counts")).alias("_c")).select("row", F.col("_c.cells").alias("cell"), F.col("_c.counts").alias("_times"))
-        # The frequent bigrams are not among these, so no key is hot.
-        priced = rare.join(models.table.filter(F.col("n_all") < models.often), "cell")
-        more = priced.groupBy("row").agg(F.sum(target * F.col("_times")).alias("_target"), F.sum(background * F.col("_times")).alias("_background"))
-        summed = summed.join(more, "row", "left")
-        target, background = target + F.coalesce("_target", F.lit(0.0)), background + F.coalesce("_background", F.lit(0.0))
-    means = summed.select("doc_id", (F.col("n") - 1).alias("n_tokens"), (target / F.col("n")).alias("target_loss"), (background / F.col("n")).alias("background_loss"))
+    spark = docs.sparkSession
+    encoded = encode(docs, target_ids, vocabulary, block_symbols)
+    bits = int(encoder(vocabulary).size).bit_length()
+    if order * bits > 63:
+        raise ValueError(f"n-grams of {order} symbols of {bits} bits don't fit a number")
+    total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids") / F.col("width") + 1), F.lit(0))).first()[0]
+    slices = int(total * order // slice_symbols) + 1
+    lists = materialise(encoded.mapInArrow(_list(order, bits, slices, block_symbols), _LISTS), "lists")
+    symbols, n_all, n_target = unigrams(lists)
+    if not n_target.sum():
+        n_target = n_all
+    mass = float(n_target.sum())
+    base = [(n * (mass / max(1, n.sum())) + PRIOR) / (mass + PRIOR * len(symbols)) for n in (n_target, n_all)]
+    sent = spark.sparkContext.broadcast((symbols, *base))
+    answers = lists.filter("k > 1").groupBy("k", "slice").applyInPandas(_answer(bits), _ANSWERS)
+    # Without a target the counts of all documents stand for it.
+    if n_target is n_all:
+        answers = answers.withColumns({"n_target": F.col("n_all"), "context_target": F.col("context_all")})
+    summed = encoded.select("block", "doc_id", "ids", "width").groupBy("block").cogroup(answers.groupBy("block"))
+    summed = summed.applyInPandas(_price(order, bits, sent), "doc_id bigint, n bigint, target double, background double")
+    means = summed.select("doc_id", (F.col("n") - 1).alias("n_tokens"), (F.col("target") / F.col("n")).alias("target_loss"), (F.col("background") / F.col("n")).alias("background_loss"))
     return means.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -150,37 +150,46 @@ def test_cross_entropy(spark):
     rows = [(i, "the cat sat " * (i % 4), 1) for i in range(20)] + [(50 + i, "0 9 8 7 " * 3, 1) for i in range(20)] + [(90, None, 1), (None, "the", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int").repartition(3)
     good = spark.createDataFrame([(i,) for i in range(20)] + [(1,), (None,)], "doc_id bigint")
-    found = {r["doc_id"]: r for r in cross_entropy.score_documents(docs, good, classes=16).collect()}
+    found = {r["doc_id"]: r for r in cross_entropy.score_documents(docs, good).collect()}
     assert len(found) == len(rows) and found[3]["score"] < 0 < found[55]["score"] and found[90]["n_tokens"] == 0
-    none = cross_entropy.score_documents(docs, good.limit(0), classes=16).collect()
+    none = cross_entropy.score_documents(docs, good.limit(0)).collect()
     assert all(r["score"] == 0 for r in none) and cross_entropy.score_documents(docs.limit(0), good).count() == 0
 
 
-@pytest.mark.parametrize("classes", [0, 5, 1024])
-def test_cross_entropy_counts_every_id(spark, classes):
-    """Against brute force with more ids than the number of classes once told apart; documents that differ in rare ids alone differ in score."""
+@pytest.mark.parametrize("order, sizes", [(1, {}), (2, {}), (3, {"block_symbols": 50, "slice_symbols": 700}), (3, {})])
+def test_cross_entropy_counts_every_id(spark, order, sizes):
+    """Against brute force, over many blocks and slices; documents that differ in rare ids alone differ in score."""
     common = "the of and to in is was for that"
     words = sorted(w for w in encoder().tokenizer.get_vocab() if re.fullmatch("[a-z]{4,}", w))[:1500]
     rows = [(i, f"{common} {w} {w}") for i, w in enumerate(words)] + [(7, None), (None, f"{common} {words[5]}"), (3, common)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     good = spark.createDataFrame([(i,) for i in range(0, 1500, 2)], "doc_id bigint")
-    found = sorted(((r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in cross_entropy.score_documents(docs, good, classes=classes).collect()), key=str)
+    found = sorted(((r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in cross_entropy.score_documents(docs, good, order=order, **sizes).collect()), key=str)
     ids, n = encoder().encode([t for _, t in rows])
     assert len(set(ids.tolist())) > 1022
-    lines = [[-1, *own.tolist(), -1] for own in np.split(ids, np.cumsum(n)[:-1])]
-    pairs = [Counter(zip(a, a[1:])) for a in lines]
-    counts = {"all": sum(pairs, Counter()), "target": sum((p for p, (d, _) in zip(pairs, rows) if d is not None and d < 1500 and d % 2 == 0), Counter())}
-    mass, size = sum(counts["target"].values()), len(set(ids.tolist())) + 1
-    loss = {}
-    for name, own in counts.items():
-        scale, unigram, context = mass / sum(own.values()), Counter(), Counter()
-        for (a, b), m in own.items():
-            unigram[b] += m
-            context[a] += m
-        for a, b in counts["all"]:
-            base = (unigram[b] * scale + 1) / (mass + size)
-            loss[name, a, b] = -math.log2(0.8 * own[a, b] / context[a] + 0.2 * base if context[a] else base)
-    means = [[sum(m * loss[k, a, b] for (a, b), m in p.items()) / sum(p.values()) for k in ("target", "all")] for p in pairs]
+    lines = [[-1] * (order - 1) + [*own.tolist(), -1] for own in np.split(ids, np.cumsum(n)[:-1])]
+    ends = [[tuple(a[: i + 1][-order:]) for i in range(order - 1, len(a))] for a in lines]
+    good_lines = [g for g, (d, _) in zip(ends, rows) if d is not None and d < 1500 and d % 2 == 0]
+    size = len(set(ids.tolist())) + 1
+    mass = sum(map(len, good_lines))
+    means = {}
+    for name, used in (("target", good_lines), ("all", ends)):
+        grams, contexts = Counter(), Counter()
+        for line in used:
+            for g in line:
+                for k in range(1, order + 1):
+                    grams[g[-k:]] += 1
+                    contexts[k, g[-k:-1]] += 1
+        scale = mass / sum(map(len, used))
+
+        def chance(g):
+            if len(g) == 1:
+                return (grams[g] * scale + 1) / (mass + size)
+            context = contexts[len(g), g[:-1]]
+            return 0.8 * grams[g] / context + 0.2 * chance(g[1:]) if context else chance(g[1:])
+
+        means[name] = [sum(-math.log2(chance(g)) for g in line) / len(line) for line in ends]
+    means = list(zip(means["target"], means["all"]))
     expected = sorted(((d, int(m), *own) for (d, _), m, own in zip(rows, n, means)), key=str)
     assert [f[:2] for f in found] == [e[:2] for e in expected]
     assert np.allclose([f[2:] for f in found], [e[2:] for e in expected], rtol=1e-9)
