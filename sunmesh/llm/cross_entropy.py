@@ -27,9 +27,9 @@ ORDER = 3
 #: Weight of an n-gram's own estimate against that of the shorter context, and what each symbol has before counting.
 WEIGHT, PRIOR = 0.8, 1.0
 #: Symbols of a block; a longer document is a block of its own.
-BLOCK_SYMBOLS = 1 << 21
+BLOCK_SYMBOLS = 1 << 20
 #: Symbols of the corpus for each slice: what a slice adds up at once is at most so many n-grams.
-SLICE_SYMBOLS = 1 << 22
+SLICE_SYMBOLS = 1 << 21
 
 _DOCS = "row bigint, doc_id bigint, target boolean, block bigint, ids binary, width int"
 _LISTS = "block bigint, k int, slice bigint, cells binary, n_all binary, n_target binary"
@@ -113,17 +113,28 @@ def symbols_of(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return found, n + 1
 
 
-def grams(symbols: np.ndarray, counts: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
-    """For k from 1 to ``order`` the k-gram that ends at each symbol, as one number; before a document stand zeros."""
+def grams(symbols: np.ndarray, counts: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """The ``order``-gram that ends at each symbol, as one number, the last symbol lowest; before a document stand zeros."""
     starts = np.cumsum(counts) - counts
-    found, before = [symbols], symbols
+    found, before = symbols.copy(), symbols
     for k in range(1, order):
         before = np.concatenate([[0], before[:-1]])
         before[starts] = 0
-        found.append(found[-1] | before << bits * k)
+        found |= before << bits * k
     return found
 
 
+def _shorter(cells: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The last ``k`` symbols of n-grams."""
+    return cells & ((1 << bits * k) - 1)
+
+
+def _added(cells: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct cells in order, and the sums of their counts."""
+    seen, at = np.unique(cells, return_inverse=True)
+    return seen, *(np.bincount(at, c, len(seen)).astype(np.int64) for c in counts)
+
+
 def _slices(cells: np.ndarray, k: int, bits: int, slices: int) -> np.ndarray:
     """Slices hold whole contexts; single symbols, which have none, are dealt by themselves."""
     return (mix64((cells >> bits if k > 1 else cells).astype(np.uint64) + np.uint64(k)) % np.uint64(slices)).astype(np.int64)
@@ -132,13 +143,14 @@ def _slices(cells: np.ndarray, k: int, bits: int, slices: int) -> np.ndarray:
 def _list(order: int, bits: int, slices: int, block_symbols: int):
     """What each block holds: its distinct k-grams with their counts, by slice."""
 
-    def lists(block: int, parts: list[tuple[list[np.ndarray], np.ndarray]]):
-        for k in range(1, order + 1):
-            cells, target = np.concatenate([g[k - 1] for g, _ in parts]), np.concatenate([t for _, t in parts])
-            seen, n_all = np.unique(cells, return_counts=True)
-            good, times = np.unique(cells[target], return_counts=True)
-            n_target = np.zeros(len(seen), np.int64)
-            n_target[np.searchsorted(seen, good)] = times
+    def lists(block: int, parts: list[np.ndarray]):
+        # One sort tells cells and, by their lowest bit, the target's; shorter n-grams follow from the distinct longest ones.
+        seen, n_all = np.unique(np.concatenate(parts), return_counts=True)
+        parts.clear()
+        seen, n_all, n_target = _added(seen >> 1, n_all, n_all * (seen & 1))
+        for k in range(order, 0, -1):
+            if k < order:
+                seen, n_all, n_target = _added(_shorter(seen, k, bits), n_all, n_target)
             own = _slices(seen, k, bits, slices)
             by = np.argsort(own, kind="stable")
             cuts = np.flatnonzero(np.diff(own[by], prepend=-1))
@@ -158,7 +170,7 @@ def _list(order: int, bits: int, slices: int, block_symbols: int):
                 symbols, counts = symbols_of(own.column("ids").to_pylist(), own.column("width")[0].as_py())
                 target = np.repeat(np.array(own.column("target").to_pylist(), bool), counts)
                 block, held = int(blocks[a]), held + len(symbols)
-                parts.append((grams(symbols, counts, order, bits), target))
+                parts.append(grams(symbols, counts, order, bits) << 1 | target)
         if parts:
             yield from lists(block, parts)
 
@@ -173,13 +185,8 @@ def _answer(bits: int):
 
     def answer(lists: pd.DataFrame) -> pd.DataFrame:
         own = [_unpacked_cells(c) for c in lists["cells"]]
-        cells = np.concatenate(own)
-        seen, at = np.unique(cells, return_inverse=True)
-        sums = []
-        for name in ("n_all", "n_target"):
-            counted = np.zeros(len(seen), np.int64)
-            np.add.at(counted, at, np.concatenate([unpacked(c) for c in lists[name]]))
-            sums.append(counted)
+        seen, at = np.unique(np.concatenate(own), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([unpacked(c) for c in lists[name]]), len(seen)).astype(np.int64) for name in ("n_all", "n_target")]
         begin = np.flatnonzero(np.diff(seen >> bits, prepend=-1))
         sizes = np.diff(begin, append=len(seen))
         sums += [np.repeat(np.add.reduceat(s, begin), sizes) for s in sums[:2]]
@@ -211,22 +218,23 @@ def _price(order: int, bits: int, sent):
         if not len(docs):
             return pd.DataFrame(columns=names)
         symbols, counts = symbols_of(docs["ids"].tolist(), int(docs["width"].iloc[0]))
-        found = grams(symbols, counts, order, bits)
+        # A loss depends on the longest n-gram alone, so each distinct one is priced once.
+        found, where = np.unique(grams(symbols, counts, order, bits), return_inverse=True)
         known, *base = sent.value
-        at = np.searchsorted(known, symbols)
+        at = np.searchsorted(known, _shorter(found, 1, bits))
         chance = [b[at] for b in base]
         for k in range(2, order + 1):
             mine = answers[answers["k"] == k]
             cells = np.concatenate([_unpacked_cells(c) for c in mine["cells"]])
             # A block that two tasks listed has some n-grams twice, with the same answer.
             cells, first = np.unique(cells, return_index=True)
-            at = np.searchsorted(cells, found[k - 1])
+            at = first[np.searchsorted(cells, _shorter(found, k, bits))]
             for m, name in enumerate(("target", "all")):
-                n, context = (np.concatenate([unpacked(c) for c in mine[f"{part}_{name}"]])[first] for part in ("n", "context"))
-                own = np.divide(n, context, out=np.zeros(len(n)), where=context > 0)[at]
-                chance[m] = np.where((context > 0)[at], WEIGHT * own + (1 - WEIGHT) * chance[m], chance[m])
+                n, context = (np.concatenate([unpacked(c) for c in mine[f"{part}_{name}"]])[at] for part in ("n", "context"))
+                own = np.divide(n, context, out=np.zeros(len(n)), where=context > 0)
+                chance[m] = np.where(context > 0, WEIGHT * own + (1 - WEIGHT) * chance[m], chance[m])
         starts = np.cumsum(counts) - counts
-        target, background = (np.add.reduceat(-np.log2(c), starts) for c in chance)
+        target, background = (np.add.reduceat(-np.log2(c)[where], starts) for c in chance)
         return pd.DataFrame(dict(zip(names, [docs["doc_id"], counts, target, background])))
 
     return price
@@ -249,7 +257,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VO
     spark = docs.sparkSession
     encoded = encode(docs, target_ids, vocabulary, block_symbols)
     bits = int(encoder(vocabulary).size).bit_length()
-    if order * bits > 63:
+    if order * bits > 62:
         raise ValueError(f"n-grams of {order} symbols of {bits} bits don't fit a number")
     total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids") / F.col("width") + 1), F.lit(0))).first()[0]
     slices = int(total * order // slice_symbols) + 1
