@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches
-from sunmesh.llm.encoding import STEP, VOCABULARY, encoder
+from sunmesh.llm.encoding import STEP, VOCABULARY, encoder, forget
 from sunmesh.llm.shingles import mix64
 from sunmesh.sources.tables import materialise
 
@@ -158,6 +158,7 @@ def _list(order: int, bits: int, slices: int, block_symbols: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LIST_TYPES)], names=[c.split()[0] for c in _LISTS.split(", ")])
 
     def run(batches):
+        forget()
         block, parts, held = None, [], 0
         for batch in batches:
             blocks = np.array(batch.column("block").to_pylist(), np.int64)

@@ -148,6 +148,11 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def forget() -> None:
+    """Give back the memory of known words: for stages that follow in the same worker and encode nothing."""
+    _encoders.clear()
+
+
 def encoder(name: str = VOCABULARY) -> WordEncoder:
     """The worker's encoder: it keeps its known words from one task to the next."""
     if name not in _encoders:
