@@ -1,6 +1,7 @@
 """Cross-entropy difference of two matched n-gram models over the whole vocabulary.
 
-Documents are encoded once and dealt out in blocks of bounded size. A block
+Documents are encoded once, where they are read, and stored in blocks of bounded
+size, bucketed by block, so that no later pass moves them. A block
 says once which n-grams it holds, as sorted, packed lists by slices of their
 contexts. A slice adds up all blocks' lists and answers each with the counts of
 its n-grams and contexts, packed again, and a block prices its documents from
@@ -13,75 +14,73 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches
 from sunmesh.llm.encoding import STEP, VOCABULARY, encoder, forget
 from sunmesh.llm.shingles import mix64
+from sunmesh.session import scratch_path
 from sunmesh.sources.tables import materialise
 
 #: Length of the longest n-grams.
-ORDER = 3
+ORDER = 2
 #: Weight of an n-gram's own estimate against that of the shorter context, and what each symbol has before counting.
 WEIGHT, PRIOR = 0.8, 1.0
 #: Symbols of a block; a longer document is a block of its own.
 BLOCK_SYMBOLS = 1 << 20
+#: Buckets of the stored blocks at most; a task reads one bucket, block by block.
+MOST_BUCKETS = 100_000
 #: Symbols of the corpus for each slice: what a slice adds up at once is at most so many n-grams.
-SLICE_SYMBOLS = 1 << 21
+SLICE_SYMBOLS = 1 << 22
 
-_DOCS = "row bigint, doc_id bigint, target boolean, block bigint, ids binary, width int"
+_DOCS = "row bigint, doc_id bigint, block bigint, ids binary, width int"
 _LISTS = "block bigint, k int, slice bigint, cells binary, n_all binary, n_target binary"
 _ANSWERS = "block bigint, k int, cells binary, n_all binary, n_target binary, context_all binary, context_target binary"
 
 
-def _encode(vocabulary: str):
+def _encode(vocabulary: str, block_symbols: int):
+    """Encode a task's documents, and number its blocks in the order in which they come."""
+
     def run(batches):
+        from pyspark import TaskContext
+
         known = encoder(vocabulary)
         kind = np.dtype("<u2" if known.size < 1 << 16 else "<u4")
+        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
                 own = batch.slice(i, STEP)
                 ids, n = known.encode(own.column("text"))
                 data, ends = ids.astype(kind).tobytes(), np.cumsum(n) * kind.itemsize
                 blobs = [data[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
-                columns = [own.column("row"), own.column("doc_id"), pa.array(blobs, pa.binary()), pa.array([kind.itemsize] * len(blobs), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "ids", "width"])
+                blocks = []
+                for symbols in (n + 1).tolist():
+                    if held and held + symbols > block_symbols:
+                        block, held = block + 1, 0
+                    held += symbols
+                    blocks.append(block)
+                columns = [own.column("row"), own.column("doc_id"), pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary()), pa.array([kind.itemsize] * len(blobs), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "block", "ids", "width"])
 
     return run
 
 
-def _deal(block_symbols: int):
-    """Number the blocks of a task's documents, in the order in which they come."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        block, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            blocks = []
-            for size, width in zip(pc.binary_length(batch.column("ids")).to_pylist(), batch.column("width").to_pylist()):
-                symbols = size // width + 1
-                if held and held + symbols > block_symbols:
-                    block, held = block + 1, 0
-                held += symbols
-                blocks.append(block)
-            columns = [*(batch.column(c) for c in ("row", "doc_id", "target")), pa.array(blocks, pa.int64()), batch.column("ids"), batch.column("width")]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "target", "block", "ids", "width"])
-
-    return run
-
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
+    """Store ``row, doc_id, block, ids, width`` bucketed by block; ``row`` tells rows apart.
 
-def encode(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VOCABULARY, block_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
-    """Store ``row, doc_id, target, block, ids, width``, so that each pass reads ids, not texts; ``row`` tells rows apart."""
-    bounded_batches(docs.sparkSession)
+    Each task writes its own blocks' files, without a shuffle, and passes by
+    block read them without one.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = texts.mapInArrow(_encode(vocabulary), "row bigint, doc_id bigint, ids binary, width int")
-    good = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("_good", F.lit(True))
-    # One row per id on the right; an id with very many rows is split by adaptive execution.
-    marked = encoded.join(good, "doc_id", "left").select("row", "doc_id", F.coalesce("_good", F.lit(False)).alias("target"), "ids", "width")
-    return materialise(marked.mapInArrow(_deal(block_symbols), _DOCS), "encoded")
+    path = scratch_path(spark, "encoded")
+    name = f"encoded_{path.rsplit('-', 1)[1]}"
+    encoded = texts.mapInArrow(_encode(vocabulary, block_symbols), _DOCS)
+    buckets = max(1, min(MOST_BUCKETS, texts.rdd.getNumPartitions()))
+    encoded.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -135,50 +134,36 @@ def _added(cells: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return seen, *(np.bincount(at, c, len(seen)).astype(np.int64) for c in counts)
 
 
-def _slices(cells: np.ndarray, k: int, bits: int, slices: int) -> np.ndarray:
-    """Slices hold whole contexts; single symbols, which have none, are dealt by themselves."""
-    return (mix64((cells >> bits if k > 1 else cells).astype(np.uint64) + np.uint64(k)) % np.uint64(slices)).astype(np.int64)
+def _slices(cells: np.ndarray, bits: int, slices: int) -> np.ndarray:
+    """Slices hold whole contexts."""
+    return (mix64((cells >> bits).astype(np.uint64)) % np.uint64(slices)).astype(np.int64)
 
 
-def _list(order: int, bits: int, slices: int, block_symbols: int):
-    """What each block holds: its distinct k-grams with their counts, by slice."""
+def _list(order: int, bits: int, slices: int):
+    """What a block holds: its distinct k-grams with their counts, by slice; single symbols in one list."""
 
-    def lists(block: int, parts: list[np.ndarray]):
+    def lists(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        forget()
+        names = [c.split()[0] for c in _LISTS.split(", ")]
+        if not len(docs):
+            return pd.DataFrame(columns=names)
+        block = int(docs["block"].iloc[0])
+        symbols, counts = symbols_of(docs["ids"].tolist(), int(docs["width"].iloc[0]))
+        target = np.repeat(docs["row"].isin(marks["row"]).to_numpy(), counts)
         # One sort tells cells and, by their lowest bit, the target's; shorter n-grams follow from the distinct longest ones.
-        seen, n_all = np.unique(np.concatenate(parts), return_counts=True)
-        parts.clear()
+        seen, n_all = np.unique(grams(symbols, counts, order, bits) << 1 | target, return_counts=True)
         seen, n_all, n_target = _added(seen >> 1, n_all, n_all * (seen & 1))
+        rows = []
         for k in range(order, 0, -1):
             if k < order:
                 seen, n_all, n_target = _added(_shorter(seen, k, bits), n_all, n_target)
-            own = _slices(seen, k, bits, slices)
+            own = _slices(seen, bits, slices) if k > 1 else np.zeros(len(seen), np.int64)
             by = np.argsort(own, kind="stable")
             cuts = np.flatnonzero(np.diff(own[by], prepend=-1))
-            rows = [(block, k, int(own[by[a]]), _packed_cells(seen[by[a:b]]), packed(n_all[by[a:b]]), packed(n_target[by[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(by)])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _LIST_TYPES)], names=[c.split()[0] for c in _LISTS.split(", ")])
-
-    def run(batches):
-        forget()
-        block, parts, held = None, [], 0
-        for batch in batches:
-            blocks = np.array(batch.column("block").to_pylist(), np.int64)
-            for a in np.flatnonzero(np.diff(blocks, prepend=-1)):
-                b = a + int((blocks[a:] == blocks[a]).argmin() or len(blocks) - a)
-                if parts and (block != blocks[a] or held > block_symbols):
-                    yield from lists(block, parts)
-                    parts, held = [], 0
-                own = batch.slice(a, b - a)
-                symbols, counts = symbols_of(own.column("ids").to_pylist(), own.column("width")[0].as_py())
-                target = np.repeat(np.array(own.column("target").to_pylist(), bool), counts)
-                block, held = int(blocks[a]), held + len(symbols)
-                parts.append(grams(symbols, counts, order, bits) << 1 | target)
-        if parts:
-            yield from lists(block, parts)
-
-    return run
-
+            rows += [(block, k, int(own[by[a]]), _packed_cells(seen[by[a:b]]), packed(n_all[by[a:b]]), packed(n_target[by[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(by)])]
+        return pd.DataFrame(rows, columns=names)
 
-_LIST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return lists
 
 
 def _answer(bits: int):
@@ -227,9 +212,8 @@ def _price(order: int, bits: int, sent):
         for k in range(2, order + 1):
             mine = answers[answers["k"] == k]
             cells = np.concatenate([_unpacked_cells(c) for c in mine["cells"]])
-            # A block that two tasks listed has some n-grams twice, with the same answer.
-            cells, first = np.unique(cells, return_index=True)
-            at = first[np.searchsorted(cells, _shorter(found, k, bits))]
+            by = np.argsort(cells)
+            at = by[np.searchsorted(cells, _shorter(found, k, bits), sorter=by)]
             for m, name in enumerate(("target", "all")):
                 n, context = (np.concatenate([unpacked(c) for c in mine[f"{part}_{name}"]])[at] for part in ("n", "context"))
                 own = np.divide(n, context, out=np.zeros(len(n)), where=context > 0)
@@ -256,13 +240,17 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocabulary: str = VO
     target). No documents give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    encoded = encode(docs, target_ids, vocabulary, block_symbols)
+    encoded = encode(docs, vocabulary, block_symbols)
+    good = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
+    # Only numbers move: a mark for each target document goes to its block. An id of very many rows is split by adaptive execution.
+    marks = materialise(encoded.select("block", "row", "doc_id").join(good, "doc_id").select("block", "row"), "marks")
     bits = int(encoder(vocabulary).size).bit_length()
     if order * bits > 62:
         raise ValueError(f"n-grams of {order} symbols of {bits} bits don't fit a number")
     total = encoded.agg(F.coalesce(F.sum(F.octet_length("ids") / F.col("width") + 1), F.lit(0))).first()[0]
-    slices = int(total * order // slice_symbols) + 1
-    lists = materialise(encoded.mapInArrow(_list(order, bits, slices, block_symbols), _LISTS), "lists")
+    slices = int(total // slice_symbols) + 1
+    listed = encoded.groupBy("block").cogroup(marks.groupBy("block"))
+    lists = materialise(listed.applyInPandas(_list(order, bits, slices), _LISTS), "lists")
     symbols, n_all, n_target = unigrams(lists)
     if not n_target.sum():
         n_target = n_all
