@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sunmesh.operators.sizing import small_side
 from sunmesh.sources.tables import materialise
 
 #: Distinct hashes that a bucket holds before it is split.
 BUCKET_KEYS = 4096
-#: The deepest directory: 2^20 slots.
-DEEPEST = 20
+#: Bits that a bucket may need beyond those of an even split.
+SPARE_BITS = 8
 
 
 def normalised(text: Column) -> Column:
@@ -25,25 +27,27 @@ def _slot(depth: int) -> Column:
     return F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("bigint")
 
 
-def directory(entries: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
+def directory(entries: DataFrame, bucket_keys: int = BUCKET_KEYS, spare_bits: int = SPARE_BITS) -> tuple[DataFrame, int]:
     """``slot, depth, bucket`` for every slot in use, and the directory's depth.
 
     The directory doubles until no bucket holds more than ``bucket_keys``
     distinct hashes; a bucket keeps the fewest bits that suffice, so several
     slots may share one. Copies have one hash and can't overfill a bucket.
-    Beyond ``DEEPEST`` buckets stay overfull, which costs time, not rows.
+    The directory may be ``spare_bits`` deeper than an even split of the hashes
+    needs; a bucket that is overfull even then stays so, which costs time, not rows.
     """
-    keys = entries.select("hash").distinct()
-    counted = materialise(keys.groupBy(_slot(DEEPEST).alias("cell")).agg(F.count("*").alias("keys")), "cells")
-    total = counted.agg(F.sum("keys")).first()[0] or 0
-    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(1, total / bucket_keys)))))
-    while depth < DEEPEST:
-        halved = counted.groupBy(F.shiftright("cell", DEEPEST - depth).alias("slot")).agg(F.sum("keys").alias("keys"))
+    keys = materialise(entries.select("hash").distinct(), "hashes")
+    total = keys.count()
+    depth = max(0, math.ceil(math.log2(max(1, total / bucket_keys))))
+    deepest = depth + spare_bits
+    counted = materialise(keys.groupBy(_slot(deepest).alias("cell")).agg(F.count("*").alias("keys")), "cells")
+    while depth < deepest:
+        halved = counted.groupBy(F.shiftright("cell", deepest - depth).alias("slot")).agg(F.sum("keys").alias("keys"))
         if halved.filter(F.col("keys") > bucket_keys).isEmpty():
             break
         depth += 1
     # Every prefix of a slot is a possible bucket; the shortest one that isn't overfull is its bucket.
-    prefixes = counted.select("keys", F.shiftright("cell", DEEPEST - depth).alias("slot"))
+    prefixes = counted.select("keys", F.shiftright("cell", deepest - depth).alias("slot"))
     prefixes = prefixes.groupBy("slot").agg(F.sum("keys").alias("keys"))
     possible = prefixes.select("slot", "keys", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
     possible = possible.withColumn("bucket", F.expr(f"shiftright(slot, {depth} - depth)"))
@@ -53,25 +57,58 @@ def directory(entries: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataF
     return chosen.select("slot", "b.depth", "b.bucket"), depth
 
 
-def build_index(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Store the index and return it: one row per distinct normalised text.
+@dataclass(frozen=True)
+class ExactIndex:
+    """The directory (``slot, depth, bucket``), its depth, and the stored buckets' entries."""
 
-    ``depth, bucket, hash, chain, text_sha256, group_size``. Texts reach the
-    owner of their key as groups that every task has already merged, so copies
-    don't travel; equal hashes are told apart by the texts' bytes and chained
-    (``chain`` counts from 0). The files are range-partitioned by hash,
-    so the buckets of a key range lie together.
+    slots: DataFrame
+    depth: int
+    #: ``depth, bucket, hash, chain, text_sha256, group_size, keep_id, keep_row``, sorted by bucket.
+    buckets: DataFrame
+
+
+def hashed_rows(docs: DataFrame) -> DataFrame:
+    """Store what the index needs of each row: ``row, doc_id, points, hash, text_sha256``."""
+    clean = normalised(F.col("text"))
+    rows = docs.select(
+        "doc_id",
+        F.length(F.coalesce("text", F.lit(""))).alias("points"),
+        F.xxhash64(clean).alias("hash"),
+        F.sha2(F.encode(clean, "UTF-8"), 256).alias("text_sha256"),
+    )
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "entries")
+
+
+def build_index(docs: DataFrame, entries: DataFrame, bucket_keys: int = BUCKET_KEYS) -> ExactIndex:
+    """Store the index of ``docs``, whose rows are ``entries``: one entry per distinct normalised text, with the row that stays.
+
+    Texts reach the owner of their key as groups that every task has already
+    merged, so copies don't travel; equal hashes are told apart by the texts'
+    bytes. The directory gives each entry its bucket; within a bucket, entries
+    of one hash are chained (``chain`` counts from 0). The files are
+    range-partitioned by bucket and hash, so that a bucket lies in one place.
     """
     texts = docs.select(normalised(F.col("text")).alias("bytes")).withColumn("hash", F.xxhash64("bytes"))
     # Grouping compares the whole texts, not only their hashes.
     merged = texts.groupBy("hash", "bytes").agg(F.count("*").alias("group_size"))
     chained = materialise(merged.select("hash", F.sha2(F.encode("bytes", "UTF-8"), 256).alias("text_sha256"), "group_size"), "chains")
+    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
+    stays = entries.groupBy("hash", "text_sha256").agg(best.alias("best"))
     slots, depth = directory(chained, bucket_keys)
-    placed = chained.withColumn("slot", _slot(depth)).join(slots, "slot").drop("slot")
-    links = placed.groupBy("depth", "bucket", "hash").agg(F.array_sort(F.collect_list(F.struct("text_sha256", "group_size"))).alias("chain"))
-    opened = links.select("depth", "bucket", "hash", F.posexplode("chain").alias("chain", "entry"))
-    index = opened.select("depth", "bucket", "hash", "chain", "entry.text_sha256", "entry.group_size")
-    return materialise(index, "exact-index", cluster_by=("hash",))
+    slots = materialise(slots, "directory")
+    placed = chained.join(stays, ["hash", "text_sha256"]).withColumn("slot", _slot(depth)).join(small_side(slots), "slot")
+    # Several texts with one hash are a chain; its order is that of their digests.
+    within = Window.partitionBy("depth", "bucket", "hash").orderBy("text_sha256")
+    opened = placed.withColumn("chain", F.row_number().over(within) - 1)
+    opened = opened.select("depth", "bucket", "hash", "chain", "text_sha256", "group_size", F.col("best.d").alias("keep_id"), F.col("best.r").alias("keep_row"))
+    return ExactIndex(slots, depth, materialise(opened, "exact-index", cluster_by=("depth", "bucket", "hash")))
+
+
+def look_up(entries: DataFrame, index: ExactIndex) -> DataFrame:
+    """``entries`` with the index entry of their text: the directory names the bucket, the bucket's chain is searched for the text."""
+    addressed = entries.withColumn("slot", _slot(index.depth)).join(small_side(index.slots), "slot").drop("slot")
+    # The right side has one row per text; a text with very many copies is split by adaptive execution.
+    return addressed.join(index.buckets, ["depth", "bucket", "hash", "text_sha256"])
 
 
 def exact_groups(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -83,18 +120,6 @@ def exact_groups(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     exactly one is kept. A null ``doc_id`` stays only if no other can. Empty and
     null texts are equal to one another. No documents give no rows.
     """
-    index = build_index(docs, bucket_keys)
-    clean = normalised(F.col("text"))
-    rows = docs.select(
-        "doc_id",
-        F.length(F.coalesce("text", F.lit(""))).alias("points"),
-        F.xxhash64(clean).alias("hash"),
-        F.sha2(F.encode(clean, "UTF-8"), 256).alias("text_sha256"),
-    )
-    entries = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "entries")
-    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
-    stays = entries.groupBy("hash", "text_sha256").agg(best.alias("best"))
-    chosen = index.select("hash", "text_sha256", "group_size").join(stays, ["hash", "text_sha256"])
-    # The right side has one row per text; a text with very many copies is split by adaptive execution.
-    joined = entries.join(chosen, ["hash", "text_sha256"])
-    return joined.select("doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), "text_sha256")
+    entries = hashed_rows(docs)
+    found = look_up(entries, build_index(docs, entries, bucket_keys))
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")

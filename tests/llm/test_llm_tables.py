@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import math
 import random
@@ -50,6 +51,19 @@ def test_directory_splits_full_buckets(spark):
     assert placed.agg(F.max("count")).first()[0] <= 100 and placed.agg(F.sum("count")).first()[0] == 3000 and depth >= 5
 
 
+def test_rows_are_found_through_the_directory(spark):
+    docs = documents(spark)
+    entries = exact_index.hashed_rows(docs)
+    index = exact_index.build_index(docs, entries, 1)
+    assert index.depth >= 2 and index.buckets.groupBy("depth", "bucket").count().agg(F.max("count")).first()[0] == 1
+    assert exact_index.look_up(entries, index).count() == docs.count()
+    # A directory with a wrong bucket for every slot, or without some slots, loses rows.
+    moved = index.slots.withColumn("bucket", F.col("bucket") + 1)
+    one = index.slots.orderBy("slot").limit(1)
+    assert exact_index.look_up(entries, dataclasses.replace(index, slots=moved)).count() == 0
+    assert 0 < exact_index.look_up(entries, dataclasses.replace(index, slots=one)).count() < docs.count()
+
+
 def test_mix(spark):
     docs = documents(spark)
     mixed = mixing.mix(docs).collect()
