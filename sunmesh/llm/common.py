@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,22 @@ BATCH_BYTES = 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What a Python worker keeps from one task to the next, by name, and how to give it back.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    """Declare that a module keeps something in its worker."""
+    _KEPT[name] = forget
+
+
+def only(name: str) -> None:
+    """Give back all that a worker keeps but ``name``: it lives on from stage to stage, and one stage's memory is enough."""
+    for other, forget in _KEPT.items():
+        if other != name:
+            forget()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes; by rows alone, a batch of long texts could fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

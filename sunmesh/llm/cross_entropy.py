@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmesh.llm.common import bounded_batches
-from sunmesh.llm.encoding import STEP, VOCABULARY, encoder, forget
+from sunmesh.llm.common import bounded_batches, only
+from sunmesh.llm.encoding import STEP, VOCABULARY, encoder
 from sunmesh.llm.shingles import mix64
 from sunmesh.session import scratch_path
 from sunmesh.sources.tables import materialise
@@ -143,7 +143,7 @@ def _list(order: int, bits: int, slices: int):
     """What a block holds: its distinct k-grams with their counts, by slice; single symbols in one list."""
 
     def lists(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        forget()
+        only("lists")
         names = [c.split()[0] for c in _LISTS.split(", ")]
         if not len(docs):
             return pd.DataFrame(columns=names)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunmesh.llm.common import bounded_batches
+from sunmesh.llm.common import bounded_batches, keeps, only
 from sunmesh.sources.tables import materialise
 
 #: Consecutive words of an item that make a window.
@@ -83,6 +83,7 @@ def character_spans(text: str, ranges: np.ndarray) -> list[tuple[int, int]]:
 
 
 _automata: dict[tuple, Windows] = {}
+keeps("automata", _automata.clear)
 
 _SPANS = "_spans array<struct<word_begin:int,word_end:int,char_begin:int,char_end:int>>"
 _STRUCT = pa.struct([("word_begin", pa.int32()), ("word_end", pa.int32()), ("char_begin", pa.int32()), ("char_end", pa.int32())])
@@ -92,6 +93,7 @@ def _scan(items, text_at: int, first: bool):
     """Append what one automaton finds; later passes add to what the earlier ones found."""
 
     def run(batches):
+        only("automata")
         key = tuple(items.value)
         if key not in _automata:
             _automata.clear()

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sunmesh.llm.common import keeps, only
+
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker remembers, and their bytes, before it starts again.
 REMEMBERED, REMEMBERED_BYTES = 1_350_000, 64 << 20
@@ -148,13 +150,12 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def forget() -> None:
-    """Give back the memory of known words: for stages that follow in the same worker and encode nothing."""
-    _encoders.clear()
+keeps("encoder", _encoders.clear)
 
 
 def encoder(name: str = VOCABULARY) -> WordEncoder:
     """The worker's encoder: it keeps its known words from one task to the next."""
+    only("encoder")
     if name not in _encoders:
         _encoders[name] = WordEncoder(vocabulary_path(name) if os.sep not in name else name)
     return _encoders[name]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from sunmesh.llm.common import keeps, only
+
 #: Words that a worker remembers before it starts again, and the longest that it remembers, in bytes.
 REMEMBERED, LONGEST = 700_000, 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -28,10 +30,12 @@ class _Words(dict):
 
 
 _words = _Words()
+keeps("shingles", _words.clear)
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, with A-Z in lower case, and the number of words of each text."""
+    only("shingles")
     if len(_words) > REMEMBERED:
         _words.clear()
     words: list[bytes] = []
