@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: What a Python worker keeps from one task to the next, by name, and how to give it back.
 _KEPT: dict[str, Callable[[], None]] = {}
+_current = [""]
 
 
 def keeps(name: str, forget: Callable[[], None]) -> None:
@@ -26,9 +29,15 @@ def keeps(name: str, forget: Callable[[], None]) -> None:
 
 def only(name: str) -> None:
     """Give back all that a worker keeps but ``name``: it lives on from stage to stage, and one stage's memory is enough."""
+    if _current[0] == name:
+        return
+    _current[0] = name
     for other, forget in _KEPT.items():
         if other != name:
             forget()
+    gc.collect()
+    # Arrow holds on to what it has freed.
+    pa.default_memory_pool().release_unused()
 
 
 def bounded_batches(spark: SparkSession) -> None:
