@@ -28,6 +28,32 @@ def test_equal_numpy(spark, shape, accuracy):
         assert np.allclose(found[key], np.quantile(values, asked), rtol=1e-12, atol=0)
 
 
+@pytest.mark.parametrize("shape", list(SHAPES))
+@pytest.mark.parametrize("by", [(), ("key",)])
+def test_large_brackets_are_cut_again(spark, shape, by):
+    draw = random.Random(2)
+    data = [("hot" if i % 50 else "cold", SHAPES[shape](draw)) for i in range(3000)] + [("hot", None)]
+    df = spark.createDataFrame(data, "key string, v double").repartition(4)
+    asked = [0.0, 0.25, 0.5, 0.999, 1.0]
+    found = exact_quantiles(df, by, "v", asked, accuracy=3, ordered_rows=2).collect()
+    assert len(found) == (2 if by else 1)
+    for row in found:
+        values = [v for k, v in data if v is not None and (not by or k == row.key)]
+        assert np.allclose(row.quantiles, np.quantile(values, asked), rtol=1e-12, atol=0)
+
+
+def test_one_frequent_value_is_not_ordered_nor_cut_for_ever(spark):
+    data = [(9.0,)] * 2000 + [(float(i % 7),) for i in range(50)] + [(float("inf"),)] * 3
+    df = spark.createDataFrame(data, "v double")
+    found = exact_quantiles(df, (), "v", [0.0, 0.01, 0.5, 0.99], accuracy=2, ordered_rows=1).first().quantiles
+    assert np.allclose(found, np.quantile([v for v, in data], [0.0, 0.01, 0.5, 0.99]))
+
+
+def test_no_value_at_all(spark):
+    df = spark.createDataFrame([("a", None)], "key string, v double")
+    assert exact_quantiles(df, (), "v", [0.5]).collect() == exact_quantiles(df, ("key",), "v", [0.5]).collect() == []
+
+
 def test_hand_case_and_missing_group(spark):
     df = spark.createDataFrame([("a", float(i)) for i in (1, 2, 3, 4)] + [("b", None)], "key string, v double")
     found = exact_quantiles(df, ["key"], "v", [0.25, 0.5, 0.75]).collect()
