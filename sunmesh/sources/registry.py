@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,37 +106,141 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def store_registry(registry: DataFrame, root: str) -> str:
-    """Write the registry as the next version below ``root``; readers of the version before are not disturbed."""
-    path = f"{root}/registry/{len(_versions(registry.sparkSession, root)):08d}"
-    registry.write.mode("errorifexists").parquet(path)
-    return path
+class RegistryConflict(RuntimeError):
+    """Another writer has stored a version since the one that a change was based on."""
+
+
+@dataclass(frozen=True)
+class Version:
+    """A committed registry: its number, from 0 on, and the folder of its rows."""
+
+    number: int
+    path: str
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    files, target = _folder(spark, f"{root}/registry")
-    return sorted(f.getPath().toString() for f in files.listStatus(target)) if files.exists(target) else []
+def latest_version(spark: SparkSession, root: str) -> Version | None:
+    """The newest version below ``root``; rows of a writer that never committed are not seen."""
+    files, folder = _folder(spark, f"{root}/registry/versions")
+    if not files.exists(folder):
+        return None
+    numbers = [int(n) for n in (f.getPath().getName() for f in files.listStatus(folder)) if n.isdigit()]
+    if not numbers:
+        return None
+    _, commit = _folder(spark, _commit_path(root, max(numbers)))
+    stream = files.open(commit)
+    try:
+        name = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return Version(max(numbers), f"{root}/registry/{name}")
+
+
+def _commit_path(root: str, number: int) -> str:
+    return f"{root}/registry/versions/{number:08d}"
+
+
+def _commit(spark: SparkSession, root: str, name: str, number: int) -> bool:
+    """Make the rows in folder ``name`` version ``number``, unless that number is taken.
+
+    The commit file is written whole under a name of its own and then gets its
+    number in one step that fails if the number exists: a hard link on a local
+    file system, a rename without overwriting on all others. Two writers can't
+    both succeed where that rename is atomic, as on HDFS.
+    """
+    files, written = _folder(spark, f"{root}/registry/versions/{name}.tmp")
+    stream = files.create(written, False)
+    try:
+        stream.write(name.encode())
+    finally:
+        stream.close()
+    jvm = spark._jvm
+    _, target = _folder(spark, _commit_path(root, number))
+    try:
+        if files.getScheme() == "file":
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(target), local(written))
+        else:
+            no_option = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+            context.rename(written, target, no_option)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        files.delete(written, False)
+
+
+def store_registry(registry: DataFrame, root: str, based_on: int | None = None) -> Version:
+    """Write the registry as the next version below ``root``; readers of the version before are not disturbed.
+
+    The rows are written first and then committed under the next free number, so
+    of two writers at once each gets a number of its own. ``based_on`` is the
+    number of the version that ``registry`` was derived from (-1: none): if
+    another one was committed since, nothing is stored and ``RegistryConflict``
+    is raised.
+    """
+    spark = registry.sparkSession
+    name = f"rows-{uuid.uuid4().hex}"
+    path = f"{root}/registry/{name}"
+    registry.write.mode("errorifexists").parquet(path)
+    while True:
+        number = based_on
+        if number is None:
+            newest = latest_version(spark, root)
+            number = -1 if newest is None else newest.number
+        if _commit(spark, root, name, number + 1):
+            return Version(number + 1, path)
+        if based_on is not None:
+            files, folder = _folder(spark, path)
+            files.delete(folder, True)
+            raise RegistryConflict(f"version {number + 1} of the registry below {root} was stored by another writer")
 
 
 def stored_registry(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete version below ``root``; a version that a lost writer left unfinished is passed over."""
-    for path in reversed(_versions(spark, root)):
-        files, mark = _folder(spark, f"{path}/_SUCCESS")
-        if files.exists(mark):
-            return spark.read.parquet(path)
-    raise FileNotFoundError(f"no registry is stored below {root}")
+    """The newest version below ``root``."""
+    newest = latest_version(spark, root)
+    if newest is None:
+        raise FileNotFoundError(f"no registry is stored below {root}")
+    return newest.read(spark)
 
 
-def replace_registry(kept: DataFrame, root: str) -> DataFrame:
-    """Store ``kept`` as the new registry and delete the model files that only the one before names.
+def update_registry(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], attempts: int = 10) -> Version:
+    """Store ``change`` of the newest version; if another writer comes first, take its version and change that one.
+
+    No version is lost: each is based on the one before. Without a stored
+    registry ``change`` gets an empty one. After ``attempts`` conflicts the last
+    one is raised.
+    """
+    for left in reversed(range(attempts)):
+        newest = latest_version(spark, root)
+        current = registry_table(spark, []) if newest is None else newest.read(spark)
+        try:
+            return store_registry(change(current), root, -1 if newest is None else newest.number)
+        except RegistryConflict:
+            if not left:
+                raise
+    raise ValueError("attempts must be at least 1")
+
+
+def replace_registry(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Store ``change`` of the newest registry and delete the model files that only the one before names.
 
     The registry is written first, so a failure leaves files without an entry,
     never an entry without files. Paths come to the driver one by one.
     """
-    spark = kept.sparkSession
-    before = stored_registry(spark, root)
-    store_registry(kept, root)
-    after = stored_registry(spark, root)
+    before = None
+
+    def kept(current: DataFrame) -> DataFrame:
+        nonlocal before
+        before = current
+        return change(current)
+
+    after = update_registry(spark, root, kept).read(spark)
     gone = before.where(F.col("path").isNotNull()).join(after, "path", "left_anti").select("path").distinct()
     for row in gone.toLocalIterator():
         files, target = _folder(spark, row.path)

@@ -1,7 +1,9 @@
 import datetime as dt
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from sunmesh import schemas
@@ -173,9 +175,9 @@ def test_replaced_registry_deletes_the_files_of_dropped_models(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         rg.stored_registry(spark, root)
     rg.store_registry(rg.registry_table(spark, rows), root)
-    rg.replace_registry(rg.keep_to_checkpoint(rg.stored_registry(spark, root), "01"), root)
+    rg.replace_registry(spark, root, lambda stored: rg.keep_to_checkpoint(stored, "01"))
     assert [os.path.exists(r["path"]) for r in rows[:3]] == [True, False, True]
-    kept = rg.replace_registry(rg.clear(rg.stored_registry(spark, root), "imputed"), root)
+    kept = rg.replace_registry(spark, root, lambda stored: rg.clear(stored, "imputed"))
     assert [os.path.exists(r["path"]) for r in rows[:3]] == [True, False, False]
     assert sorted(r.timestamp for r in kept.collect()) == ["00", "01"]
     os.makedirs(f"{root}/registry/99999999")
@@ -188,3 +190,53 @@ def test_positions_follow_the_stored_order(spark, tmp_path):
     assert all(r.position == r.x + 1 for r in tb.read_positions(spark, path).collect())
     empty = tb.write_table(df.where("x < 0"), str(tmp_path / "none"), cluster_by=["x"])
     assert tb.read_positions(spark, empty).count() == 0
+
+
+def _entry(timestamp):
+    return {"dataset": "original", "station_id": "A701", "algorithm": "X", "timestamp": timestamp, "path": None, "params": "{}"}
+
+
+def test_a_change_of_an_outdated_registry_is_told(spark, tmp_path):
+    root = str(tmp_path / "store")
+    first = rg.store_registry(rg.registry_table(spark, [_entry("01")]), root, based_on=-1)
+    assert first.number == 0
+    rg.store_registry(rg.registry_table(spark, [_entry("02")]), root, based_on=0)
+    with pytest.raises(rg.RegistryConflict):
+        rg.store_registry(rg.registry_table(spark, [_entry("03")]), root, based_on=0)
+    assert [r.timestamp for r in rg.stored_registry(spark, root).collect()] == ["02"]
+    assert [r.timestamp for r in first.read(spark).collect()] == ["01"]
+    # Rows of the writer that was told are gone; those of one that never committed are not seen.
+    assert len([n for n in os.listdir(f"{root}/registry") if n.startswith("rows-")]) == 2
+    rg.registry_table(spark, [_entry("04")]).write.parquet(f"{root}/registry/rows-lost")
+    assert rg.latest_version(spark, root).number == 1
+    assert rg.store_registry(rg.registry_table(spark, [_entry("05")]), root).number == 2
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    plain = str(tmp_path / "plain")
+
+    def add(i):
+        rg.store_registry(rg.registry_table(spark, [_entry(f"{i:02d}")]), plain)
+        return rg.update_registry(spark, root, lambda stored: stored.unionByName(rg.registry_table(spark, [_entry(f"{i:02d}")]))).number
+
+    with ThreadPoolExecutor(5) as pool:
+        assert sorted(pool.map(add, range(5))) == list(range(5))
+    assert sorted(r.timestamp for r in rg.stored_registry(spark, root).collect()) == [f"{i:02d}" for i in range(5)]
+    assert rg.latest_version(spark, plain).number == 4
+    assert sorted(os.listdir(f"{root}/registry/versions"))[-1] == "00000004"
+
+
+def test_commit_by_rename_does_not_overwrite(spark, tmp_path):
+    """The way of all file systems but local ones, here through a local one."""
+    root = str(tmp_path / "store")
+    rg.store_registry(rg.registry_table(spark, [_entry("01")]), root)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getLocalFSFileContext()
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    (tmp_path / "other").write_text("other")
+    with pytest.raises(Py4JJavaError, match="FileAlreadyExistsException"):
+        context.rename(path(str(tmp_path / "other")), path(f"{root}/registry/versions/00000000"), none)
+    context.rename(path(str(tmp_path / "other")), path(f"{root}/registry/versions/00000001"), none)
+    assert rg.latest_version(spark, root) == rg.Version(1, f"{root}/registry/other")

@@ -413,8 +413,8 @@ def registry_stored(spark, sf_dir):
     """Stored, cut at a checkpoint, cleared of a data set, and read back."""
     root = scratch_path(spark, "registry")
     rg.store_registry(_registry(spark, sf_dir).withColumnRenamed("file_name", "path").withColumn("path", F.concat(F.lit(f"{root}/models/"), "path")), root)
-    rg.replace_registry(rg.keep_to_checkpoint(rg.stored_registry(spark, root), "1996-06-01-00-00-00"), root)
-    rg.replace_registry(rg.clear(rg.stored_registry(spark, root), "imputed"), root)
+    rg.replace_registry(spark, root, lambda stored: rg.keep_to_checkpoint(stored, "1996-06-01-00-00-00"))
+    rg.replace_registry(spark, root, lambda stored: rg.clear(stored, "imputed"))
     return rg.stored_registry(spark, root).withColumn("path", F.element_at(F.split("path", "/"), -1))
 
 
