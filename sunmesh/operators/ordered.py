@@ -12,6 +12,10 @@ hour, as a station has, such slices are small whatever the number of rows. If
 times repeat, so that even one hour of one key may be huge, pass ``RANGE``: the
 rows are then range-partitioned by the full order, tie-breaks included, and
 stored, and a slice is the part of a key inside one partition.
+
+Rows that several of these operators pass over can be stored once in buckets by
+key and slice (``store_slices``). With ``STORED`` the operators then use those
+slices, and only summaries are shuffled, never the rows.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunmesh.sources.tables import materialise
+from sunmesh.sources.tables import materialise, store_bucketed
 
 SLICE_HOURS = 720
 RANGE = "range"
+STORED = "stored"
 SLICE = "__slice"
 _FIRST_SLICE = -(2**31)
 
@@ -37,6 +42,8 @@ def time_slice(ts: Column, hours: int = SLICE_HOURS) -> Column:
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | str | None) -> DataFrame:
     """Add the slice number; default width is a month of one key, or an hour of everything if there is no key."""
+    if slices == STORED:
+        return df
     if slices == RANGE:
         # The partition number is stored with the rows, so that every later reader sees the same one.
         ranged = df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
@@ -44,6 +51,17 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: in
     return df.withColumn(SLICE, time_slice(F.col(order[0]), slices or (SLICE_HOURS if keys else 1)))
 
 
+def store_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hours: int | None = None, buckets: int | None = None
+) -> DataFrame:
+    """``df`` with its slice number, stored in buckets by key and slice for operators called with ``STORED``.
+
+    They keep the slice number, so that one operator's rows can go into the next
+    without an exchange; drop ``SLICE`` at the end.
+    """
+    return store_bucketed(_sliced(df, keys, order, hours), "slices", [*keys, SLICE], order, buckets)
+
+
 def with_row_numbers(
     df: DataFrame,
     keys: Sequence[str],

@@ -56,6 +56,30 @@ def materialise(df: DataFrame, name: str, cluster_by: Sequence[str] = ()) -> Dat
     return spark.read.parquet(write_table(df, scratch_path(spark, name), cluster_by=cluster_by))
 
 
+def store_bucketed(df: DataFrame, name: str, keys: Sequence[str], sort_by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Store a table in the shared folder in buckets by ``keys``, one file each, and read it back.
+
+    Joins, windows and groupings on exactly these keys need no exchange of its
+    rows, however often they run; a join needs the same number of ``buckets`` on
+    both sides. It is by default the session's number of shuffle partitions;
+    choose it so that a bucket fits into a task. The keys must spread the rows
+    (a station and its time slice, not the station alone), since equal keys are
+    in one bucket. The name is taken out of the catalog again at once: the rows
+    are found through the DataFrame and go with the other stored steps.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"{name.replace('-', '_')}_{path.rsplit('-', 1)[1]}"
+    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(number, *keys).write.bucketBy(number, *keys)
+    if sort_by:
+        writer = writer.sortBy(*sort_by)
+    writer.option("path", path).saveAsTable(table)
+    stored = spark.table(table)
+    spark.sql(f"drop table {table}")
+    return stored
+
+
 def export_csv(df: DataFrame, path: str) -> str:
     df.write.mode("errorifexists").option("header", True).csv(path)
     return path

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from sunmesh.operators import ordered as od
+from sunmesh.sources.tables import store_bucketed
 
 
 def _series(spark, rows=400, seed=3):
@@ -115,3 +116,57 @@ def test_no_window_over_the_whole_key(spark):
     plan = od.with_row_numbers(df, ["key"], ["ts"], "n")._jdf.queryExecution().optimizedPlan().toString()
     ranks = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
     assert ranks and all(od.SLICE in line for line in ranks)
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    """No adaptive plans and no broadcasts, so that every exchange shows."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_slices_give_the_same_rows(spark):
+    frame, df = _series(spark)
+    stored = od.store_slices(df, ["key"], ["ts"], 168)
+    frame["next"] = frame.groupby("key")["v"].shift(-2)
+    frame["n"] = frame.sort_values("ts").groupby("key").cumcount() + 1
+    frame["filled"] = frame.groupby("key")["v"].ffill(limit=2)
+    led = od.with_lead(stored, ["key"], ["ts"], {"next": "v"}, 2, od.STORED)
+    numbered = od.with_row_numbers(led, ["key"], ["ts"], "n", slices=od.STORED)
+    assert od.SLICE in numbered.columns
+    assert _values(numbered, "next") == _expected(frame, "next") and _values(numbered, "n") == _expected(frame, "n")
+    assert _values(od.forward_fill(numbered, ["key"], ["ts"], ["v"], 2, od.STORED), "v") == _expected(frame, "filled")
+    empty = od.store_slices(df.limit(0), ["key"], ["ts"])
+    assert od.with_lead(empty, ["key"], ["ts"], {"next": "v"}, 1, od.STORED).count() == 0
+
+
+def test_rows_of_stored_slices_are_not_moved(spark, fixed_plans):
+    _, df = _series(spark)
+    stored = od.store_slices(df, ["key"], ["ts"], 168)
+    plan = _plan(od.with_lead(stored, ["key"], ["ts"], {"next": "v"}, 1, od.STORED))
+    # Two exchanges, both of the border rows: by key for the following slice, and back by key and slice.
+    assert plan.count("Exchange") == 2 and plan.count("Exchange hashpartitioning(key") == 2
+    for line in (n for n in plan.splitlines() if "Exchange" in n):
+        assert "SinglePartition" not in line
+    above_rows = plan[: plan.index("SortMergeJoin")] + plan[plan.index("SortMergeJoin") :].split("Exchange")[0]
+    assert "Window" in above_rows and "FileScan" in above_rows
+
+
+def test_buckets_join_without_an_exchange(spark, fixed_plans):
+    _, df = _series(spark)
+    left = store_bucketed(df, "left", ["key", "ts"], ["key", "ts"])
+    right = store_bucketed(df.withColumnRenamed("v", "w"), "right", ["key", "ts"], ["key", "ts"])
+    joined = left.join(right, ["key", "ts"])
+    assert "Exchange" not in _plan(joined) and "Exchange" not in _plan(joined.groupBy("key", "ts").count())
+    assert joined.count() == df.count() and joined.where("v is distinct from w").count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("left_", "right_", "slices_"))]
+    assert "Exchange" in _plan(df.join(df.withColumnRenamed("v", "w"), ["key", "ts"]))

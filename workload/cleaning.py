@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 from sunmesh.functions.text import normalise_name
 from sunmesh.operators import cleaning as cl
 from sunmesh.operators.metrics import rounded
-from sunmesh.operators.ordered import RANGE, contiguous_folds, every_nth_split, forward_fill, next_hour_target, with_row_numbers
+from sunmesh.operators.ordered import (
+    RANGE,
+    SLICE,
+    STORED,
+    contiguous_folds,
+    every_nth_split,
+    forward_fill,
+    next_hour_target,
+    store_slices,
+    with_row_numbers,
+)
 from sunmesh.operators.quantiles import exact_quantiles, mask_outliers, quartiles_by_hour
 from sunmesh.sources.registry import STATION_PATTERN
 from sunmesh.sources.tables import materialise
@@ -306,6 +316,20 @@ def next_row_target(spark, sf_dir):
     return next_hour_target(_daylight_hourly(spark, sf_dir), "v", "target")
 
 
+@query(
+    "e1_target_from_stored_slices",
+    """
+    select station_id, ts, v, lead(v) over w as target, lead(v, 3) over w as later
+    from hourly where hour(ts) between 10 and 21 window w as (partition by station_id order by ts)""",
+    ["v", "target", "later"],
+)
+def target_from_stored_slices(spark, sf_dir):
+    """Two targets from rows that are stored in buckets once and not moved again."""
+    stored = store_slices(_daylight_hourly(spark, sf_dir), ["station_id"], ["ts"])
+    led = next_hour_target(stored, "v", "target", slices=STORED)
+    return next_hour_target(led, "v", "later", rows=3, slices=STORED).drop(SLICE)
+
+
 @query(
     "e1_strict_two_hours",
     """

@@ -10,6 +10,7 @@ from sunmesh.operators.climate import residual_histogram
 from sunmesh.plans import comparison as cp
 from sunmesh.session import scratch_path
 from sunmesh.sources import registry as rg
+from sunmesh.sources.tables import store_bucketed
 from workload import fixtures as fx
 from workload.core import query
 
@@ -29,6 +30,20 @@ def forecast_with_truth(spark, sf_dir):
     return fx.site_preds(spark, sf_dir).drop("real").join(truth, ["station_id", "ts"])
 
 
+@query(
+    "c6_bucketed_forecast_with_truth",
+    "select f.station_id, f.ts, f.pred, h.v as real from site_preds f join hourly h on h.station_id = f.station_id and h.ts = f.ts",
+    ["pred", "real"],
+    8,
+)
+def bucketed_forecast_with_truth(spark, sf_dir):
+    """Forecasts and truth stored in equal buckets by station and time, joined without an exchange."""
+    keys = ["station_id", "ts"]
+    truth = store_bucketed(fx.hourly(spark, sf_dir).withColumnRenamed("v", "real"), "truth", keys, keys)
+    forecasts = store_bucketed(fx.site_preds(spark, sf_dir).drop("real"), "forecasts", keys, keys)
+    return forecasts.join(truth.hint("merge"), keys)
+
+
 @query("c7_blend_best_models", "select * from best_overall", SCORES)
 def blend_best_models(spark, sf_dir):
     return fx.best_overall(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sunmesh import schemas
 from sunmesh.functions.radiation import hourly_radiation
 from sunmesh.operators import climate as cm
 from sunmesh.operators.cleaning import daylight
@@ -13,6 +14,7 @@ from sunmesh.operators.slots import neighbour_slots, slot_columns
 from sunmesh.plans import comparison as cp
 from sunmesh.plans import composition as comp
 from sunmesh.plans import empirical as emp
+from sunmesh.plans.climatology import climatology
 from sunmesh.sources.station_files import concatenate
 from workload import fixtures as fx
 from workload.core import query
@@ -262,6 +264,49 @@ def monthly_box_statistics(spark, sf_dir):
     return cm.box_statistics(cm.drop_minimum(means, "real", ["month"]), "real", ["month"])
 
 
+def _climate_readings(spark, sf_dir):
+    """The climatology's columns as shifted copies of the hourly value, some negative; days dealt out to three months of two years."""
+    ts = F.col("ts") + F.make_ym_interval(F.day("ts") % 2, F.day("ts") % 3)
+    cells = [(F.col("v") - F.lit(4.0) * ((F.day("ts") + F.lit(i)) % 5)).alias(c) for i, c in enumerate(schemas.CLIMATE_LOWER_LIMITS)]
+    return fx.hourly(spark, sf_dir).select("station_id", ts.alias("ts"), *cells)
+
+
+_CLIMATE_CELLS = ", ".join(f"v - 4e0 * ((day(ts) + {i}) % 5) as {c}" for i, c in enumerate(schemas.CLIMATE_LOWER_LIMITS))
+_CLIMATE_RULE = " and ".join(f"{c} >= 0" for c in schemas.CLIMATE_LOWER_LIMITS)
+CLIMATE_SQL = f"""
+    r as (select station_id, ts + to_months(cast(12 * (day(ts) % 2) + day(ts) % 3 as int)) as ts, {_CLIMATE_CELLS} from hourly),
+    d as (select station_id, year(ts) as y, month(ts) as m, day(ts) as d, sum(precipitacao_total) as rain, sum(radiacao_global) as radiation
+          from r where hour(ts) between 10 and 21 and {_CLIMATE_RULE} group by 1, 2, 3, 4),
+    p as (select station_id, y, m, count(*) as days, sum(rain) as rain, avg(radiation) as radiation from d group by 1, 2, 3),
+    s as (select station_id, m, count(*) as years, avg(rain) as rain, avg(radiation) as radiation from p group by 1, 2)"""
+
+
+@query(
+    "d15_climatology_from_readings",
+    f"""
+    with {CLIMATE_SQL}, k as (select * from s where radiation > (select min(radiation) from s t where t.m = s.m)),
+    q as (select m, quantile_cont(radiation, 0.25) as q1, quantile_cont(radiation, 0.5) as median, quantile_cont(radiation, 0.75) as q3 from k group by m),
+    b as (select q.m, q.q1, q.median, q.q3, min(k.radiation) as whisker_low, max(k.radiation) as whisker_high from q join k on k.m = q.m
+          where k.radiation between q.q1 - 1.5e0 * (q.q3 - q.q1) and q.q3 + 1.5e0 * (q.q3 - q.q1) group by 1, 2, 3, 4)
+    select cast(a.m as int) as month, a.stations, a.rain, b.q1, b.median, b.q3, b.whisker_low, b.whisker_high
+    from (select m, count(*) as stations, avg(rain) as rain from s group by m) a left join b on b.m = a.m""",
+    ["rain", "q1", "median", "q3", "whisker_low", "whisker_high"],
+    8,
+)
+def climatology_from_readings(spark, sf_dir):
+    return climatology(_climate_readings(spark, sf_dir)).report
+
+
+@query(
+    "d14_monthly_levels",
+    f"with {CLIMATE_SQL} select station_id, cast(y as int) as year, cast(m as int) as month, days, rain, radiation from p",
+    ["rain", "radiation"],
+    8,
+)
+def monthly_levels(spark, sf_dir):
+    return climatology(_climate_readings(spark, sf_dir)).month
+
+
 @query(
     "f5_three_quarter_split",
     """select station_id, ts, pred, case when (row_number() over (partition by station_id order by ts) - 1) % 4 = 3 then 'valid' else 'train' end as part
