@@ -102,6 +102,19 @@ def features_and_target(df: DataFrame, target: str, seed: int | None = None) ->
     return df.drop(target), df.select(target)
 
 
+def keyed_features_and_target(
+    df: DataFrame, target: str, keys: Sequence[str], seed: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Features and target, both with the key columns, so that rows are paired by key however the frames are stored.
+
+    With a ``seed`` both come in the same random order, that of a hash of seed
+    and key; it depends on the rows alone, not on their partitions.
+    """
+    if seed is not None:
+        df = df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    return df.drop(target), df.select(*keys, target)
+
+
 def assign_split(df: DataFrame, test_years: tuple[int, int] = schemas.TEST_YEARS, time_col: str = "ts") -> DataFrame:
     """``train`` before the test years, ``test`` in them, null after."""
     year = F.year(time_col)

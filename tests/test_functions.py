@@ -181,3 +181,16 @@ def test_parameters_keep_null_entries(spark):
     assert parsed == {"gamma": None, "eta": "0.3"}
     with pytest.raises(ValueError):
         rg.keep_to_checkpoint(spark.createDataFrame([("2020",)], "timestamp string"), "2021", "both")
+
+
+def test_features_and_target_by_key_share_their_order(spark):
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"), (F.col("id") * 3).alias("y"))
+    features, target = cl.keyed_features_and_target(df.repartition(7), "y", ["k"], seed=3)
+    first, second = features.collect(), target.collect()
+    assert features.columns == ["k", "x"] and target.columns == ["k", "y"]
+    assert [r.k for r in first] == [r.k for r in second] != list(range(500))
+    assert all(a.x * 3 == b.y * 2 for a, b in zip(first, second))
+    again, _ = cl.keyed_features_and_target(df.repartition(3), "y", ["k"], seed=3)
+    assert [r.k for r in again.collect()] == [r.k for r in first]
+    other, _ = cl.keyed_features_and_target(df, "y", ["k"], seed=4)
+    assert [r.k for r in other.collect()] != [r.k for r in first]

@@ -145,6 +145,14 @@ def features_and_target(spark, sf_dir):
     return features
 
 
+@query("b12_features_and_target_by_key", "select station_id, ts, temperature, pressure, humidity, wind, radiation from readings", fx.FEATURES)
+def features_and_target_by_key(spark, sf_dir):
+    """Features and target of all rows, put together again by their key."""
+    keys = ["station_id", "ts"]
+    features, target = cl.keyed_features_and_target(fx.readings(spark, sf_dir), "radiation", keys, seed=7)
+    return features.join(target, keys)
+
+
 @query(
     "b13_temporal_split",
     "select station_id, ts, radiation, case when day(ts) < 24 then 'train' else 'test' end as split from readings",

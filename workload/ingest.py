@@ -36,18 +36,23 @@ def _station_lines(spark, sf_dir):
         *[F.concat(F.lit(f"{k}:;"), v) for k, v in zip(HEADER_KEYS, values)], F.lit("Data;Hora UTC;" + ";".join("x" * 17) + ";")
     )
     headers = sites.select(name.alias("file_name"), F.explode(header).alias("value"))
-    cells = [F.col("data"), F.col("hour")] + [
-        _comma(F.col("radiation")) if c == "radiacao_global" else F.lit("") for c in schemas.MEASUREMENTS
-    ]
+    # Every measurement is a shifted copy; about one cell in nine is empty.
+    cells = [F.col("data"), F.col("hour")]
+    for i in range(len(schemas.MEASUREMENTS)):
+        empty = (F.col("station_id") + F.substring("data", 9, 2).cast("int") + i) % 9 == 0
+        cells.append(F.when(empty, F.lit("")).otherwise(_comma(F.col("radiation") + i)))
     data = fx.raw_readings(spark, sf_dir).select(name.alias("file_name"), F.concat_ws(";", *cells, F.lit("")).alias("value"))
     return headers.unionByName(data)
 
 
-OBSERVATIONS_SQL = """
-    select concat('A', cast(700 + r.station_id as varchar)) as station_id, r.ts, r.radiation as radiacao_global,
-           cast(null as double) as temperatura, s.lat as latitude, s.lon as longitude, s.alt as altitude
+_MEASURED = ", ".join(
+    f"case when (r.station_id + day(r.ts) + {i}) % 9 <> 0 then r.radiation + {i} end as {c}" for i, c in enumerate(schemas.MEASUREMENTS)
+)
+OBSERVATIONS_SQL = f"""
+    select concat('A', cast(700 + r.station_id as varchar)) as station_id, r.ts, {_MEASURED},
+           s.lat as latitude, s.lon as longitude, s.alt as altitude
     from raw_readings r join stations s on s.station_id = r.station_id"""
-OBSERVED = ["radiacao_global", "temperatura", "latitude", "longitude", "altitude"]
+OBSERVED = [*schemas.MEASUREMENTS, *schemas.COORDINATES]
 
 
 def _written_files(spark, sf_dir):
