@@ -67,19 +67,24 @@ def resolved(to: Column, url: Column) -> Column:
 def link_edges(pages: DataFrame) -> DataFrame:
     """``from_url, to_url``: what all canonical links and refreshes in the pages (``url, html``) name.
 
-    Tags may have their attributes in any order; relative addresses are
-    resolved against the page's url, ``base`` tags are not heeded.
+    Tags may have their attributes in any order, and ``canonical`` may be one
+    of several words of ``rel``. Relative addresses are resolved against the
+    page's first ``base`` address, else against its url.
     """
-    links = F.regexp_extract_all("html", F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), 1)
+    rel = r"\srel\s*=\s*(?:[\"'](?:[^\"'>]*\s)?canonical(?=[\s\"'])|canonical(?=[\s/>]))"
+    links = F.regexp_extract_all("html", F.lit(rf"(?is)(<link\b[^>]*{rel}[^>]*>)"), 1)
     metas = F.regexp_extract_all("html", F.lit(r"(?is)(<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
-    tagged = pages.filter("url is not null and html is not null").select("url", links.alias("links"), metas.alias("metas")).filter("size(links) > 0 or size(metas) > 0")
+    base = F.regexp_extract("html", r"(?is)<base\b[^>]*\shref\s*=\s*[\"']?([^\"'\s>]*)", 1)
+    named = [F.col("url"), links.alias("links"), metas.alias("metas"), base.alias("base")]
+    tagged = pages.filter("url is not null and html is not null").select(named).filter("size(links) > 0 or size(metas) > 0")
     # Few pages pass; they are stored, so that their addresses are worked out on them alone.
     tagged = materialise(tagged, "tags")
     moved = lambda tag: F.regexp_extract(tag, r"(?is)content\s*=\s*[\"']?\s*\d+\s*[;,]\s*url\s*=\s*'?([^\"'\s>]+)", 1)
     href = lambda tag: F.regexp_extract(tag, r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]*)", 1)
-    named = tagged.select("url", F.explode(F.concat(F.transform("links", href), F.transform("metas", moved))).alias("to"))
-    named = named.select("url", F.regexp_replace("to", "&amp;", "&").alias("to"))
-    return named.select(F.col("url").alias("from_url"), resolved(F.col("to"), F.col("url")).alias("to_url")).filter("to_url is not null")
+    plain = lambda c: F.regexp_replace(c, "&amp;", "&")
+    against = F.coalesce(resolved(plain("base"), F.col("url")), F.col("url"))
+    named = tagged.select("url", against.alias("against"), F.explode(F.concat(F.transform("links", href), F.transform("metas", moved))).alias("to"))
+    return named.select(F.col("url").alias("from_url"), resolved(plain("to"), F.col("against")).alias("to_url")).filter("to_url is not null")
 
 
 def longest_rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:

@@ -220,3 +220,20 @@ def test_pipeline(spark):
             assert docs.join(before, [docs[c].eqNullSafe(before[c]) for c in ("doc_id", "text")], "left_anti").count() == 0
     ids = docs.orderBy("start").collect()
     assert [r["doc_id"] for r in ids] == sorted(r["doc_id"] for r in ids) and ids[0]["start"] == 0
+
+
+def test_canonical_among_other_words_and_base_addresses(spark):
+    rows = [
+        ("http://a.com/x/p", '<link rel="alternate canonical" href="q">', ["http://a.com/x/q"]),
+        ("http://a.com/x/p", "<link href='/q' rel='canonical alternate'>", ["http://a.com/q"]),
+        ("http://a.com/x/p", '<link rel=canonical href=q><link href=r rel=canonical>', ["http://a.com/x/q", "http://a.com/x/r"]),
+        ("http://a.com/x/p", '<link rel="canonical-not" href="q"><link data-rel="canonical" href="q"><link rel="not canonicals" href="q">', []),
+        ("http://a.com/x/p", '<base href="http://b.com/y/z"><link rel="canonical" href="q">', ["http://b.com/y/q"]),
+        ("http://a.com/x/p", '<link rel="canonical" href="q"><base target="_top" href="/w/">', ["http://a.com/w/q"]),
+        ("http://a.com/x/p", '<base href="//c.com/"><meta http-equiv="refresh" content="0; url=?a=1&amp;b=2">', ["http://c.com/?a=1&b=2"]),
+        ("http://a.com/x/p", '<base href=""><link rel="canonical" href="q">', ["http://a.com/x/q"]),
+        ("http://a.com/x/p", '<base href="/v/"><link rel="canonical" href="http://d.com/">', ["http://d.com/"]),
+    ]
+    for url, html, named in rows:
+        found = url_rules.link_edges(spark.createDataFrame([(url, html)], "url string, html string")).collect()
+        assert sorted(r.to_url for r in found) == named and all(r.from_url == url for r in found), html
