@@ -59,10 +59,8 @@ def best_by_station(
     return first_by(results, list(by), [*_order(criterion, corrected), F.col("timestamp"), F.col("model")])
 
 
-def blend(imputed: DataFrame, original: DataFrame, columns: Sequence[str], key: str = "station_id") -> DataFrame:
-    """Better of two winners per station; the imputed one must be strictly better or the only one."""
-    pick = lambda df, name: df.select(key, F.struct(*columns).alias(name))
-    both = pick(imputed, "i").join(pick(original, "o"), key, "full")
+def _better(both: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """Of the structs ``i`` and ``o`` the original one, unless the imputed one is strictly better or the only one."""
     take_imputed = F.col("o").isNull() | F.coalesce(F.col("i.rmse") < F.col("o.rmse"), F.lit(False))
     chosen = both.withColumn("is_interp", take_imputed).withColumn(
         "chosen", F.when(F.col("is_interp"), F.col("i")).otherwise(F.col("o"))
@@ -70,6 +68,31 @@ def blend(imputed: DataFrame, original: DataFrame, columns: Sequence[str], key:
     return chosen.select(key, *[F.col(f"chosen.{c}").alias(c) for c in columns], "is_interp")
 
 
+def blend(imputed: DataFrame, original: DataFrame, columns: Sequence[str], key: str = "station_id") -> DataFrame:
+    """Better of two winners per station; the imputed one must be strictly better or the only one."""
+    pick = lambda df, name: df.select(key, F.struct(*columns).alias(name))
+    return _better(pick(imputed, "i").join(pick(original, "o"), key, "full"), columns, key)
+
+
+def blend_runs(
+    results: DataFrame,
+    columns: Sequence[str],
+    key: str = "station_id",
+    criterion: str = "rmse",
+    corrected: bool = False,
+    datasets: tuple[str, str] = ("imputed", "original"),
+) -> DataFrame:
+    """``blend`` of the best runs of two data sets, from all runs in one grouping.
+
+    ``columns`` must have ``rmse``; other data sets are ignored, and stations without a run of these two are left out.
+    """
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*_order(criterion, corrected), F.col("timestamp"), F.col("model")])])
+    run = F.struct(rank.alias("rank"), F.struct(*columns).alias("row"))
+    winners = [F.min(F.when(F.col("dataset") == name, run)).alias(side) for side, name in zip("io", datasets)]
+    best = results.where(F.col("dataset").isin(*datasets)).groupBy(key).agg(*winners)
+    return _better(best.select(key, *[F.col(f"{side}.row").alias(side) for side in "io"]), columns, key)
+
+
 def with_ends(df: DataFrame, order: Sequence[Column], reverse: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows (``best``) and the last ``n`` rows (``worst``) of an order, as two top-n scans."""
     head = df.orderBy(*order).limit(n).withColumn("side", F.lit("best"))

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,22 @@ def test_features_and_target_by_key_share_their_order(spark):
     assert [r.k for r in again.collect()] == [r.k for r in first]
     other, _ = cl.keyed_features_and_target(df, "y", ["k"], seed=4)
     assert [r.k for r in other.collect()] != [r.k for r in first]
+
+
+def test_blend_of_runs_equals_blend_of_winners(spark):
+    draw = random.Random(4)
+    rows = [("imputed", 90, "m0", "t0", 1.0, 1.0, 0.0, 0.5), ("original", 91, "m0", "t0", None, None, None, None), ("other", 92, "m0", "t0", 0.1, 0.1, 0.0, 1.0)]
+    for _ in range(400):
+        scores = [draw.choice([None, float("nan"), 1.0, 2.0, 3.0]) if draw.random() < 0.5 else draw.uniform(-1, 4) for _ in range(4)]
+        rows.append((draw.choice(["imputed", "original"]), draw.randrange(30), f"m{draw.randrange(3)}", f"t{draw.randrange(9)}", *scores))
+    df = spark.createDataFrame(rows, "dataset string, station_id int, model string, timestamp string, rmse double, mae double, mbe double, r2 double")
+    columns = ["model", "timestamp", "rmse", "mae", "mbe", "r2"]
+    pick = lambda best, name: best.where(F.col("dataset") == name).drop("dataset")
+    for criterion, corrected in (("rmse", False), ("mae", False), ("mbe", True)):
+        best = rk.best_by_station(df, ("dataset", "station_id"), criterion, corrected)
+        expected = rk.blend(pick(best, "imputed"), pick(best, "original"), columns)
+        found = rk.blend_runs(df, columns, criterion=criterion, corrected=corrected)
+        assert found.columns == expected.columns
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert {90, 91} <= {r.station_id for r in found.collect()} and 92 not in {r.station_id for r in found.collect()}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sunmesh.functions.geo import EARTH_RADIUS_KM
 from sunmesh.operators.metrics import regression_metrics
 from sunmesh.operators.neighbours import pair_errors, station_pairs
-from sunmesh.operators.ranking import best_by_station, blend
+from sunmesh.operators.ranking import best_by_station, blend_runs
 from sunmesh.plans.composition import compose, estimator_errors
 
 N_STATIONS = 25
@@ -270,9 +270,7 @@ def best_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = best_models(spark, sf_dir)
-    pick = lambda name: best.where(F.col("dataset") == name).drop("dataset")
-    return blend(pick("imputed"), pick("original"), RUN_COLUMNS)
+    return blend_runs(model_runs(spark, sf_dir), RUN_COLUMNS)
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
