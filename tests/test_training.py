@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sunmesh.operators.metrics import regression_metrics
 from sunmesh.operators.moments import searched_linear
 from sunmesh.operators.ordered import contiguous_folds
+from sunmesh.plans import boosting
 from sunmesh.plans import flow as fl
 from sunmesh.plans import training as tr
 from sunmesh.plans.extra_trees import COPIES
@@ -50,6 +51,59 @@ def test_grid_search_picks_the_better_depth(rows):
     assert best == {"maxDepth": 6}
 
 
+@pytest.fixture
+def jobs(spark):
+    """Runs a function and tells how many Spark jobs it took, up to the 1,000 that Spark remembers."""
+
+    def count(run):
+        spark.sparkContext.setJobGroup("counted", "")
+        try:
+            run()
+            time.sleep(1)
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    return count
+
+
+def test_grid_search_over_boosted_trees_takes_a_job_for_all_fits(rows, jobs, monkeypatch):
+    grid, found = {"eta": [0.3, 0.1], "gamma": [0, 0.05], "max_depth": [1, 2]}, []
+    search = lambda: found.append(tr.grid_searched(rows, "xgb", grid, ["station_id"], ["ts"], 3))
+    # The refit has 20 trees of a few jobs each; 24 fits had as many each.
+    assert jobs(search) < 150
+    monkeypatch.setattr(boosting, "GROUP_ROWS", 10)
+    search()
+    assert found[0][1] == found[1][1] and _rmse(found[0][0], rows) == pytest.approx(_rmse(found[1][0], rows))
+
+
+@pytest.mark.parametrize("params", [{}, {"eta": 0.3, "gamma": 0.05, "max_depth": 9}, {"min_child_weight": 7, "n_estimators": 3}, {"max_depth": 1}, {"n_estimators": 1}])
+def test_grouped_trees_are_those_of_spark(spark, params):
+    draw = random.Random(4)
+    points = [[draw.uniform(0, 1), float(draw.randrange(12)), 3.0, -draw.expovariate(1)] for _ in range(700)]
+    data = spark.createDataFrame([(Vectors.dense(x), x[0] * x[1] + x[3] + draw.gauss(0, 1), i % 3 > 0) for i, x in enumerate(points)], ["features", "label", "train"]).coalesce(1).persist()
+    fit = tr.estimator("xgb", params)
+    pick = lambda model: [r.pred for r in model.transform(data).orderBy("label").collect()]
+    assert pick(boosting.fitted(data, fit)) == pytest.approx(pick(fit.fit(data)), rel=1e-9)
+    own = fit.fit(data.where("train")).transform(data.where("not train"))
+    expected = own.agg(F.avg((F.col("pred") - F.col("label")) ** 2)).first()[0]
+    assert boosting.held_out_errors(data, [fit, fit], F.col("train")) == pytest.approx([expected] * 2)
+
+
+def test_grouped_trees_on_odd_rows(spark):
+    same = spark.createDataFrame([(Vectors.dense([1.0, 2.0]), 4.0)] * 5, ["features", "label"])
+    fit = tr.estimator("xgb", {"subsample": 0.00001})
+    assert [r.pred for r in boosting.fitted(same, tr.estimator("xgb")).transform(same).collect()] == [4.0] * 5
+    # Trees that draw no row say nothing.
+    assert [r.pred for r in boosting.fitted(same, fit).transform(same).collect()] == [0.0] * 5
+    assert boosting.fitted(same, fit).transform(same.where("label < 0")).count() == 0
+    for none in (same.where("label < 0"), same):
+        with pytest.raises(Exception, match="no rows to learn from"):
+            boosting.held_out_errors(none, [fit], F.lit(True))
+    with pytest.raises(ValueError):
+        boosting.fitted(same.where("label < 0"), fit)
+
+
 def test_random_search_is_repeatable_and_in_original_units(spark, rows):
     space = {"n_estimators": (2, 4, 1), "max_depth": (1, 4, 1)}
     _, first, error = tr.random_searched(rows, scratch_path(spark, "ledger"), "xgb", space, trials=3, seed=5)
