@@ -77,6 +77,17 @@ def test_grid_search_over_boosted_trees_takes_a_job_for_all_fits(rows, jobs, mon
     assert found[0][1] == found[1][1] and _rmse(found[0][0], rows) == pytest.approx(_rmse(found[1][0], rows))
 
 
+def test_random_search_has_no_job_for_each_level_of_a_tree(spark, rows, monkeypatch):
+    def fails(*_):
+        raise AssertionError("a fit of many short jobs")
+
+    monkeypatch.setattr(boosting.GBTRegressor, "_fit", fails)
+    space = {"n_estimators": (100, 200, 50), "max_depth": (8, 12, 1), "subsample": (0.3, 1.0, 0), "min_child_weight": (1, 10, 1)}
+    ledger = scratch_path(spark, "ledger")
+    model, _, error = tr.random_searched(rows, ledger, "xgb", space, trials=3)
+    assert read_ledger(spark, ledger).count() == 4 and 0 < _rmse(model, rows) < 2 * error
+
+
 @pytest.mark.parametrize("params", [{}, {"eta": 0.3, "gamma": 0.05, "max_depth": 9}, {"min_child_weight": 7, "n_estimators": 3}, {"max_depth": 1}, {"n_estimators": 1}])
 def test_grouped_trees_are_those_of_spark(spark, params):
     draw = random.Random(4)
