@@ -19,6 +19,9 @@ from sunmesh.sources.tables import materialise
 #: When two documents are near copies here; op4's query has the rule of its contract.
 RULE = jaccard_join.Rule(percent=80, width=5)
 
+#: Words that a worker knows while it encodes: fewer than in op1 alone, as the stages before leave an executor's JVM at its full size.
+REMEMBERED = 400_000
+
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with its columns named by place, and these names: columns that a stage adds then clash with none."""
@@ -71,7 +74,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in grammar shards, and what is read back from them."""
-    return grammar.read_digests(spark, grammar.write_grammar(docs, scratch_path(spark, "grammar")))
+    return grammar.read_digests(spark, grammar.write_grammar(docs, scratch_path(spark, "grammar"), remembered=REMEMBERED))
 
 
 STAGES = [

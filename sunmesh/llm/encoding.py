@@ -153,9 +153,10 @@ _encoders: dict[str, WordEncoder] = {}
 keeps("encoder", _encoders.clear)
 
 
-def encoder(name: str = VOCABULARY) -> WordEncoder:
-    """The worker's encoder: it keeps its known words from one task to the next."""
+def encoder(name: str = VOCABULARY, remembered: int = REMEMBERED) -> WordEncoder:
+    """The worker's encoder: it keeps its known words, some 140 bytes each, from one task to the next."""
     only("encoder")
     if name not in _encoders:
         _encoders[name] = WordEncoder(vocabulary_path(name) if os.sep not in name else name)
+    _encoders[name].remembered = remembered
     return _encoders[name]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunmesh.llm.common import bounded_batches
-from sunmesh.llm.encoding import STEP, VOCABULARY, encoder
+from sunmesh.llm.encoding import REMEMBERED, STEP, VOCABULARY, encoder
 
 SHARD_IDS = 1 << 20
 #: Rules of one round, and the uses that a pair needs; rounds go on until no pair has them.
@@ -182,12 +182,12 @@ class Shard:
         return self._expand(own[first:after])[begin - skipped : end - skipped]
 
 
-def _encode_shards(vocabulary: str, end_id: int, shard_ids: int):
+def _encode_shards(vocabulary: str, end_id: int, shard_ids: int, remembered: int = REMEMBERED):
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, remembered).encode
         docs, pieces, counts, held, shard, start = [], [], [], 0, 0, 0
 
         def flush():
@@ -228,18 +228,21 @@ _ARROW = pa.schema(
 )
 
 
-def write_grammar(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 2, shard_ids: int = SHARD_IDS) -> str:
+def write_grammar(
+    docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = 2, shard_ids: int = SHARD_IDS, remembered: int = REMEMBERED
+) -> str:
     """Encode ``docs`` (``doc_id``, ``text``) and write grammar shards to ``path`` in ascending ``doc_id``.
 
     One range shuffle puts documents in order; equal ids are told apart by a
     hash of their text and a number, so a repeated row doesn't fill one partition. Null ids
     come first; null and empty texts are the end id alone; no documents give a
-    folder without shards. Other columns are ignored.
+    folder without shards. Other columns are ignored. A worker knows about ``remembered`` words at
+    most before it starts again: fewer take less memory and more time, and give the same ids.
     """
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
     ordered = keyed.repartitionByRange("doc_id", "_tie", "_row").sortWithinPartitions("doc_id", "_tie", "_row")
-    shards = ordered.select("doc_id", "text").mapInArrow(_encode_shards(vocabulary, end_id, shard_ids), SHARD_SCHEMA)
+    shards = ordered.select("doc_id", "text").mapInArrow(_encode_shards(vocabulary, end_id, shard_ids, remembered), SHARD_SCHEMA)
     shards.write.mode("errorifexists").parquet(path)
     return path
 

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from sunmesh.llm import decontamination, encoding, grammar, lengths, shingles
 from sunmesh.llm.encoding import WordEncoder, vocabulary_path
 from sunmesh.session import scratch_path
@@ -35,6 +36,26 @@ def test_forgetting_changes_nothing():
         assert list(ids) == sum((small.tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS[:6]), [])
 
 
+def test_a_stage_may_bound_the_known_words(monkeypatch):
+    """The pipeline's last stage asks for fewer words than its workers may know elsewhere; ids are the same."""
+    asked, write = [], grammar.write_grammar
+    monkeypatch.setattr(grammar, "write_grammar", lambda *args, **kwargs: asked.append(kwargs) or "")
+    monkeypatch.setattr(grammar, "read_digests", lambda *args: None)
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda *args: "")
+    corpus_pipeline.token_ids(None, None, "")
+    assert asked[0]["remembered"] <= 400_000 < encoding.REMEMBERED and "remembered" in write.__code__.co_varnames
+    texts = [[f"word{i} and{i} more{i}" for i in range(a, a + 50)] for a in range(0, 500, 50)]
+    wide = [encoding.encoder().encode(t)[0].tolist() for t in texts]
+    assert len(encoding.encoder().codes) >= 1500
+    encoding.encoder()._forget()
+    small = []
+    for t in texts:
+        worker = encoding.encoder(remembered=200)
+        small.append(worker.encode(t)[0].tolist())
+        assert len(worker.codes) <= 200 + 3 * len(t)
+    assert small == wide and encoding.encoder().remembered == encoding.REMEMBERED
+
+
 def test_what_is_held_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 1000)
     small = WordEncoder(vocabulary_path())
