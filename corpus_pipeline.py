@@ -46,13 +46,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     and all stay.
     """
     placed, c = _placed(docs)
-    numbered = materialise(placed.withColumn("n", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_join.similar_components(numbered.select(F.col("n").alias("doc_id"), F.col(c["text"]).alias("text")), RULE)
-    groups = materialise(groups.select(F.col("doc_id").alias("n"), "n_shingles", "component_id"), "groups")
+    numbered = jaccard_join.in_blocks(placed.withColumn("n", F.monotonically_increasing_id()), c["text"])
+    rows = numbered.select(F.col("n").alias("doc_id"), F.col(c["text"]).cast("string").alias("text"), "block", "bytes")
+    groups = jaccard_join.similar_in_blocks(rows, RULE).select(F.col("doc_id").alias("n"), "n_shingles", "component_id")
     worded = groups.filter("n_shingles > 0").join(numbered.select("n", F.col(c["doc_id"]).alias("id")), "n")
     first = worded.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "n"))["n"].alias("n"))
     stay = first.select("n").union(groups.filter("n_shingles = 0").select("n"))
-    return numbered.join(stay, "n", "left_semi").drop("n").toDF(*docs.columns)
+    return numbered.join(stay, "n", "left_semi").select(*placed.columns).toDF(*docs.columns)
 
 
 def benchmark_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,3 +156,53 @@ def test_pipeline_stage_goes_by_rows(spark):
     ]
     kept = [rows[i] for i in (0, 2, 3, 4, 5, 7, 10, 11, 12, 13)]
     assert stage(spark, rows) == sorted(kept, key=str)
+
+
+def test_ranks_tell_shared_shingles_at_any_size(spark):
+    """Cells grow with the input's bytes, and each block's ranks are those of counts over all blocks."""
+    import numpy as np
+    import pyarrow as pa
+    from sunmesh.llm.shingles import shingle_sets
+
+    rng, rule = random.Random(3), Rule()
+    texts = [" ".join(f"w{min(rng.randrange(9) for _ in range(3))}" for _ in range(rng.randrange(80))) for _ in range(90)]
+    rows = [(i % 7, text, 1 << 30) for i, text in enumerate(texts)]
+    blocks = spark.createDataFrame(rows, "block bigint, text string, bytes bigint")
+    order = jaccard_join.count_shingles(blocks, rule)
+    assert 2**order.cell_bits >= 8 * 90 * 2**30
+    counted = {}
+    for b in range(7):
+        sets = [tuple(shingle_sets([text], rule.width)[0].tolist()) for block, text, _ in rows if block == b]
+        for s in set(sets):
+            for shingle in s:
+                counted[shingle] = counted.get(shingle, 0) + 1
+    assert min(counted.values()) == 1 and max(counted.values()) >= jaccard_join.FREQUENT
+    answers = order.answers.toArrow()
+    for b in range(7):
+        own = shingle_sets([text for block, text, _ in rows if block == b], rule.width)[0]
+        ranks = jaccard_join._ranks(own, order.cell_bits, answers.filter(pa.array([x == b for x in answers.column("block").to_pylist()])))
+        n = np.array([counted[x] for x in own.tolist()])
+        assert (ranks == np.where(n >= jaccard_join.FREQUENT, np.floor(np.log2(n / jaccard_join.FREQUENT)) + 2, n > 1)).all()
+    assert order.shared == pytest.approx(sum(n for n in counted.values() if n > 1) / sum(counted.values()))
+
+
+def stored_bytes(spark):
+    from pathlib import Path
+
+    from sunmesh.session import shared_folder
+
+    return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_steps_leave_the_disk(spark):
+    """Of all that is stored only the result stays, and texts are passed block by block without being moved."""
+    rows = [(i, " ".join(f"a{i}b{j}" for j in range(400))) for i in range(60)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in [*rows, (99, rows[3][1] + " more")]], SCHEMA)
+    before, setting = stored_bytes(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    found = similar_components(df)
+    assert stored_bytes(spark) - before < 20_000 < sum(len(text) for _, text in rows) / 8
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {**{i: i for i, _ in rows}, 99: 3}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    blocks = jaccard_join.in_blocks(df.select("doc_id", "text"), "text")
+    plan = blocks.groupBy("block").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and blocks.count() == 61
