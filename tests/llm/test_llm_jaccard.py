@@ -206,3 +206,18 @@ def test_steps_leave_the_disk(spark):
     blocks = jaccard_join.in_blocks(df.select("doc_id", "text"), "text")
     plan = blocks.groupBy("block").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and blocks.count() == 61
+
+
+def test_pipeline_stage_stores_rows_once(spark):
+    """Rows are stored once and the result is small beside them; columns of any type come back as they were."""
+    rng = random.Random(8)
+    texts = {i: " ".join(f"{rng.randrange(10**9)}" for _ in range(500)) for i in range(40)}
+    ids = spark.createDataFrame([*texts.items(), (50, texts[4] + " more")], "id bigint, text string")
+    odd = ["named_struct('a', id, 'b', array(id)) as s", "timestamp_seconds(id) as ts", "cast(id as decimal(20, 3)) as dec", "map('k', id) as m", "encode('x', 'UTF-8') as block", "cast(null as string) as bytes", "id % 2 = 0 as n"]
+    docs = ids.selectExpr("id as doc_id", "text", *odd).repartition(3)
+    before = stored_bytes(spark)
+    stayed = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert stored_bytes(spark) - before < 1.3 * sum(map(len, texts.values()))
+    assert stayed.schema.simpleString() == docs.schema.simpleString()
+    key = lambda r: r["doc_id"]
+    assert sorted(stayed.collect(), key=key) == sorted(docs.filter("doc_id <> 50").collect(), key=key)
