@@ -23,8 +23,8 @@ def normalised(text: Column) -> Column:
 
 
 def _slot(depth: int) -> Column:
-    """The hash's first ``depth`` bits."""
-    return F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("bigint")
+    """The hash's first ``depth`` bits; none are a column like others, too, so that joins on it stay joins on a key."""
+    return F.shiftrightunsigned(F.shiftrightunsigned("hash", 1), 63 - depth)
 
 
 def directory(entries: DataFrame, bucket_keys: int = BUCKET_KEYS, spare_bits: int = SPARE_BITS) -> tuple[DataFrame, int]:
